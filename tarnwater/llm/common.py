@@ -48,6 +48,7 @@ def remove(df):
 def steps(sizes, most=STEP):
     """Ranges (a, b) over consecutive items whose sizes sum to about `most`; a large item stands alone."""
     a = total = 0
+    sizes = list(sizes)
     for b, n in enumerate(sizes):
         if total and total + n > most:
             yield a, b

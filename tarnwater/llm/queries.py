@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from .bpe_codec import encode_decode
 from .common import table
 from .token_counts import count_tokens
 
@@ -16,6 +17,12 @@ def query(f):
     return f
 
 
+@query
+def op4_bpe_codec(spark, sf_dir):
+    """Ids and decoded text of every document, as digests; no SQL: merges need a loop per word."""
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_texts=False)
+
+
 @query
 def op9_token_counts(spark, sf_dir):
     """Bytes and tokens of every document; no SQL: merges need a loop per word."""

@@ -32,7 +32,7 @@ def test_cut_texts(both):
     mine, library = both
     text = "".join(HARD) * 3
     assert "".join(at_spaces(text, 9)) == text
-    assert mine(list(at_spaces(text, 9))).sum() - mine(at_spaces(text, 10**9))[0] == 0
+    assert mine(list(at_spaces(text, 9))).sum() - mine(list(at_spaces(text, 10**9)))[0] == 0
 
 
 def test_operator(spark):
