@@ -6,6 +6,7 @@ import public_tokenizers
 
 from .bpe_codec import encode_decode
 from .common import table
+from .fingerprints import compare_with_edits
 from .token_counts import count_tokens
 
 QUERIES = {}
@@ -23,6 +24,12 @@ def op4_bpe_codec(spark, sf_dir):
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_texts=False)
 
 
+@query
+def op5_fingerprints(spark, sf_dir):
+    """Fingerprints of every document and of its edited text; no SQL: hashes of all spans."""
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_token_counts(spark, sf_dir):
     """Bytes and tokens of every document; no SQL: merges need a loop per word."""
