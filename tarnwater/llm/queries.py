@@ -7,6 +7,7 @@ import public_tokenizers
 from .bpe_codec import encode_decode
 from .common import table
 from .fingerprints import compare_with_edits
+from .language_id import identify
 from .token_counts import count_tokens
 
 QUERIES = {}
@@ -30,6 +31,12 @@ def op5_fingerprints(spark, sf_dir):
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_language_id(spark, sf_dir):
+    """Language of every document, learnt from those that aren't held out; no SQL: a trained model."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_token_counts(spark, sf_dir):
     """Bytes and tokens of every document; no SQL: merges need a loop per word."""
