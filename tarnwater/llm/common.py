@@ -109,3 +109,10 @@ def span_hashes(prefix, start, end):
 def keyed(docs, id_col, text_col):
     """The two columns that an operator on texts needs, whatever else docs has."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def sampled(rows, most, id_col="doc_id"):
+    """The rows of the `most` ids with the least hashes (a bounded sample for training); only ids
+    are sorted, and that many ids are broadcast. Rows that share an id come or go together."""
+    ids = rows.select(id_col).withColumn("_h", F.xxhash64(id_col)).orderBy("_h", id_col).limit(most).select(id_col).distinct()
+    return rows.join(F.broadcast(ids), id_col, "left_semi")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import keyed, steps, texts
+from .common import keyed, sampled, steps, texts
 
 BITS = 15
 #: At most so many labelled rows are learnt from: those with the least hashes of their id.
@@ -63,8 +63,7 @@ def train(docs, label_col="lang", id_col="doc_id", text_col="text", sample_rows=
     Counts are summed in Spark; what reaches the driver is one row per language and bucket.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("label IS NOT NULL")
-    chosen = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_rows).select("doc_id").distinct()
-    rows = rows.join(F.broadcast(chosen), "doc_id", "left_semi")  # sample_rows ids at most
+    rows = sampled(rows, sample_rows)
 
     def run(batches):
         fold = letters()

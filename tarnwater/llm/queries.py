@@ -8,6 +8,8 @@ from .bpe_codec import encode_decode
 from .common import table
 from .fingerprints import compare_with_edits
 from .language_id import identify
+from .secret_scan import scan
+from .secret_scan import train as train_secrets
 from .token_counts import count_tokens
 
 QUERIES = {}
@@ -19,6 +21,13 @@ def query(f):
     return f
 
 
+@query
+def op2_secret_scan(spark, sf_dir):
+    """Secrets in every document; no SQL: the added spans come from a trained model."""
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, train_secrets(docs))
+
+
 @query
 def op4_bpe_codec(spark, sf_dir):
     """Ids and decoded text of every document, as digests; no SQL: merges need a loop per word."""
