@@ -6,6 +6,7 @@ import public_tokenizers
 
 from .bpe_codec import encode_decode
 from .common import table
+from .embedding_dedup import link
 from .fingerprints import compare_with_edits
 from .language_id import identify
 from .secret_scan import scan
@@ -50,3 +51,9 @@ def op8_language_id(spark, sf_dir):
 def op9_token_counts(spark, sf_dir):
     """Bytes and tokens of every document; no SQL: merges need a loop per word."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op10_embedding_dedup(spark, sf_dir):
+    """Links and components of all vectors; no SQL: it would have to compare all pairs."""
+    return link(table(spark, sf_dir, "embeddings"))
