@@ -9,6 +9,7 @@ from .common import table
 from .embedding_dedup import link
 from .fingerprints import compare_with_edits
 from .language_id import identify
+from .packing import pack
 from .secret_scan import scan
 from .secret_scan import train as train_secrets
 from .token_counts import count_tokens
@@ -29,6 +30,12 @@ def op2_secret_scan(spark, sf_dir):
     return scan(docs, train_secrets(docs))
 
 
+@query
+def op3_packing(spark, sf_dir):
+    """All documents packed into sequences by their words; no SQL: each place depends on those before."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_bpe_codec(spark, sf_dir):
     """Ids and decoded text of every document, as digests; no SQL: merges need a loop per word."""
