@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from .bpe_codec import encode_decode
 from .common import table
 from .embedding_dedup import link
 from .fingerprints import compare_with_edits
 from .language_id import identify
+from .line_dedup import drop_repeated_lines
+from .line_dedup import oracle as line_oracle
 from .packing import pack
 from .secret_scan import scan
 from .secret_scan import train as train_secrets
@@ -48,6 +51,16 @@ def op5_fingerprints(spark, sf_dir):
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_line_dedup(spark, sf_dir):
+    """Lines of every document, those of later repeated runs, and a digest of the text that is left."""
+    docs = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op7_line_dedup"] = line_oracle()
+
+
 @query
 def op8_language_id(spark, sf_dir):
     """Language of every document, learnt from those that aren't held out; no SQL: a trained model."""
