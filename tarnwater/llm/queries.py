@@ -15,6 +15,7 @@ from .line_dedup import oracle as line_oracle
 from .packing import pack
 from .secret_scan import scan
 from .secret_scan import train as train_secrets
+from .shingle_join import link as link_shingles
 from .token_counts import count_tokens
 
 QUERIES = {}
@@ -51,6 +52,24 @@ def op5_fingerprints(spark, sf_dir):
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_shingle_join(spark, sf_dir):
+    """Components of documents whose sets of 4-word shingles are alike to 0.85."""
+    return link_shingles(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op6_shingle_join"] = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct([ws[i:i + 3] FOR i IN range(1, len(ws) - 2)]) WHEN len(ws) > 0 THEN [ws] ELSE [] END AS ss FROM w),
+    e AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS x FROM s),
+    f AS (SELECT x FROM e GROUP BY x HAVING count(*) > 1),
+    p AS (SELECT a.doc_id AS i, b.doc_id AS j FROM (SELECT * FROM e SEMI JOIN f USING (x)) a JOIN (SELECT * FROM e SEMI JOIN f USING (x)) b ON a.x = b.x AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    r AS (SELECT doc_id AS i, doc_id AS root FROM documents UNION SELECT p.j, r.root FROM r JOIN p ON p.i = r.i)
+    SELECT s.doc_id, coalesce(len(ss), 0) AS n_shingles, min(root) AS component_id FROM s JOIN r ON r.i = s.doc_id GROUP BY ALL
+    """
+
+
 @query
 def op7_line_dedup(spark, sf_dir):
     """Lines of every document, those of later repeated runs, and a digest of the text that is left."""
