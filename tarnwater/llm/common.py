@@ -116,3 +116,22 @@ def sampled(rows, most, id_col="doc_id"):
     are sorted, and that many ids are broadcast. Rows that share an id come or go together."""
     ids = rows.select(id_col).withColumn("_h", F.xxhash64(id_col)).orderBy("_h", id_col).limit(most).select(id_col).distinct()
     return rows.join(F.broadcast(ids), id_col, "left_semi")
+
+
+#: Bits of a membership map: 512 KB, whatever the input. A fuller map only lets more rows pass.
+MAP_BITS = 22
+
+
+def membership(keys, col):
+    """A map of the values of a long column, as a table of 2**16 rows at most."""
+    slot = F.pmod(F.xxhash64(col), F.lit(1 << MAP_BITS))
+    rows = keys.select(slot.alias("_slot"))
+    return rows.groupBy(F.shiftright("_slot", 6).alias("_place")).agg(F.expr("bit_or(shiftleft(1L, cast(_slot & 63 AS int)))").alias("_bits"))
+
+
+def maybe_in(df, col, members, flag="maybe"):
+    """df with a flag that is true for every row whose col is in the map, and for few others."""
+    slot = F.pmod(F.xxhash64(col), F.lit(1 << MAP_BITS))
+    rows = df.withColumn("_slot", slot).withColumn("_place", F.shiftright("_slot", 6)).join(F.broadcast(members), "_place", "left")
+    hit = F.expr("coalesce((shiftright(_bits, cast(_slot & 63 AS int)) & 1) = 1, false)")
+    return rows.withColumn(flag, hit).drop("_slot", "_place", "_bits")

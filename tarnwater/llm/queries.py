@@ -16,6 +16,7 @@ from .packing import pack
 from .secret_scan import scan
 from .secret_scan import train as train_secrets
 from .shingle_join import link as link_shingles
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 
 QUERIES = {}
@@ -27,6 +28,13 @@ def query(f):
     return f
 
 
+@query
+def op1_suffix_dedup(spark, sf_dir):
+    """Bytes of every document that no 400-byte string found elsewhere covers, as a digest; no SQL: every byte starts a window."""
+    docs = remove_repeats(table(spark, sf_dir, "documents"), keep="none")
+    return docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op2_secret_scan(spark, sf_dir):
     """Secrets in every document; no SQL: the added spans come from a trained model."""
