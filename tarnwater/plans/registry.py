@@ -1,12 +1,46 @@
-"""Every registered query with its DuckDB oracle."""
+"""Every registered query with its DuckDB oracle.
+
+The tables of the crawl do not exist among the driver's, so the operators run on tables in the same
+role: customers as queue entries tagged by nation, orders as matches, line items as players and
+bans of matches, events as state changes and as a log of responses.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.devalue import resolve
+from ..functions.expressions import eta, rank_blob, response_class
+from ..operators import analytics, changelog, folds, frontier, history, metrics, quality, seeding, shred, states
+from ..sources import payloads
+from ..streaming import jobs
+
 QUERIES = {}
 ORACLE_SQL = {}
 
+#: Every query measures time against this instant, in seconds.
+NOW = 1706659200  # 2024-01-31
+STATUS = {"view": "pending", "click": "claimed", "purchase": "done", "error": "error", "signup": "not_indexed"}
+
+# -- oracle fragments -----------------------------------------------------------------------------
+_STATUS_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS.items()) + " END"
+_PLAYERS = f"""latest AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events),
+    players AS (SELECT user_id AS uid, {_STATUS_SQL} AS crawl_status,
+                       CASE WHEN event_id % 7 <> 0 THEN epoch_us(ts) // 1000000 - (user_id % 5) * 20000 END AS last_crawled_at,
+                       CASE WHEN event_type = 'click' AND event_id % 11 <> 0 THEN epoch_us(ts) // 1000000 END AS claimed_at
+                FROM latest WHERE rn = 1)"""
+_LOG = "log AS (SELECT user_id AS client, epoch_us(ts) * 1000 + event_id % 1000 AS seq, epoch_us(ts) / 1000000.0::DOUBLE AS sec, event_type = 'error' AS failed, value / 20 AS latency FROM events)"
+_ENTRIES = """entries AS (SELECT o_custkey AS uid, (rn // 5) * 5 AS skip, rn % 5 AS pos, CASE WHEN (o_custkey + rn // 5) % 4 = 0 THEN 4 ELSE 5 END AS page_size, m AS match_uid
+                FROM (SELECT *, o_orderkey // 3 AS m, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1 AS rn FROM orders)),
+    known AS (SELECT DISTINCT l_orderkey // 3 AS match_uid FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 3 = 0),
+    visited AS (SELECT c_custkey AS uid, CASE WHEN c_custkey % 2 = 0 THEN 1 END AS last_crawled_at FROM customer)"""
+_MATCHES = """matches AS (SELECT o_orderkey AS match_uid, o_orderstatus AS season, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS winner_side FROM orders),
+    mplayers AS (SELECT DISTINCT l_orderkey AS match_uid, l_partkey AS player_uid, l_extendedprice AS new_score, l_discount AS add_score, CAST(l_suppkey % 2 + 1 AS INT) AS camp, CAST(l_linestatus = 'F' AS INT) AS is_win FROM lineitem WHERE l_returnflag <> 'R'),
+    bans AS (SELECT DISTINCT l_orderkey AS match_uid, l_linenumber AS round_idx, CAST(l_suppkey % 2 AS INT) AS battle_side, CAST(l_suppkey AS INT) AS hero_id, 0 AS is_pick FROM lineitem WHERE l_returnflag = 'R')"""
+
 
 def query(sql=None):
     """Register a function (spark, sf_dir) under its own name, with its oracle."""
@@ -20,24 +54,508 @@ def query(sql=None):
     return add
 
 
+# -- tables in their roles ------------------------------------------------------------------------
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(
-    """
-    WITH cov AS (SELECT c.c_nationkey AS tag, count(*) AS cnt
-                 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1)
-    SELECT c_custkey AS uid, coalesce(cnt, 0) AS coverage
-    FROM customer LEFT JOIN cov ON c_nationkey = tag
-    ORDER BY CASE WHEN c_nationkey IS NULL THEN 999999999 ELSE coalesce(cnt, 0) END, c_custkey LIMIT 50
-    """
-)
+def micros(c):
+    """Microseconds since 1970 of a timestamp without zone, read as UTC."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
+
+
+def entries_to_crawl(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    tag = F.when(F.col("c_custkey") % 10 != 0, F.col("c_nationkey"))
+    return c.select(F.col("c_custkey").alias("uid"), tag.alias("discovery_hero_id"), (F.col("c_custkey") % 3).alias("created_at"))
+
+
+def segments(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey")
+    c = table(spark, sf_dir, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("hero_id"))
+    return o.join(c, "o_custkey").select("hero_id")
+
+
+def players(spark, sf_dir):
+    e = changelog.latest(table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")])
+    seconds = (micros("ts") / 1000000).cast("long")
+    status = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])[F.col("event_type")]
+    return e.select(
+        F.col("user_id").alias("uid"), status.alias("crawl_status"),
+        F.when(F.col("event_id") % 7 != 0, seconds - F.col("user_id") % 5 * 20000).alias("last_crawled_at"),
+        F.when((F.col("event_type") == "click") & (F.col("event_id") % 11 != 0), seconds).alias("claimed_at"),
+    )
+
+
+def log(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("client"), (micros("ts") * 1000 + F.col("event_id") % 1000).alias("seq"), (micros("ts") / F.lit(1000000.0)).alias("at"), (F.col("event_type") == "error").alias("failed"), (F.col("value") / 20).alias("latency"))
+
+
+def history_entries(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.floor(F.col("o_orderkey") / 3).alias("match_uid"), (F.row_number().over(w) - 1).alias("rn"))
+    page = F.floor(F.col("rn") / 5)
+    return rows.select(F.col("o_custkey").alias("uid"), (page * 5).alias("skip"), (F.col("rn") % 5).cast("long").alias("pos"), F.when((F.col("o_custkey") + page) % 4 == 0, 4).otherwise(5).alias("page_size"), "match_uid")
+
+
+def known_matches(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_suppkey % 3 = 0").select(F.floor(F.col("l_orderkey") / 3).alias("match_uid")).distinct()
+
+
+def visited(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.when(F.col("c_custkey") % 2 == 0, 1).alias("last_crawled_at"))
+
+
+def match_tables(spark, sf_dir):
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    matches = o.select(F.col("o_orderkey").alias("match_uid"), F.col("o_orderstatus").alias("season"), F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(2).alias("winner_side"))
+    people = li.where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("match_uid"), F.col("l_partkey").alias("player_uid"), F.col("l_extendedprice").alias("new_score"), F.col("l_discount").alias("add_score"), (F.col("l_suppkey") % 2 + 1).cast("int").alias("camp"), (F.col("l_linestatus") == "F").cast("int").alias("is_win")).distinct()
+    bans = li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("match_uid"), F.col("l_linenumber").alias("round_idx"), (F.col("l_suppkey") % 2).cast("int").alias("battle_side"), F.col("l_suppkey").cast("int").alias("hero_id"), F.lit(0).alias("is_pick")).distinct()
+    return matches, people, bans
+
+
+# -- frontier and state ---------------------------------------------------------------------------
+_COV = """cov AS (SELECT c.c_nationkey AS hero_id FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_nationkey < 20),
+    cnt AS (SELECT hero_id, count(*) AS covered FROM cov GROUP BY 1),
+    q AS (SELECT c_custkey AS uid, CASE WHEN c_custkey % 10 <> 0 THEN c_nationkey END AS tag, c_custkey % 3 AS created_at FROM customer),
+    ranked AS (SELECT uid, created_at, covered, CAST(CASE WHEN tag IS NULL THEN 999999999 ELSE coalesce(covered, 0) END AS BIGINT) AS priority FROM q LEFT JOIN cnt ON tag = hero_id)"""
+
+
+@query(f"WITH {_COV} SELECT uid, created_at, covered, priority FROM ranked ORDER BY priority, created_at, uid LIMIT 50")
 def frontier_topk(spark, sf_dir):
-    """Work items of the least covered tag first; untagged ones last."""
-    customer = table(spark, sf_dir, "customer")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    cov = orders.join(customer.select("c_custkey", "c_nationkey"), "c_custkey").groupBy("c_nationkey").agg(F.count("*").alias("cnt"))
-    coverage = F.coalesce("cnt", F.lit(0))
-    ranked = customer.join(cov, "c_nationkey", "left").withColumn("priority", F.when(F.col("c_nationkey").isNull(), 999999999).otherwise(coverage))
-    return ranked.orderBy("priority", "c_custkey").limit(50).select(F.col("c_custkey").alias("uid"), coverage.alias("coverage"))
+    """Work items of the least covered tag first, untagged ones last."""
+    return frontier.top(entries_to_crawl(spark, sf_dir), segments(spark, sf_dir), "hero_id", 50).select("uid", "created_at", "covered", F.col("priority").cast("long").alias("priority"))
+
+
+@query(f"WITH {_COV} SELECT uid, CAST(row_number() OVER (ORDER BY priority, created_at, uid) - 1 AS BIGINT) AS slot, CAST((row_number() OVER (ORDER BY priority, created_at, uid) - 1) % 3 AS BIGINT) AS worker FROM ranked ORDER BY priority, created_at, uid LIMIT 30")
+def claim_batch(spark, sf_dir):
+    """A batch of the queue dealt to three workers."""
+    top = frontier.top(entries_to_crawl(spark, sf_dir), segments(spark, sf_dir), "hero_id", 30)
+    return frontier.assign(top, 3).select("uid", F.col("slot").cast("long").alias("slot"), F.col("worker").cast("long").alias("worker"))
+
+
+@query(f"WITH {_PLAYERS} SELECT uid, CASE WHEN crawl_status = 'pending' AND uid % 2 = 0 THEN 'claimed' ELSE crawl_status END AS crawl_status, last_crawled_at, CASE WHEN crawl_status = 'pending' AND uid % 2 = 0 THEN {NOW} ELSE claimed_at END AS claimed_at FROM players")
+def claim_pending(spark, sf_dir):
+    """Chosen entries become claimed, if they are pending."""
+    rows = players(spark, sf_dir)
+    return states.claim(rows, rows.where("uid % 2 = 0"), NOW)
+
+
+@query(f"WITH {_PLAYERS} SELECT uid, CASE WHEN crawl_status = 'claimed' THEN 'pending' ELSE crawl_status END AS crawl_status, last_crawled_at, CASE WHEN crawl_status = 'claimed' THEN NULL ELSE claimed_at END AS claimed_at FROM players")
+def release_claims(spark, sf_dir):
+    """Claims given back."""
+    return states.release(players(spark, sf_dir))
+
+
+@query(f"WITH {_PLAYERS} SELECT uid, CASE WHEN uid % 3 = 0 THEN 'error' ELSE crawl_status END AS crawl_status, CASE WHEN uid % 3 = 0 THEN {NOW} ELSE last_crawled_at END AS last_crawled_at, CASE WHEN uid % 3 = 0 THEN NULL ELSE claimed_at END AS claimed_at FROM players")
+def terminal_status(spark, sf_dir):
+    """Outcomes of visits written."""
+    rows = players(spark, sf_dir)
+    return states.finish(rows, rows.where("uid % 3 = 0").select("uid", F.lit("error").alias("outcome")), NOW)
+
+
+_STALE = {"done": f"crawl_status = 'done' AND last_crawled_at < {NOW - 43200}", "error": f"crawl_status = 'error' AND last_crawled_at < {NOW - 3600}", "claimed": f"crawl_status = 'claimed' AND claimed_at < {NOW - 3600}"}
+
+
+@query(f"""WITH {_PLAYERS} SELECT uid, CASE WHEN {_STALE['done']} OR {_STALE['error']} OR {_STALE['claimed']} THEN 'pending' ELSE crawl_status END AS crawl_status,
+    CASE WHEN {_STALE['error']} OR {_STALE['claimed']} THEN NULL ELSE last_crawled_at END AS last_crawled_at, CASE WHEN {_STALE['claimed']} THEN NULL ELSE claimed_at END AS claimed_at FROM players""")
+def requeue_stale(spark, sf_dir):
+    """Entries whose time is over return to the queue."""
+    return states.requeue(players(spark, sf_dir), NOW)
+
+
+@query(f"WITH {_PLAYERS} SELECT count(*) FILTER ({_STALE['done']}) AS n_done, count(*) FILTER ({_STALE['error']}) AS n_error, count(*) FILTER ({_STALE['claimed']}) AS n_claimed FROM players")
+def requeue_counts(spark, sf_dir):
+    """How many would return, by kind."""
+    return states.requeue_counts(players(spark, sf_dir), NOW)
+
+
+@query("""SELECT event_id AS uid, CASE WHEN value < 13 AND event_id % 2 = 0 THEN 'skipped_floor' WHEN event_type = 'error' THEN 'not_indexed' WHEN event_type = 'signup' THEN 'skipped_private'
+    WHEN event_type <> 'view' AND value / 2 < 13 THEN 'skipped_floor' ELSE 'done' END AS outcome FROM events""")
+def crawl_classifier(spark, sf_dir):
+    """The chain of rules that ends a visit."""
+    e = table(spark, sf_dir, "events")
+    visits = e.select(F.col("event_id").alias("uid"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("known_level"), F.when(F.col("event_type") == "error", 404).otherwise(200).alias("http_status"), (F.col("event_type") != "signup").alias("visible"), F.when(F.col("event_type") != "view", F.col("value") / 2).alias("level"))
+    return visits.select("uid", states.classify(visits).alias("outcome"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'done' END AS status, event_type NOT IN ('error', 'purchase') AS released, event_type IN ('click', 'view') AS backs_off FROM events""")
+def outcome_routing(spark, sf_dir):
+    """What each way in which a visit ends leads to."""
+    kind = F.create_map(*[F.lit(x) for kv in {"error": "fetch_failed", "purchase": "finished", "click": "circuit_open", "view": "limited", "signup": "crashed"}.items() for x in kv])
+    return table(spark, sf_dir, "events").withColumn("kind", kind[F.col("event_type")]).select("event_id", *states.route("kind"))
+
+
+# -- change log -----------------------------------------------------------------------------------
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_suppkey DESC, l_partkey DESC) AS rn FROM lineitem) WHERE rn = 1""")
+def upsert_latest(spark, sf_dir):
+    """The last write of each key."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    last = changelog.fold(changelog.writes(rows, ["l_partkey", "l_suppkey", "l_quantity"], F.struct("l_shipdate", "l_suppkey", "l_partkey")), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity"])
+    return last
+
+
+@query("""SELECT user_id, arg_min_null(CASE WHEN event_id % 3 <> 0 THEN event_type END, event_id) AS tag FROM events GROUP BY 1""")
+def first_tag_wins(spark, sf_dir):
+    """The first write of a column stays, null included."""
+    rows = table(spark, sf_dir, "events").withColumn("tag", F.when(F.col("event_id") % 3 != 0, F.col("event_type")))
+    return changelog.earliest_value(rows, ["user_id"], "tag", "event_id")
+
+
+@query("""SELECT user_id, arg_max_null(CASE WHEN event_id % 5 <> 0 THEN value END, event_id) FILTER (event_type <> 'view') AS score, arg_max_null(event_type, event_id) FILTER (event_id % 2 = 0) AS kind, arg_min_null(props, event_id) FILTER (event_type = 'signup') AS origin FROM events GROUP BY 1""")
+def partial_upsert_fold(spark, sf_dir):
+    """Writes of some columns each: absent ones stay, nulls overwrite, first ones hold."""
+    e = table(spark, sf_dir, "events")
+    written = F.array_compact(F.array(F.when(F.col("event_type") != "view", "score"), F.when(F.col("event_id") % 2 == 0, "kind"), F.when(F.col("event_type") == "signup", "origin")))
+    rows = e.select("user_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("score"), F.col("event_type").alias("kind"), F.col("props").alias("origin"), F.col("event_id").alias("seq"), written.alias("set_cols"))
+    return changelog.fold(rows, ["user_id"], ["score", "kind"], ["origin"])
+
+
+# -- histories ------------------------------------------------------------------------------------
+_SCAN = f"""WITH {_ENTRIES},
+    k AS (SELECT e.*, v.last_crawled_at IS NOT NULL AS revisit, kn.match_uid IS NOT NULL OR row_number() OVER (PARTITION BY e.uid, e.match_uid ORDER BY skip, pos) > 1 AS is_known
+          FROM entries e LEFT JOIN known kn USING (match_uid) LEFT JOIN visited v ON v.uid = e.uid),
+    m AS (SELECT *, bool_or(is_known) OVER (PARTITION BY uid ORDER BY skip, pos) AS met FROM k)
+    SELECT uid, skip, pos, match_uid FROM m WHERE NOT is_known AND """
+
+
+@query(_SCAN + "NOT revisit")
+def history_first_crawl(spark, sf_dir):
+    """First visits take every unknown entry."""
+    v = visited(spark, sf_dir)
+    found = history.scan(history_entries(spark, sf_dir), known_matches(spark, sf_dir), v)
+    return found.join(v.where("last_crawled_at IS NULL"), "uid", "left_semi").select("uid", "skip", "pos", "match_uid")
+
+
+@query(_SCAN + "revisit AND NOT met")
+def history_revisit(spark, sf_dir):
+    """Revisits stop at the first known entry."""
+    v = visited(spark, sf_dir)
+    found = history.scan(history_entries(spark, sf_dir), known_matches(spark, sf_dir), v)
+    return found.join(v.where("last_crawled_at IS NOT NULL"), "uid", "left_semi").select("uid", "skip", "pos", "match_uid")
+
+
+@query(f"""WITH {_ENTRIES}, p AS (SELECT DISTINCT uid, skip, page_size FROM entries), t AS (SELECT *, coalesce(bool_or(page_size < 5) OVER (PARTITION BY uid ORDER BY skip ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM p)
+    SELECT e.uid, e.skip, e.pos, e.match_uid FROM entries e JOIN t ON e.uid = t.uid AND e.skip = t.skip WHERE NOT ended""")
+def page_termination(spark, sf_dir):
+    """Nothing after a page that is not full."""
+    return history.reachable(history_entries(spark, sf_dir), full=5).select("uid", "skip", "pos", "match_uid")
+
+
+@query(f"WITH {_ENTRIES} SELECT uid, skip, pos, match_uid FROM entries ANTI JOIN known USING (match_uid)")
+def known_antijoin(spark, sf_dir):
+    """Entries that the store does not have."""
+    return history.unknown(history_entries(spark, sf_dir), known_matches(spark, sf_dir)).select("uid", "skip", "pos", "match_uid")
+
+
+@query(f"""WITH {_ENTRIES}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_uid ORDER BY uid, skip, pos) AS rn FROM entries) WHERE rn = 1)
+    SELECT f.match_uid, f.uid, o_orderpriority AS map_id FROM f LEFT JOIN orders ON o_orderkey = f.match_uid AND o_orderstatus = 'F'""")
+def history_detail_join(spark, sf_dir):
+    """One fetch per match, with its detail where there is one."""
+    detail = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("match_uid"), F.col("o_orderpriority").alias("map_id"))
+    return history.with_details(history.work_list(history_entries(spark, sf_dir)), detail).select("match_uid", "uid", "map_id")
+
+
+# -- seeding --------------------------------------------------------------------------------------
+@query("""WITH s AS (SELECT o_custkey AS uid, CAST(o_orderkey % 40 AS INT) AS tag, 0 AS src, o_orderkey % 40 AS h, o_orderkey AS p FROM orders WHERE o_orderstatus = 'F'
+        UNION ALL SELECT o_custkey, NULL, 1, 0, o_orderkey FROM orders WHERE o_orderstatus <> 'F'),
+    f AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY src, h, p) AS rn FROM s)
+    SELECT uid, tag FROM f WHERE rn = 1 AND uid NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)""")
+def seed_precedence(spark, sf_dir):
+    """Hero boards before the global one; known ids are no seeds."""
+    o = table(spark, sf_dir, "orders")
+    heroes = o.where("o_orderstatus = 'F'").select((F.col("o_orderkey") % 40).cast("int").alias("hero_id"), F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("uid"))
+    everyone = o.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("uid"))
+    stored = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("uid"))
+    return seeding.new_seeds(seeding.seeds(heroes, everyone), stored)
+
+
+@query("""SELECT s_suppkey, last_seeded_at FROM (SELECT s_suppkey, max(epoch_us(l_shipdate) // 1000000) FILTER (l_returnflag = 'R' AND l_suppkey % 4 <> 0) AS last_seeded_at FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1) WHERE last_seeded_at IS NULL OR last_seeded_at < 995000000""")
+def stale_sources(spark, sf_dir):
+    """Boards to read again."""
+    seen = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_suppkey % 4 <> 0").select(F.col("l_suppkey").alias("s_suppkey"), (micros("l_shipdate") / 1000000).cast("long").alias("at"))
+    sources = table(spark, sf_dir, "supplier").select("s_suppkey").join(seen.groupBy("s_suppkey").agg(F.max("at").alias("last_seeded_at")), "s_suppkey", "left")
+    return seeding.stale_sources(sources, 995000000)
+
+
+# -- metrics --------------------------------------------------------------------------------------
+@query(f"WITH {_PLAYERS} SELECT crawl_status, count(*) AS n FROM players GROUP BY 1")
+def status_counts(spark, sf_dir):
+    return metrics.status_counts(players(spark, sf_dir))
+
+
+@query("SELECT count(*) AS n FROM orders")
+def match_count(spark, sf_dir):
+    return table(spark, sf_dir, "orders").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_COV} SELECT hero_id, covered FROM cnt")
+def hero_coverage(spark, sf_dir):
+    return frontier.coverage(segments(spark, sf_dir), "hero_id")
+
+
+@query("WITH c AS (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey), l AS (SELECT list(n ORDER BY n) AS s FROM c) SELECT coalesce(s[1], 0) AS low, coalesce(s[len(s) // 2 + 1], 0) AS median, coalesce(s[len(s)], 0) AS high FROM l")
+def coverage_min_median_max(spark, sf_dir):
+    """Least, upper median and greatest coverage."""
+    return metrics.spread(frontier.coverage(table(spark, sf_dir, "lineitem"), "l_suppkey"))
+
+
+@query(f"WITH {_PLAYERS} SELECT count(*) FILTER (last_crawled_at >= {NOW - 86400}) AS n, count(*) FILTER (last_crawled_at >= {NOW - 86400}) / 1440.0::DOUBLE AS per_minute FROM players")
+def recent_throughput(spark, sf_dir):
+    return metrics.recent(players(spark, sf_dir), NOW, 86400)
+
+
+@query("""WITH q AS (SELECT c_nationkey, count(*) FILTER (c_acctbal > 9000) AS pending, count(*) FILTER (c_acctbal < 0) / 30.0::DOUBLE * (c_nationkey % 3) AS rate FROM customer GROUP BY 1), m AS (SELECT *, CASE WHEN rate > 0 THEN pending / rate END AS minutes FROM q)
+    SELECT c_nationkey, CASE WHEN pending = 0 THEN 'empty' WHEN rate <= 0 THEN 'unknown' WHEN minutes < 60 THEN 'minutes' WHEN minutes < 2880 THEN 'hours' ELSE 'days' END AS unit,
+    CASE WHEN pending > 0 AND rate > 0 THEN CASE WHEN minutes < 60 THEN minutes WHEN minutes < 2880 THEN minutes / 60 ELSE minutes / 1440 END END AS amount FROM m""")
+def eta_bucket(spark, sf_dir):
+    """Time until each queue is empty, in its unit."""
+    q = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") > 9000).alias("pending"), (F.count_if(F.col("c_acctbal") < 0) / F.lit(30.0)).alias("rate")).withColumn("rate", F.col("rate") * (F.col("c_nationkey") % 3))
+    unit, amount = eta(F.col("pending"), F.nullif(F.col("rate"), F.lit(0.0)))
+    unit = F.when(F.col("pending") == 0, "empty").when(F.col("rate") <= 0, "unknown").otherwise(unit)
+    return q.select("c_nationkey", unit.alias("unit"), amount.alias("amount"))
+
+
+@query(f"WITH {_PLAYERS} SELECT count(*) = 0 AS drained FROM players WHERE crawl_status IN ('pending', 'claimed')")
+def queue_drained(spark, sf_dir):
+    return metrics.drained(players(spark, sf_dir))
+
+
+@query(f"WITH {_PLAYERS}, c AS (SELECT crawl_status, count(*) AS n FROM players GROUP BY 1) SELECT (SELECT count(*) FROM orders) AS matches, string_agg(crawl_status || '=' || n, ' ' ORDER BY crawl_status) AS statuses FROM c")
+def progress_line(spark, sf_dir):
+    """Counts of the progress line, statuses by name."""
+    counts = metrics.status_counts(players(spark, sf_dir)).agg(F.expr("listagg(crawl_status || '=' || n, ' ') WITHIN GROUP (ORDER BY crawl_status)").alias("statuses"))
+    return table(spark, sf_dir, "orders").agg(F.count("*").alias("matches")).crossJoin(counts)  # one row each
+
+
+# -- shredding ------------------------------------------------------------------------------------
+def landed_matches(spark, sf_dir):
+    """Raw match documents made of orders and line items: every 17th lacks a player's id, every 19th is cut off."""
+    li = table(spark, sf_dir, "lineitem")
+    hero = F.struct((F.col("l_suppkey") % 50).cast("double").alias("hero_id"), F.col("l_quantity").alias("k"), F.lit(1.0).alias("d"), F.lit(2.0).alias("a"), F.col("l_tax").alias("play_time"))
+    fields = F.struct(F.col("l_discount").alias("add_score"), F.lit(22.0).alias("level"), F.lit(22.0).alias("new_level"), F.col("l_extendedprice").alias("new_score"))
+    person = F.struct(
+        F.when((F.col("l_orderkey") % 17 != 0) | (F.col("l_linenumber") != 1), F.col("l_partkey")).alias("player_uid"), F.concat(F.lit("p"), F.col("l_partkey")).alias("nick_name"), (F.col("l_suppkey") % 2).cast("double").alias("camp"),
+        (F.col("l_suppkey") % 50).cast("double").alias("cur_hero_id"), (F.col("l_linestatus") == "F").cast("double").alias("is_win"), F.col("l_quantity").alias("k"), fields.alias("dynamic_fields"), F.array(hero).alias("player_heroes"),
+    )
+    ban = F.when(F.col("l_returnflag") == "R", F.struct(F.col("l_linenumber").cast("double").alias("round_idx"), F.lit(1.0).alias("battle_side"), (F.col("l_partkey") % 50).cast("double").alias("hero_id"), F.lit(0.0).alias("is_pick")))
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    docs = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), person.alias("p"), ban.alias("b")))).alias("x"))
+    doc = F.struct(
+        F.col("l_orderkey").cast("string").alias("match_uid"), F.col("l_orderkey").alias("match_time_stamp"), F.concat(F.lit("9"), F.col("l_orderkey")).alias("replay_id"),
+        F.struct(F.array_compact(F.transform("x", lambda e: e["b"])).alias("ban_pick_info")).alias("dynamic_fields"), F.transform("x", lambda e: e["p"]).alias("match_players"),
+    )
+    raw = F.to_json(doc)
+    return docs.select(F.when(F.col("l_orderkey") % 19 == 0, F.substring(raw, 1, 40)).otherwise(raw).alias("raw"), F.col("l_orderkey").alias("seq"))
+
+
+_OK = "l_orderkey % 19 <> 0 AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 17 = 0 AND l_linenumber = 1)"
+
+
+def admitted_matches(spark, sf_dir):
+    return shred.admitted(payloads.matches(landed_matches(spark, sf_dir)))
+
+
+@query(f"SELECT count(DISTINCT l_orderkey) FILTER ({_OK}) AS admitted, count(DISTINCT l_orderkey) FILTER (NOT ({_OK})) AS rejected FROM lineitem")
+def admit_quarantine(spark, sf_dir):
+    """Matches that enter whole and those that do not at all."""
+    good, bad = admitted_matches(spark, sf_dir)
+    return good.agg(F.count("*").alias("admitted")).crossJoin(bad.agg(F.count("*").alias("rejected")))  # one row each
+
+
+@query(f"SELECT CAST(l_orderkey AS VARCHAR) AS match_uid, l_partkey AS player_uid, CAST(l_suppkey % 2 AS INT) AS camp, CAST(l_quantity AS INT) AS k, l_discount AS add_score, l_extendedprice AS new_score, 22 AS new_level FROM lineitem WHERE {_OK}")
+def shred_players(spark, sf_dir):
+    """Players of nested matches."""
+    return shred.player_rows(admitted_matches(spark, sf_dir)[0]).select("match_uid", "player_uid", "camp", "k", "add_score", "new_score", "new_level")
+
+
+@query(f"SELECT CAST(l_orderkey AS VARCHAR) AS match_uid, l_linenumber AS round_idx, 1 AS battle_side, CAST(l_partkey % 50 AS INT) AS hero_id, 0 AS is_pick FROM lineitem WHERE {_OK} AND l_returnflag = 'R'")
+def shred_bans(spark, sf_dir):
+    """Bans of nested matches."""
+    return shred.ban_rows(admitted_matches(spark, sf_dir)[0])
+
+
+@query(f"SELECT CAST(l_orderkey AS VARCHAR) AS match_uid, l_partkey AS player_uid, CAST(l_suppkey % 50 AS INT) AS hero_id, CAST(l_quantity AS INT) AS k, l_tax AS play_time FROM lineitem WHERE {_OK}")
+def shred_segments(spark, sf_dir):
+    """Two levels down: hero segments of players of matches."""
+    return shred.segment_rows(admitted_matches(spark, sf_dir)[0]).select("match_uid", "player_uid", "hero_id", "k", "play_time")
+
+
+@query(f"SELECT DISTINCT CAST(h AS INT) AS hero_id FROM (SELECT l_suppkey % 50 AS h FROM lineitem WHERE {_OK} UNION ALL SELECT l_partkey % 50 FROM lineitem WHERE {_OK} AND l_returnflag = 'R')")
+def heroes_seen(spark, sf_dir):
+    return shred.heroes_seen(admitted_matches(spark, sf_dir)[0])
+
+
+@query(f"""WITH w AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem WHERE {_OK} AND l_linestatus = 'F')
+    SELECT CAST(m.k AS VARCHAR) AS match_uid, CAST('9' || m.k AS BIGINT) AS replay_id, CAST(l_suppkey % 2 AS INT) AS winner_side FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE {_OK}) m LEFT JOIN w ON l_orderkey = m.k AND rn = 1""")
+def first_match_element(spark, sf_dir):
+    """Camp of the first winner, and the replay id out of its text."""
+    return shred.match_rows(admitted_matches(spark, sf_dir)[0], 19, NOW).select("match_uid", "replay_id", "winner_side")
+
+
+@query("SELECT conv_id, turn, role, length(text) AS n FROM conversations")
+def shred_reassemble(spark, sf_dir):
+    """Turns into arrays and back."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return c.select("conv_id", F.inline("turns")).select("conv_id", "turn", "role", F.char_length("text").cast("long").alias("n"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
+def json_props(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.from_json("props", "k DOUBLE")["k"].cast("int").alias("k"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 7 <> 0 THEN CAST(c_nationkey AS INT) END AS level, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 7 <> 0 THEN c_acctbal END AS score FROM customer")
+def rank_blob_of_season(spark, sf_dir):
+    """Doubly encoded ranks under a key that depends on the season; null where missing or broken."""
+    inner = F.to_json(F.struct(F.struct(F.col("c_nationkey").cast("double").alias("level"), F.col("c_acctbal").alias("rank_score")).alias("rank_game")))
+    info = F.create_map(F.when(F.col("c_custkey") % 3 == 0, "rank_game_1001018").otherwise("rank_game_1001019"), F.when(F.col("c_custkey") % 7 == 0, "{broken").otherwise(inner))
+    raw = table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct(F.struct(info.alias("info")).alias("player"))).alias("raw"))
+    return raw.withColumn("r", rank_blob("raw", F.lit(19))).select("c_custkey", "r.level", "r.score")
+
+
+@query("""SELECT c_custkey, '{"players":[{"name":"' || c_name || '","uid":' || c_custkey || '},{"name":"' || c_name || '","uid":' || c_custkey || '}]}' AS resolved FROM customer""")
+def devalue_resolve(spark, sf_dir):
+    """Flat reference arrays, one per customer, with a wrapper and a shared entry."""
+    c = table(spark, sf_dir, "customer")
+    head = '[{"data":1},{"page":2},["Reactive",3],{"players":4},[5,5],{"uid":6,"name":7},'
+    return c.select("c_custkey", resolve(F.concat(F.lit(head), F.col("c_custkey").cast("string"), F.lit(',"'), F.col("c_name"), F.lit('"]'))).alias("resolved"))
+
+
+# -- quality and analysis -------------------------------------------------------------------------
+@query(f"WITH {_MATCHES} SELECT match_uid, count(*) AS n FROM mplayers GROUP BY 1 HAVING count(*) <> 3")
+def group_size_violations(spark, sf_dir):
+    return quality.group_sizes(match_tables(spark, sf_dir)[1], "match_uid", 3)
+
+
+@query(f"WITH {_MATCHES}, s AS (SELECT match_uid, min(camp) AS low, max(camp) AS high FROM mplayers WHERE is_win <> 0 GROUP BY 1) SELECT match_uid, winner_side, low, high FROM matches LEFT JOIN s USING (match_uid) WHERE low IS NULL OR low <> high OR winner_side <> low")
+def winner_consistency(spark, sf_dir):
+    return quality.winner_conflicts(*match_tables(spark, sf_dir)[:2])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ANTI JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey")
+def fk_orphans(spark, sf_dir):
+    parents = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return quality.orphans(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), parents, "l_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def pk_duplicates(spark, sf_dir):
+    return quality.duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT count(*) FILTER (event_type = 'signup') AS missing, count(*) AS n FROM events")
+def attrition(spark, sf_dir):
+    return quality.attrition(table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "signup", 404).otherwise(200).alias("http_status")))
+
+
+@query(f"WITH {_MATCHES} SELECT match_uid, player_uid, season, round_idx, hero_id, new_score - add_score AS pre_score FROM mplayers JOIN matches USING (match_uid) JOIN bans USING (match_uid)")
+def regression_join(spark, sf_dir):
+    """Matches, players and bans, one row for each pair of the latter."""
+    return analytics.exploded(*match_tables(spark, sf_dir)).select("match_uid", "player_uid", "season", "round_idx", "hero_id", "pre_score")
+
+
+@query(f"""WITH {_MATCHES}, b AS (SELECT match_uid, string_agg(round_idx || ':' || hero_id, ',' ORDER BY round_idx, battle_side, hero_id) AS bans FROM bans GROUP BY 1) SELECT match_uid, player_uid, season, bans, new_score - add_score AS pre_score FROM mplayers JOIN matches USING (match_uid) LEFT JOIN b USING (match_uid)""")
+def regression_nested(spark, sf_dir):
+    """The same without fan-out: bans in one ordered list."""
+    rows = analytics.nested(*match_tables(spark, sf_dir))
+    return rows.select("match_uid", "player_uid", "season", F.array_join(F.transform("bans", lambda b: F.concat_ws(":", b["round_idx"], b["hero_id"])), ",").alias("bans"), "pre_score")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice - l_discount AS pre_score FROM lineitem")
+def pre_score(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("new_score"), F.col("l_discount").alias("add_score"))
+    return analytics.before_score(rows).drop("new_score", "add_score")
+
+
+# -- responses ------------------------------------------------------------------------------------
+@query("""WITH r AS (SELECT event_id, event_type = 'signup' AS broken, CASE event_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 429 WHEN 2 THEN 403 WHEN 3 THEN 503 WHEN 4 THEN 418 ELSE 200 END AS code FROM events)
+    SELECT event_id, CASE WHEN broken THEN 'failed' WHEN code = 404 THEN 'missing' WHEN code IN (429, 403) THEN 'limited' WHEN code >= 500 THEN 'failed' ELSE 'ok' END AS class FROM r""")
+def status_classification(spark, sf_dir):
+    code = F.element_at(F.array(*map(F.lit, (404, 429, 403, 503, 418, 200, 200))), (F.col("event_id") % 7 + 1).cast("int"))
+    e = table(spark, sf_dir, "events").select("event_id", code.alias("status"), (F.col("event_type") == "signup").alias("broken"))
+    return e.select("event_id", response_class("status", F.col("broken")).alias("class"))
+
+
+@query(f"WITH {_LOG}, i AS (SELECT *, count(*) FILTER (NOT failed) OVER (PARTITION BY client ORDER BY seq) AS island FROM log) SELECT client, min(seq) AS first, count(*) AS length FROM i WHERE failed GROUP BY client, island HAVING count(*) >= 2")
+def failure_streaks(spark, sf_dir):
+    return folds.failure_streaks(log(spark, sf_dir))
+
+
+_PACE = f"""WITH RECURSIVE {_LOG}, o AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY seq) AS i, count(*) OVER (PARTITION BY client) AS n FROM log),
+    f AS (SELECT DISTINCT client, 0::BIGINT AS i, 1.0::DOUBLE AS delay, 0 AS streak FROM log
+          UNION ALL SELECT o.client, o.i, CASE WHEN failed THEN least(8.0::DOUBLE, delay * 2.0::DOUBLE) WHEN latency > 2.0 THEN least(8.0::DOUBLE, delay * 1.5::DOUBLE) WHEN streak + 1 >= 3 THEN greatest(0.2::DOUBLE, delay * 0.95::DOUBLE) ELSE delay END,
+                 CASE WHEN failed OR latency > 2.0 THEN 0 ELSE streak + 1 END FROM f JOIN o ON o.client = f.client AND o.i = f.i + 1)"""
+
+
+@query(_PACE + " SELECT f.client, delay, streak FROM f JOIN (SELECT client, max(i) AS i FROM f GROUP BY 1) USING (client, i)")
+def adaptive_delay(spark, sf_dir):
+    """The pace that each client's log leads to."""
+    return folds.adaptive_delay(log(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_LOG}, o AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY seq) AS i FROM log),
+    f AS (SELECT DISTINCT client, 0::BIGINT AS i, 0 AS failures, 0 AS openings, NULL::DOUBLE AS open_until FROM log
+          UNION ALL SELECT o.client, o.i, CASE WHEN coalesce(sec < open_until, false) THEN failures WHEN failed THEN failures + 1 ELSE 0 END,
+                 CASE WHEN NOT coalesce(sec < open_until, false) AND failed AND failures + 1 >= 2 THEN openings + 1 ELSE openings END,
+                 CASE WHEN NOT coalesce(sec < open_until, false) AND failed AND failures + 1 >= 2 THEN sec + 20000 ELSE open_until END FROM f JOIN o ON o.client = f.client AND o.i = f.i + 1)
+    SELECT f.client, failures, openings, open_until FROM f JOIN (SELECT client, max(i) AS i FROM f GROUP BY 1) USING (client, i)""")
+def circuit_breaker(spark, sf_dir):
+    """Openings of the breaker, with a low threshold and a long pause."""
+    return folds.circuit(log(spark, sf_dir), threshold=2, cooldown=20000)
+
+
+@query("""WITH a AS (SELECT event_id // 3 AS request, event_id % 3 AS attempt, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'limited' WHEN 'signup' THEN 'missing' WHEN 'purchase' THEN 'failed' ELSE 'ok' END AS kind FROM events),
+    l AS (SELECT request, count(*) AS attempts, arg_max(kind, attempt) AS kind FROM a GROUP BY 1)
+    SELECT request, attempts, CASE WHEN kind IN ('ok', 'missing') THEN kind WHEN attempts >= 3 AND kind = 'limited' THEN 'rate_limited' WHEN attempts >= 3 THEN 'fetch_failed' ELSE 'retry' END AS outcome FROM l""")
+def exhausted_retries(spark, sf_dir):
+    """What a request came to after its attempts."""
+    kind = F.create_map(*[F.lit(x) for kv in {"error": "failed", "click": "limited", "signup": "missing", "purchase": "failed", "view": "ok"}.items() for x in kv])
+    e = table(spark, sf_dir, "events")
+    return folds.last_attempts(e.select(F.floor(F.col("event_id") / 3).alias("request"), (F.col("event_id") % 3).alias("attempt"), kind[F.col("event_type")].alias("kind")))
+
+
+# -- streams --------------------------------------------------------------------------------------
+def folder(spark):
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnwater-")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def event_stream(spark, sf_dir):
+    """The events as a stream of files."""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def stream_latest(spark, sf_dir):
+    """The latest event of each user, merged batch by batch."""
+    at = folder(spark)
+    read = jobs.latest_stream(event_stream(spark, sf_dir), f"{at}/out", f"{at}/checkpoint", ["user_id"], [F.desc("ts"), F.desc("event_id")])
+    return read().select("event_id", "user_id", "event_type", "value")
+
+
+@query("""WITH w AS (SELECT epoch_us(ts) // 3600000000 - unnest(range(0, 6)) AS h FROM events WHERE event_type = 'purchase') SELECT h * 3600 AS start, count(*) AS n, count(*) / 360.0::DOUBLE AS per_minute FROM w GROUP BY 1""")
+def sliding_throughput(spark, sf_dir):
+    """Purchases in windows of six hours, an hour apart."""
+    e = table(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("ts", F.timestamp_micros(micros("ts")))
+    return jobs.throughput(e, "360 minutes", "60 minutes").select((F.unix_micros("start") / 1000000).cast("long").alias("start"), "n", "per_minute")
+
+
+@query(_PACE + " SELECT f.client, delay, streak, i AS n FROM f JOIN (SELECT client, max(i) AS i FROM f GROUP BY 1) USING (client, i)")
+def stream_pace(spark, sf_dir):
+    """The adaptive pace as a stateful stream."""
+    at = folder(spark)
+    e = event_stream(spark, sf_dir)
+    rows = e.select(F.col("user_id").alias("client"), (micros("ts") * 1000 + F.col("event_id") % 1000).alias("seq"), (F.col("event_type") == "error").alias("failed"), (F.col("value") / 20).alias("latency"))
+
+    def batch(df, n):
+        df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{at}/out")
+
+    query = jobs.pace(rows).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.schema("client long, delay double, streak int, n long, batch long").parquet(f"{at}/out")
+    return changelog.latest(out, ["client"], [F.desc("n")]).select("client", "delay", "streak", "n")
