@@ -11,6 +11,7 @@ state it is entered in to the state it is left in, and a parallel prefix scan co
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ LETTER, STMD, R, V, EL, EE, NUMBER, SPACE, WHITE, APOSTROPHE, OTHER, END = range
 START, IN_L, IN_N, IN_O, SP, WS, SPS, WSS, AP, AP_RV, AP_L, DONE = range(12)
 HERE, BEFORE = 1, 2  # a token begins at this character, at the one before
 CHUNK = 256
+#: Pretokens that the library encodes at a time.
+ENCODED = 1 << 12
 SURE = regex.compile(r"(?<=\S)(?=\s)")
 #: Separates texts; where a text holds it itself, it is an ordinary character.
 SEPARATOR = "\U0010ffff"
@@ -126,7 +129,9 @@ class Transducer:
     def learn(self, pieces, hashes):
         if len(self.known) + len(hashes) > self.KEPT:
             self.known, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        counts = np.array([len(e.ids) for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)], np.int64)
+        counts = np.zeros(len(pieces), np.int64)
+        for a in range(0, len(pieces), ENCODED):  # the library's encodings are large
+            counts[a : a + ENCODED] = [len(e.ids) for e in self.tokenizer.encode_batch(pieces[a : a + ENCODED], add_special_tokens=False)]
         known, counts = np.concatenate([self.known, hashes]), np.concatenate([self.counts, counts])
         order = np.argsort(known)
         self.known, self.counts = known[order], counts[order]
@@ -179,6 +184,12 @@ class Transducer:
         return out
 
 
+@lru_cache(maxsize=1)
+def transducer_of(json):
+    """One transducer for all tasks of a worker: its memory is not given back between them."""
+    return Transducer(json)
+
+
 def count_tokens(docs, tokenizer_path, id_col="doc_id", text_col="text", limit=1024):
     """One row per row of docs: its bytes, its tokens, whether these exceed `limit`.
 
@@ -191,7 +202,7 @@ def count_tokens(docs, tokenizer_path, id_col="doc_id", text_col="text", limit=1
         json = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
-        transducer = Transducer(json.value)
+        transducer = transducer_of(json.value)
         for batch in batches:
             strings = texts(batch)
             counts = transducer(strings)
