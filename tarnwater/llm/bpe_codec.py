@@ -13,6 +13,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -22,6 +23,8 @@ from .common import keyed, steps, texts
 
 #: Characters of byte-level text that are encoded in one piece, and tokens a window starts with.
 LEAF, WINDOW = 512, 8
+#: Pretokens that the library encodes at a time.
+ENCODED = 1 << 12
 #: Distinct pretokens whose encodings are kept; beyond that the table starts anew.
 KEPT = 1 << 18
 #: Below this, lower case is the same for a character alone as in its context (but for İ).
@@ -114,8 +117,10 @@ class Codec:
     def learn(self, words):
         """Fill the table for pretokens that are not in it yet."""
         short = [w for w in words if len(w) <= self.leaf]
-        for w, e in zip(short, self.library.encode_batch(short, add_special_tokens=False)):
-            self.keep(w, e.ids)
+        for a in range(0, len(short), ENCODED):  # the library's encodings are large
+            part = short[a : a + ENCODED]
+            for w, e in zip(part, self.library.encode_batch(part, add_special_tokens=False)):
+                self.keep(w, e.ids)
         for w in words:
             if len(w) > self.leaf:
                 self.keep(w, self.long(w))
@@ -150,6 +155,12 @@ class Codec:
             yield sum(f[0] for f in found), " ".join(f[1] for f in found), " ".join(f[2] for f in found)
 
 
+@lru_cache(maxsize=1)
+def codec_of(text):
+    """One codec for all tasks of a worker: its memory is not given back between them."""
+    return Codec(text)
+
+
 def encode_decode(docs, tokenizer_path, id_col="doc_id", text_col="text", keep_texts=True):
     """One row per row of docs: n_tokens, ids (decimal, joined by a space) and decoded text, with
     their SHA-256 (the strings themselves only with keep_texts).
@@ -162,7 +173,7 @@ def encode_decode(docs, tokenizer_path, id_col="doc_id", text_col="text", keep_t
         text = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        codec = Codec(text.value)
+        codec = codec_of(text.value)
         for batch in batches:
             strings = texts(batch)
             rows = [r for a, b in steps(map(len, strings)) for r in coded(codec, strings[a:b], keep_texts)]
