@@ -5,6 +5,7 @@ The log has (client, seq, failed, latency); seq is a total order within a client
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,28 +15,65 @@ EASE, SLOW, DOUBLE = 0.95, 1.5, 2.0
 STREAK, SLOW_SECONDS = 3, 2.0
 THRESHOLD, COOLDOWN = 10, 300
 
+#: Types of what a state holds.
+KINDS = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64()}
 
-def ordered(log, *columns):
-    """(client, steps): each client's responses in order, as one array."""
-    return log.groupBy("client").agg(F.sort_array(F.collect_list(F.struct("seq", *columns))).alias("steps"))
 
+def same(a, b):
+    """Whether two clients are one, as Spark groups them: nulls are alike, and so are NaNs."""
+    return a == b or (a != a and b != b)
 
-def delay_step(state, failed, latency):
-    """(delay, streak) after one response, as columns."""
-    delay, streak = state["delay"], state["streak"]
-    slow = latency > SLOW_SECONDS
-    eased = F.when(streak + 1 >= STREAK, F.greatest(F.lit(LOWEST), delay * EASE)).otherwise(delay)
-    return F.struct(
-        F.when(failed, F.least(F.lit(HIGHEST), delay * DOUBLE)).when(slow, F.least(F.lit(HIGHEST), delay * SLOW)).otherwise(eased).alias("delay"),
-        F.when(failed | slow, F.lit(0)).otherwise(streak + 1).alias("streak"),
-    )
+
+def folded(log, order, values, start, step, state):
+    """(client, *state) at the end of each client's responses, taken by the columns `order`.
+
+    Spark sorts the responses, which spills, and step(state, *values) folds one of them in Python.
+    From one Arrow batch to the next only the state of the client at hand is kept.
+    """
+    kind = log.schema["client"].dataType.simpleString()
+    rows = log.repartition("client").sortWithinPartitions("client", *order).select("client", *values)
+    types = [KINDS[k] for k in state.values()]
+
+    def run(batches):
+        last = None  # (client, state) at hand
+        for batch in batches:
+            done = []
+            for client, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if last is None or not same(client, last[0]):
+                    done += [last] if last else []
+                    last = client, start
+                last = client, step(last[1], *row)
+            if done:
+                yield made(done, batch.schema.field(0).type)
+            of = batch.schema.field(0).type
+        if last:
+            yield made([last], of)
+
+    def made(done, of):
+        columns = zip(*(x for _, x in done))
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in done], of), *map(pa.array, columns, types)], ["client", *state])
+
+    return rows.mapInArrow(run, ", ".join([f"client {kind}", *(f"{c} {k}" for c, k in state.items())]))
+
+
+def troubles():
+    """(failed, slow) of a response, as columns; null is neither."""
+    return F.coalesce("failed", F.lit(False)).alias("failed"), F.coalesce(F.col("latency") > SLOW_SECONDS, F.lit(False)).alias("slow")
+
+
+def delay_step(state, failed, slow):
+    """(delay, streak) after one response."""
+    delay, streak = state
+    if failed:
+        return min(HIGHEST, delay * DOUBLE), 0
+    if slow:
+        return min(HIGHEST, delay * SLOW), 0
+    return max(LOWEST, delay * EASE) if streak + 1 >= STREAK else delay, streak + 1
 
 
 def adaptive_delay(log):
     """(client, delay, streak) at the end of the log."""
-    start = F.struct(F.lit(START).alias("delay"), F.lit(0).alias("streak"))
-    rows = ordered(log, "failed", "latency")
-    return rows.select("client", F.aggregate("steps", start, lambda s, x: delay_step(s, x["failed"], x["latency"])).alias("s")).select("client", "s.delay", "s.streak")
+    return folded(log, ["seq", "failed", "latency"], troubles(), (START, 0), delay_step, {"delay": "double", "streak": "int"})
 
 
 def circuit(log, threshold=THRESHOLD, cooldown=COOLDOWN):
@@ -44,19 +82,16 @@ def circuit(log, threshold=THRESHOLD, cooldown=COOLDOWN):
     A request while the circuit is open is refused and changes nothing. The failure counter stays
     when it opens, so the first failure afterwards opens it again.
     """
-    start = F.struct(F.lit(0).alias("failures"), F.lit(0).alias("openings"), F.lit(None).cast("double").alias("open_until"))
-
-    def step(s, x):
-        refused = F.coalesce(x["at"] < s["open_until"], F.lit(False))
-        failures = F.when(x["failed"], s["failures"] + 1).otherwise(0)
-        opens = x["failed"] & (failures >= threshold)
-        return F.struct(
-            F.when(refused, s["failures"]).otherwise(failures).alias("failures"),
-            F.when(~refused & opens, s["openings"] + 1).otherwise(s["openings"]).alias("openings"),
-            F.when(~refused & opens, x["at"] + cooldown).otherwise(s["open_until"]).alias("open_until"),
-        )
-
-    return ordered(log, "at", "failed").select("client", F.aggregate("steps", start, step).alias("s")).select("client", "s.*")
+
+    def step(state, at, until, failed):
+        failures, openings, open_until = state
+        if at is not None and open_until is not None and at < open_until:
+            return state
+        failures = failures + 1 if failed else 0
+        return (failures, openings + 1, until) if failed and failures >= threshold else (failures, openings, open_until)
+
+    values = F.col("at").cast("double").alias("at"), (F.col("at") + cooldown).cast("double").alias("until"), "failed"
+    return folded(log, ["seq", "at", "failed"], values, (0, 0, None), step, {"failures": "int", "openings": "int", "open_until": "double"})
 
 
 def failure_streaks(log, least=2):

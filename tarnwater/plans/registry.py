@@ -551,11 +551,4 @@ def stream_pace(spark, sf_dir):
     at = folder(spark)
     e = event_stream(spark, sf_dir)
     rows = e.select(F.col("user_id").alias("client"), (micros("ts") * 1000 + F.col("event_id") % 1000).alias("seq"), (F.col("event_type") == "error").alias("failed"), (F.col("value") / 20).alias("latency"))
-
-    def batch(df, n):
-        df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{at}/out")
-
-    query = jobs.pace(rows).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    out = spark.read.schema("client long, delay double, streak int, n long, batch long").parquet(f"{at}/out")
-    return changelog.latest(out, ["client"], [F.desc("n")]).select("client", "delay", "streak", "n")
+    return jobs.pace(rows, f"{at}/out", f"{at}/checkpoint")()

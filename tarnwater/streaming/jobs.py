@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import folds
 from ..operators.ingest import ingest
 
-PACE_STATE = "delay double, streak int, n long"
-
 
 def ingest_stream(landed, store, season, now, checkpoint, **options):
     """Start merging landed matches (raw, seq) into the store, one commit per micro-batch.
@@ -30,32 +28,42 @@ def throughput(finished, window="10 minutes", slide="1 minute", late="10 minutes
     return counts.select(F.col("window.start").alias("start"), "n", (F.col("n") / F.lit(minutes)).alias("per_minute"))
 
 
-def pace(responses):
-    """(client, delay, streak, n) after each batch of a stream of (client, seq, failed, latency).
+def pace(responses, sink, checkpoint):
+    """Keep (client, delay, streak, n) of a stream of (client, seq, failed, latency) in the folder `sink`.
 
-    The state of a client, three numbers, survives restarts in the checkpoint; within a batch its
-    responses are folded in the order of seq.
+    The state of a client, three numbers, is in versions there: each micro-batch folds its responses,
+    in the order of seq, from the version before it into a new one, so a batch that is run again
+    changes nothing twice. Spark can't sort a stream before a state function; within a micro-batch it
+    can, and no task holds a client's responses. Returns a function that reads the result.
     """
+    spark = responses.sparkSession
+    state = {"delay": "double", "streak": "int", "n": "long"}
+    kind = responses.schema["client"].dataType.simpleString()
+    schema = f"client {kind}, " + ", ".join(f"{c} {k}" for c, k in state.items())
 
-    def step(key, frames, state):
-        import pandas as pd
-
-        delay, streak, n = state.get if state.exists else (folds.START, 0, 0)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for failed, latency in zip(rows.failed, rows.latency):
-            if failed:
-                delay, streak = min(folds.HIGHEST, delay * folds.DOUBLE), 0
-            elif latency > folds.SLOW_SECONDS:
-                delay, streak = min(folds.HIGHEST, delay * folds.SLOW), 0
-            else:
-                streak += 1
-                delay = max(folds.LOWEST, delay * folds.EASE) if streak >= folds.STREAK else delay
-            n += 1
-        state.update((delay, streak, n))
-        yield pd.DataFrame({"client": [key[0]], "delay": [delay], "streak": [streak], "n": [n]})
+    def step(now, failed, slow, *before):
+        if before[0] is not None:
+            return before
+        return *folds.delay_step(now[:2], failed, slow), now[2] + 1
 
-    kind = responses.schema["client"].dataType.simpleString()
-    return responses.groupBy("client").applyInPandasWithState(step, f"client {kind}, {PACE_STATE}", PACE_STATE, "update", "NoTimeout")
+    def batch(df, n):
+        rows = df.select("client", F.lit(1).alias("turn"), "seq", "failed", "latency")
+        if n:
+            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{sink}/v{n - 1}").withColumn("turn", F.lit(0)), allowMissingColumns=True)
+        else:
+            rows = rows.withColumns({c: F.lit(None).cast(k) for c, k in state.items()})
+        folds.folded(rows, ["turn", "seq", "failed", "latency"], [*folds.troubles(), *state], (folds.START, 0, 0), step, state).write.mode("overwrite").parquet(f"{sink}/v{n}")
+
+    query = responses.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+    def read():
+        found = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/v*/_SUCCESS")
+        found = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found) or []
+        last = max((int(f.getPath().getParent().getName()[1:]) for f in found), default=None)
+        return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{sink}/v{last}")
+
+    return read
 
 
 def latest_stream(events, sink, checkpoint, key, order):

@@ -224,6 +224,42 @@ def test_pace(spark, steps):
     assert [tuple(r) for r in folds.adaptive_delay(log).collect()] == ([(1, delay, streak)] if steps else [])
 
 
+def test_folds_gather_no_log(spark):
+    """A client's responses come in many batches; no row and no task holds its log."""
+    log = spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, IF(id % 3 = 1, 1L, 7L)) AS client", "(id * 7) % 3001 AS seq", "double(id % 97) AS at", "IF(id % 11 = 0, NULL, id % 13 = 0) AS failed", "CASE id % 17 WHEN 0 THEN NULL WHEN 1 THEN double('NaN') ELSE id % 17 / 7 END AS latency")
+    want = {}
+    for r in sorted(log.collect(), key=lambda r: r.seq):
+        delay, streak = want.get(r.client, (1.0, 0))
+        slow = r.latency is not None and (r.latency > 2 or r.latency != r.latency)
+        if r.failed or slow:
+            want[r.client] = min(8.0, delay * (2 if r.failed else 1.5)), 0
+        else:
+            want[r.client] = max(0.2, delay * 0.95) if streak >= 2 else delay, streak + 1
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        assert {r.client: (r.delay, r.streak) for r in folds.adaptive_delay(log).collect()} == want
+        assert sum(r.openings > 0 for r in folds.circuit(log, threshold=2, cooldown=9).collect()) == 3
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for df in (folds.adaptive_delay(log), folds.circuit(log)):
+        assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
+def test_pace_from_batch_to_batch(spark, tmp_path):
+    """The state goes on from one micro-batch and start to the next; null and NaN count as in the batch form."""
+    log = spark.createDataFrame([(i % 3, i, i % 5 == 0 if i % 7 else None, [0.1, None, float("nan"), 2.5][i * 7 % 4 if i % 3 else 0]) for i in range(240)], "client long, seq long, failed boolean, latency double")
+    out, check, landed = (str(tmp_path / x) for x in ("out", "check", "landed"))
+    (tmp_path / "landed").mkdir()
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    for part in (0, 1, 2, None):  # the last start finds nothing new
+        if part is not None:
+            log.where(f"seq div 80 = {part}").orderBy(F.desc("seq")).coalesce(1).write.mode("append").parquet(landed)
+        got = jobs.pace(stream, out, check)()
+    want = {(r.client, r.delay, r.streak, 80) for r in folds.adaptive_delay(log).collect()}
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 3
+
+
 def test_circuit_opens_again_at_once(spark):
     at = [*range(10), 200.0, 310.0, 311.0]
     log = spark.createDataFrame([(1, i, float(t), t != 311.0) for i, t in enumerate(at)], "client long, seq long, at double, failed boolean")
