@@ -1,7 +1,7 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Only ids and lengths are packed. Rows are dealt by a hash of the id into blocks of about equal
-size; within a block, pieces of decreasing length go into the fullest open bin that holds them, or
+Only ids and lengths are packed. Rows are dealt by a hash of id and length into blocks of about equal
+size, those that agree in both in lots of a few; within a block, pieces of decreasing length go into the fullest open bin that holds them, or
 open the bin size of least cost for what it can be filled with. Which sizes may be opened is itself
 optimised: the block is packed with every set of the smallest sizes, and the cheapest result stays.
 At last each bin is downsized to the least permitted length that holds its contents.
@@ -21,6 +21,8 @@ from .common import stored
 SIZES = (256, 512, 1024, 2048, 4096)
 BLOCK = 2048
 EVEN = 8192
+#: Pieces of one id and length that are dealt together, at most.
+LOT = 16
 
 
 def price(size):
@@ -83,9 +85,14 @@ def pack(docs, length=None, id_col="doc_id", sizes=SIZES, block=BLOCK):
     some = rows.where("n > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / top) - 1).cast("int"))))
     some = some.withColumn("start", F.col("piece").cast("long") * top).withColumn("length", F.least(F.lit(top).cast("long"), F.col("n") - F.col("start")))
     blocks = max(1, round(some.count() / block))
-    some = some.select(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).alias("block"), "doc_id", "piece", "start", "length")
+    # pieces that agree in all are counted, and dealt in small lots, so no id fills a block
+    alike = some.groupBy("doc_id", "piece", "start", "length").agg(F.count("*").alias("n"))
+    lots = alike.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOT))))
+    lots = lots.withColumn("copies", F.least(F.lit(LOT).cast("long"), F.col("n") - F.col("lot") * LOT))
+    some = lots.select(F.pmod(F.xxhash64("doc_id", "piece", "length", "lot"), F.lit(blocks)).alias("block"), "doc_id", "piece", "start", "length", "copies")
 
     def run(found):
+        found = found.take(np.repeat(np.arange(len(found)), found["copies"].to_numpy()))
         order = [(f, "descending" if f == "length" else "ascending") for f in ("length", "doc_id", "piece")]
         found = found.sort_by(order)
         placed = pack_block(found["length"].to_pylist(), sizes)

@@ -68,3 +68,14 @@ def test_operator(spark):
     again = pack(docs.repartition(2, F.rand(3)), sizes=SIZES, block=64)
     assert sorted(map(str, again.collect())) == sorted(map(str, got))
     assert pack(docs.limit(0)).count() == 0
+
+
+def test_one_id_fills_no_block(spark):
+    """A third of the rows have no id and another third the same id: no block holds much more than its share."""
+    docs = spark.range(6000).selectExpr("CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN -1 ELSE id END AS doc_id", "IF(id % 2 = 0, 5, 1 + id % 40) AS n")
+    got = pack(docs, length=F.col("n"), sizes=SIZES, block=100).collect()
+    assert sum(r.length for r in got) == docs.agg(F.sum("n")).first()[0]
+    blocks = {}
+    for r in got:
+        blocks[r.bin_id >> 32] = blocks.get(r.bin_id >> 32, 0) + 1
+    assert len(blocks) > 50 and max(blocks.values()) < 400
