@@ -38,13 +38,19 @@ def lines(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Of each group of near duplicates the document with the least id stays."""
-    found = link(docs, WORDS, PERCENT)
-    gone = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct())
-    # only documents that may be in the list are shuffled to meet it
-    rows = maybe_in(docs, "doc_id", membership(gone, "doc_id"))
-    stay = rows.where("NOT maybe").select(docs.columns)
-    return stay.unionByName(rows.where("maybe").join(gone, "doc_id", "left_anti").select(docs.columns))
+    """Of each group of near duplicates one row stays: that with the least id, a null id coming last;
+    where an id has several texts, that with the least hash of its text; of rows that agree in both,
+    the least by all columns. Documents without words are in no group and all stay."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"))
+    rows = docs.withColumn("_key", key)
+    found = link(rows, WORDS, PERCENT, id_col="_key").where("n_shingles > 0")
+    known = found.groupBy("_key").agg(F.bool_or(F.col("_key") != F.col("component_id")).alias("gone"), F.count("*").alias("n"))
+    known = stored(known.where("gone OR n > 1").select("_key", "gone"))
+    # only rows that may be in the list are shuffled to meet it
+    rows = maybe_in(rows, "_key", membership(known, "_key"))
+    met = rows.where("maybe").join(known, "_key", "left")
+    again = met.where("NOT gone").groupBy("_key").agg(F.min(F.struct(docs.columns)).alias("row"))
+    return rows.where("NOT maybe").select(docs.columns).unionByName(met.where("gone IS NULL").select(docs.columns)).unionByName(again.select("row.*"))
 
 
 def secrets(spark, docs, sf_dir):

@@ -60,3 +60,19 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_near_duplicates_by_row(spark):
+    """Repeated rows, null ids and ids with several texts: one row of each group stays."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = lambda k: text(k) + " more"
+    rows = [(1, text(0)), (1, text(0)), (1, text(0))]  # a repeated row
+    rows += [(None, text(1)), (None, text(1)), (None, near(1)), (7, near(1))]  # copies without an id beside one with
+    rows += [(None, text(2)), (None, text(2))]  # no id at all
+    rows += [(3, text(3)), (9, near(3)), (9, text(4)), (12, near(4))]  # an id of which one text is near a lesser id
+    rows += [(4, ""), (4, ""), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, text(0)), (7, near(1)), (None, text(2)), (3, text(3)), (9, text(4)), (4, ""), (4, ""), (None, " ")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
