@@ -1,10 +1,11 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text falls into pretokens whose encodings do not depend on each other; each distinct one is
-encoded once. A pretoken that stays long (text without spaces) is halved again and again; the
-leaves are encoded in one parallel batch, and each join is mended by encoding a window around it
-anew, grown until the window's outer tokens are those that either side has at the same place.
-From there on, merges on either side have run exactly as they would in the whole.
+A text falls into words between white space, and these into pretokens, whose encodings do not
+depend on each other; each distinct one is encoded once. A pretoken that stays long (text without
+spaces) is halved again and again; the leaves are encoded in one parallel batch, and each join is
+mended by encoding a window around it anew, grown until the window's outer tokens are those that
+either side has at the same place. From there on, merges on either side have run exactly as they
+would in the whole.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,10 +23,11 @@ from .common import keyed, steps, texts
 
 #: Characters of byte-level text that are encoded in one piece, and tokens a window starts with.
 LEAF, WINDOW = 512, 8
-#: Pretokens that the library encodes at a time.
-ENCODED = 1 << 12
-#: Distinct pretokens whose encodings are kept; beyond that the table starts anew.
-KEPT = 1 << 18
+#: Distinct words, and pretokens, whose encodings are kept; beyond that the table starts anew.
+KEPT = 1 << 19
+#: White space as the vocabulary's patterns know it; str.split() takes four controls for it as well.
+WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+CONTROL = re.compile("[\x1c-\x1f]")
 #: Below this, lower case is the same for a character alone as in its context (but for İ).
 PLAIN = re.compile("[^\u0000-įı-ɏ]")
 
@@ -38,14 +39,33 @@ def byte_chars():
     return {b: chr(b) for b in printing} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def understood(spec):
+    """Whether a tokenizer is of the sort that Codec handles: NFC, white space as one space, lower
+    case; a split whose pretokens hold no white space, then bytes; plain BPE; tokens joined by a space."""
+    parts = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    split, *rest = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    model = spec["model"]
+    return (
+        parts == ["NFC", "Replace", "Lowercase"]
+        and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"]
+        and [(r["type"], r["add_prefix_space"], r["use_regex"]) for r in rest] == [("ByteLevel", False, False)]
+        and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and spec["decoder"] is None and spec["post_processor"] is None
+        and all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] and t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    )
+
+
 class Codec:
-    """Encodes as the tokenizer given as JSON; `leaf` and `window` change speed only."""
+    """Encodes as the tokenizer given as JSON; `leaf` and `window` change speed only. ValueError
+    for a tokenizer of another sort than `understood` describes."""
 
     def __init__(self, text, leaf=LEAF, window=WINDOW):
+        spec = json.loads(text)
+        if not understood(spec):
+            raise ValueError("not a lower-casing word-level BPE tokenizer without decoder")
         self.library = Tokenizer.from_str(text)
         self.library.no_truncation()
         self.library.no_padding()
-        spec = json.loads(text)
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -59,7 +79,7 @@ class Codec:
         self.special = re.compile(f"({'|'.join(map(re.escape, special))})")
         self.special_id = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.leaf, self.window = leaf, window
-        self.memo = {}
+        self.memo, self.words = {}, {}  # (ids, decoded) of pretokens and of words
 
     # -- one long pretoken ---------------------------------------------------------------------
 
@@ -114,45 +134,48 @@ class Codec:
 
     # -- whole texts ---------------------------------------------------------------------------
 
-    def learn(self, words):
-        """Fill the table for pretokens that are not in it yet."""
-        short = [w for w in words if len(w) <= self.leaf]
-        for a in range(0, len(short), ENCODED):  # the library's encodings are large
-            part = short[a : a + ENCODED]
-            for w, e in zip(part, self.library.encode_batch(part, add_special_tokens=False)):
-                self.keep(w, e.ids)
-        for w in words:
-            if len(w) > self.leaf:
-                self.keep(w, self.long(w))
-
-    def keep(self, word, ids):
-        self.memo[word] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids)))
-
-    def pieces(self, text):
-        """Pretokens and special tokens of a text in order."""
+    def both(self, ids):
+        return " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids))
+
+    def coded(self, pretoken):
+        """(ids, decoded) of a pretoken."""
+        if len(pretoken) > self.leaf:  # rarely met again, and of any size: not kept
+            return self.both(self.long(pretoken))
+        found = self.memo.get(pretoken)
+        if found is None:  # by the model alone: all that stands before it in the tokenizer is done already
+            tokens = self.final.model.tokenize("".join([self.chars[b] for b in pretoken.encode()]))
+            found = self.memo[pretoken] = " ".join([str(t.id) for t in tokens]), " ".join([t.value for t in tokens])
+        return found
+
+    def word(self, word):
+        """(ids, decoded) of what stands between white space."""
+        if word.isalpha() and not PLAIN.search(word):
+            return self.coded(word.lower())
         out = []
-        for k, part in enumerate(self.special.split(text) if "<|" in text else [text]):
+        for k, part in enumerate(self.special.split(word) if "<|" in word else [word]):
             if k % 2:
-                out.append((part,))
-            elif PLAIN.search(part) or not unicodedata.is_normalized("NFC", part):
-                out += self.pretoken.findall(self.library.normalizer.normalize_str(part))
-            else:
-                out += self.pretoken.findall(part.lower())
-        return out
+                out.append((str(self.special_id[part]), part))
+            else:  # what isn't plain may be lower-cased or composed in its context
+                part = self.library.normalizer.normalize_str(part) if PLAIN.search(part) else part.lower()
+                out += map(self.coded, self.pretoken.findall(part))
+        return " ".join([f[0] for f in out]), " ".join([f[1] for f in out])
 
     def __call__(self, strings):
         """For each string: number of tokens, their ids and the decoded text, as the library gives them."""
-        cut = [self.pieces(s) for s in strings]
+        cut = [s.split() if not CONTROL.search(s) else [w for w in WHITE.split(s) if w] for s in strings]
+        if len(self.words) > KEPT:
+            self.words = {}
         if len(self.memo) > KEPT:
             self.memo = {}
-        new = {w for words in cut for w in words} - self.memo.keys()
-        for w in [w for w in new if isinstance(w, tuple)]:
-            self.memo[w] = (1, str(self.special_id[w[0]]), w[0])
-            new.remove(w)
-        self.learn(list(new))
+        new = set().union(*cut).difference(self.words)
+        self.words.update((w, self.word(w)) for w in new)
         for words in cut:
-            found = [self.memo[w] for w in words]
-            yield sum(f[0] for f in found), " ".join(f[1] for f in found), " ".join(f[2] for f in found)
+            ids, decoded = zip(*map(self.words.__getitem__, words)) if words else ((), ())
+            ids = " ".join(filter(None, ids))
+            yield ids.count(" ") + 1 if ids else 0, ids, " ".join(filter(None, decoded))
+        for w in new:
+            if len(w) > self.leaf:
+                del self.words[w]
 
 
 @lru_cache(maxsize=1)
@@ -166,8 +189,9 @@ def encode_decode(docs, tokenizer_path, id_col="doc_id", text_col="text", keep_t
     their SHA-256 (the strings themselves only with keep_texts).
 
     Null and empty texts have no tokens and decode to nothing. Repeated rows each get their own
-    row; an empty table gives an empty result; other columns of docs are not read. The vocabulary,
-    whose size is fixed, is broadcast; nothing is shuffled.
+    row; an empty table gives an empty result; other columns of docs are not read. A text of any
+    length is encoded whole; memory follows the longest text. The vocabulary, whose size is fixed,
+    is broadcast; nothing is shuffled. ValueError for a tokenizer of another sort (see `understood`).
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         text = docs.sparkSession.sparkContext.broadcast(f.read())
