@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 #: Characters (or bytes) that one numpy step works on, to bound a worker's memory.
@@ -17,9 +18,12 @@ def table(spark, sf_dir, name):
 
 
 def scratch(spark):
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """A new folder in the one that driver and executors share, spark.checkpoint.dir. Only in local
+    mode, where all run on one machine, a temporary one will do where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tarnwater-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{uuid.uuid4().hex}"
@@ -74,36 +78,57 @@ def mixed(x):
     return x
 
 
-class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
+#: Two primes and bases; each polynomial hash is taken modulo both, which makes 62 bits. (Modulo a
+#: power of two, strings of the Thue-Morse kind collide whatever the base.)
+PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
+BASES = (1_000_003_919, 1_203_793_417)
+POWERS = [[np.ones(1, np.uint32)] * 2 for _ in PRIMES]
 
-    def __init__(self, base=0x9E3779B97F4A7C15):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def get(self, n):
-        if len(self.up) < n:
-            size = 1 << int(n - 1).bit_length()
-            make = lambda b: np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64))])
-            self.up, self.down = make(self.base), make(self.inverse)
-        return self.up[:n], self.down[:n]
-
-
-POWERS = Powers()
+def powers(k, n):
+    """Powers of base k and of its inverse up to n, modulo its prime; they are kept."""
+    p = PRIMES[k]
+    if len(POWERS[k][0]) <= n:
+        made = []
+        for b in (BASES[k], pow(BASES[k], -1, p)):
+            out = np.ones(1, np.uint64)
+            while len(out) <= n:
+                out = np.concatenate([out, out * np.uint64(pow(b, len(out), p)) % np.uint64(p)])
+            made.append(out.astype(np.uint32))
+        POWERS[k] = made
+    return POWERS[k]
 
 
 def prefix_hashes(values):
-    """H with H[j] - H[i] = base**i * (hash of values[i:j]), modulo 2**64."""
-    up, _ = POWERS.get(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=out[1:])
+    """Prefix arrays of a string of small numbers, one for each prime: the span [i, j) has the hash
+    (H[j] - H[i]) / base**i. Sums stay below 2**64 for up to 2**32 values."""
+    out = []
+    values = values.astype(np.uint64) + np.uint64(1)
+    for k, p in enumerate(PRIMES):
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * powers(k, len(values))[0][: len(values)] % np.uint64(p), out=sums[1:])
+        out.append(sums)
     return out
 
 
+def spans(prefix, start, end):
+    """Hashes of the spans [start, end) (numbers or arrays), each of 62 bits; equal spans have equal hashes."""
+    parts = []
+    for k, (sums, p) in enumerate(zip(prefix, PRIMES)):
+        down = powers(k, len(sums))[1]
+        parts.append((sums[end] - sums[start]) % np.uint64(p) * down[start] % np.uint64(p))
+    return parts[0] << np.uint64(31) | parts[1]
+
+
 def span_hashes(prefix, start, end):
-    """Hashes of the spans [start, end), spread over 64 bits; equal spans have equal hashes."""
-    _, down = POWERS.get(len(prefix))
-    return mixed((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+    """The same together with the length, spread over 64 bits."""
+    return mixed(spans(prefix, start, end) ^ (end - start).astype(np.uint64) << np.uint64(40))
+
+
+def binary_keys(high, low):
+    """An Arrow array of 16-byte keys from two arrays of 64-bit numbers."""
+    data = np.stack([high, low], 1).astype(">u8").tobytes()
+    return pa.Array.from_buffers(pa.binary(16), len(high), [None, pa.py_buffer(data)]).cast(pa.binary())
 
 
 def keyed(docs, id_col, text_col):

@@ -15,50 +15,22 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import keyed, mixed, texts
+from .common import keyed, mixed, prefix_hashes, spans, texts
 
-#: Two primes and bases; each hash is taken modulo both.
-PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
-BASES = (1_000_003_919, 1_203_793_417)
 SPAN, BINS, DIGITS = 8, 128, 3
 
 
 class PrefixHashes:
-    """Prefix arrays of one text. Sums stay below 2**64 for texts of up to 2**32 characters."""
-
-    powers = [[np.ones(1, np.uint64)] * 2 for _ in PRIMES]
+    """Prefix arrays of one text."""
 
     def __init__(self, text):
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.n = len(points)
-        self.sums = []
-        for k, p in enumerate(PRIMES):
-            up, _ = self.power(k, self.n)
-            sums = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(points * up[: self.n] % np.uint64(p), out=sums[1:])
-            self.sums.append(sums)
-
-    @classmethod
-    def power(cls, k, n):
-        """Powers of base k and of its inverse up to n, modulo its prime."""
-        p = PRIMES[k]
-        if len(cls.powers[k][0]) <= n:
-            made = []
-            for b in (BASES[k], pow(BASES[k], -1, p)):
-                out = np.ones(1, np.uint64)
-                while len(out) <= n:
-                    out = np.concatenate([out, out * np.uint64(pow(b, len(out), p)) % np.uint64(p)])
-                made.append(out)
-            cls.powers[k] = made
-        return cls.powers[k]
+        self.sums = prefix_hashes(points)
 
     def span(self, start, end):
         """Hashes of the spans [start, end) (numbers or arrays), each of 62 bits."""
-        parts = []
-        for k, p in enumerate(PRIMES):
-            _, down = self.power(k, self.n)
-            parts.append((self.sums[k][end] - self.sums[k][start]) % np.uint64(p) * down[start] % np.uint64(p))
-        return parts[0] << np.uint64(31) | parts[1]
+        return spans(self.sums, start, end)
 
     def equal(self, i, other, j, length):
         """Whether the spans of `length` at i here and at j in other are equal."""
