@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from json import loads
 
 import numpy as np
 import pyarrow as pa
 import regex
 
+from .bpe_codec import byte_chars
 from .common import STEP, keyed, prefix_hashes, span_hashes, steps, texts
 
 # The vocabulary's pretoken pattern, whose contractions the table below follows.
@@ -25,8 +27,6 @@ LETTER, STMD, R, V, EL, EE, NUMBER, SPACE, WHITE, APOSTROPHE, OTHER, END = range
 START, IN_L, IN_N, IN_O, SP, WS, SPS, WSS, AP, AP_RV, AP_L, DONE = range(12)
 HERE, BEFORE = 1, 2  # a token begins at this character, at the one before
 CHUNK = 256
-#: Pretokens that the library encodes at a time.
-ENCODED = 1 << 12
 SURE = regex.compile(r"(?<=\S)(?=\s)")
 #: Separates texts; where a text holds it itself, it is an ordinary character.
 SEPARATOR = "\U0010ffff"
@@ -81,23 +81,57 @@ def at_spaces(text, most=STEP):
     yield text[a:]
 
 
+def understood(spec):
+    """Whether a tokenizer is of the sort that Transducer handles: byte-level BPE with the pattern
+    above, no normalizer, nothing that depends on more than the pretoken."""
+    split, model = spec["pre_tokenizer"] or {}, spec["model"]
+    return (
+        spec["normalizer"] is None and spec["post_processor"] is None
+        and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split["use_regex"]
+        and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec["added_tokens"])
+    )
+
+
+def ragged(start, length):
+    """The places start, start + 1, ... of each of many spans, one after another."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
+
+
+def equal_spans(x, a, y, b, length):
+    """Whether x[a:a + length] and y[b:b + length] agree, for arrays of places a, b and lengths."""
+    differ = np.zeros(len(length) + 1, bool)
+    differ[np.repeat(np.arange(len(length)), length)[x[ragged(a, length)] != y[ragged(b, length)]]] = True
+    return ~differ[:-1]
+
+
 class Transducer:
-    """Counts tokens as the tokenizer given as JSON does."""
+    """Counts tokens as the tokenizer given as JSON does; ValueError for one of another sort."""
 
-    #: Pretokens whose counts are kept, 16 bytes each; beyond that the table starts anew.
-    KEPT = 1 << 21
+    #: Pretokens whose counts are kept, with their characters; beyond that the table starts anew.
+    KEPT = 1 << 20
+    #: Longer ones are counted each time.
+    LONGEST = 64
 
     def __init__(self, json):
         from tokenizers import Tokenizer
 
+        if not understood(loads(json)):
+            raise ValueError("not a byte-level BPE tokenizer of the known split")
         self.tokenizer = Tokenizer.from_str(json)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.chars = byte_chars()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.to, self.out = compile_table()
         self.classes = character_classes()
+        self.forget()
+
+    def forget(self):
+        # sorted hashes of known pretokens, their counts, and where their characters are
         self.known, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.kept, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def starts(self, classes):
         """Where tokens begin, over the classes of consecutive texts, each ended by END."""
@@ -126,15 +160,48 @@ class Transducer:
         begin[:-1] |= emitted[1:] & BEFORE > 0
         return begin
 
-    def learn(self, pieces, hashes):
+    def by_model(self, piece):
+        """Tokens of one pretoken, by merging its bytes."""
+        return len(self.tokenizer.model.tokenize("".join([self.chars[b] for b in piece.encode("utf-8", "surrogatepass")])))
+
+    def learn(self, points, start, length, hashes, counts):
+        """Keep the counts of pretokens points[start:start + length], sorted by hash, not known yet."""
         if len(self.known) + len(hashes) > self.KEPT:
-            self.known, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        counts = np.zeros(len(pieces), np.int64)
-        for a in range(0, len(pieces), ENCODED):  # the library's encodings are large
-            counts[a : a + ENCODED] = [len(e.ids) for e in self.tokenizer.encode_batch(pieces[a : a + ENCODED], add_special_tokens=False)]
-        known, counts = np.concatenate([self.known, hashes]), np.concatenate([self.counts, counts])
-        order = np.argsort(known)
-        self.known, self.counts = known[order], counts[order]
+            self.forget()
+        at = np.searchsorted(self.known, hashes)
+        own = points[ragged(start, length)]
+        while self.used + len(own) > len(self.kept):
+            self.kept = np.concatenate([self.kept, np.zeros(len(self.kept), np.uint32)])
+        self.kept[self.used : self.used + len(own)] = own
+        place = self.used + np.cumsum(length) - length
+        self.used += len(own)
+        for name, new in (("known", hashes), ("counts", counts), ("place", place), ("size", length)):
+            setattr(self, name, np.insert(getattr(self, name), at, new))
+
+    def counted(self, whole, points, a, b):
+        """Tokens of each pretoken points[a:b]. Hashes find those that were met before; that they
+        are the same is settled by comparing their characters."""
+        keys, first, inverse = np.unique(span_hashes(prefix_hashes(points), a, b), return_index=True, return_inverse=True)
+        start, length = a[first], (b - a)[first]
+        same = (b - a) == length[inverse]
+        same[same] = equal_spans(points, a[same], points, start[inverse[same]], (b - a)[same])
+        out = np.full(len(keys), -1, np.int64)
+        if len(self.known):
+            i = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+            taken = self.known[i] == keys
+            hit = np.flatnonzero(taken & (self.size[i] == length))
+            hit = hit[equal_spans(points, start[hit], self.kept, self.place[i[hit]], length[hit])]
+            out[hit] = self.counts[i[hit]]
+        else:
+            taken = np.zeros(len(keys), bool)
+        new = np.flatnonzero(out < 0)
+        out[new] = [self.by_model(whole[x : x + n]) for x, n in zip(start[new].tolist(), length[new].tolist())]
+        new = new[~taken[new] & (length[new] <= self.LONGEST)]
+        self.learn(points, start[new], length[new], keys[new], out[new])
+        total = out[inverse]
+        for i in np.flatnonzero(~same).tolist():  # another pretoken of the same hash
+            total[i] = self.by_model(whole[a[i] : b[i]])
+        return total
 
     def count(self, parts):
         """Tokens of each part; parts hold no special tokens."""
@@ -148,22 +215,8 @@ class Transducer:
         at = np.flatnonzero(begin)
         last = np.append(at[1:], len(points))
         word = classes[at] != END
-        prefix = prefix_hashes(points)
-        keys, first, inverse = np.unique(span_hashes(prefix, at[word], last[word]), return_index=True, return_inverse=True)
-        i = np.searchsorted(self.known, keys)
-        i[i == len(self.known)] = 0
-        new = self.known[i] != keys if len(self.known) else np.ones(len(keys), bool)
-        if new.any():
-            a, b = at[word][first[new]], last[word][first[new]]
-            kept = np.zeros(len(keys), np.int64)
-            kept[~new] = self.counts[i[~new]] if len(self.known) else 0
-            pieces = [whole[x:y] for x, y in zip(a.tolist(), b.tolist())]
-            self.learn(pieces, keys[new])
-            kept[new] = self.counts[np.searchsorted(self.known, keys[new])]
-        else:
-            kept = self.counts[i]
         total = np.zeros(len(at), np.int64)
-        total[word] = kept[inverse]
+        total[word] = self.counted(whole, points, at[word], last[word])
         # each part ends at a separator, which is itself a beginning that counts nothing
         sums = np.concatenate([[0], np.cumsum(total)])
         upto = sums[np.searchsorted(at, ends)]
@@ -195,7 +248,9 @@ def count_tokens(docs, tokenizer_path, id_col="doc_id", text_col="text", limit=1
 
     Null and empty texts have no bytes and no tokens. Repeated rows each get their own row; an
     empty table gives an empty result; other columns of docs, whatever their names, are not read.
-    The vocabulary, whose size is fixed, is broadcast; nothing is shuffled.
+    A text of any length is counted whole, in pieces cut where white space begins. The vocabulary,
+    whose size is fixed, is broadcast; nothing is shuffled. ValueError for a tokenizer of another
+    sort (see `understood`).
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:

@@ -43,3 +43,27 @@ def test_operator(spark):
     want = [(i, len((s or "").encode()), len(library.encode(s or "", add_special_tokens=False).ids)) for i, s, _ in rows]
     assert got == sorted([(*w, w[2] > 5) for w in want], key=str)
     assert count_tokens(docs.limit(0), PATH).count() == 0
+
+
+def test_strings_that_collide_modulo_powers_of_two(both):
+    mine, library = both
+    thue_morse = [bin(i).count("1") % 2 for i in range(1024)]
+    strings = ["".join("ab"[x ^ k] for x in thue_morse) for k in (0, 1)]
+    want = [len(library.encode(s, add_special_tokens=False).ids) for s in strings]
+    assert mine(strings).tolist() == want and mine(strings[::-1]).tolist() == want[::-1]
+
+
+def test_equal_hashes_are_told_apart(monkeypatch, both):
+    """Even if all pretokens of a length had one hash, counts would be right."""
+    from tarnwater.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "span_hashes", lambda prefix, a, b: (b - a).astype("uint64"))
+    mine, library = Transducer(open(PATH, encoding="utf-8").read()), both[1]
+    strings = ["the cat xqz abc zzz", "dog qqq the", *HARD]
+    for _ in range(2):
+        assert mine(strings).tolist() == [len(e.ids) for e in library.encode_batch(strings, add_special_tokens=False)]
+
+
+def test_another_sort_of_tokenizer_is_refused():
+    with pytest.raises(ValueError):
+        Transducer(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
