@@ -73,9 +73,8 @@ def all_blocks(rows, length, gram):
         seen = set()
         piece = 1 << PIECE_BITS
         for batch in batches:
-            t = batch.column(0).to_numpy()
-            fresh = [i for i, x in enumerate(t.tolist()) if not (x in seen or seen.add(x))]
-            t, data_of = t[fresh], batch.column(1).take(pa.array(fresh, pa.int64()))
+            fresh = [i for i, x in enumerate(batch.column(0).to_pylist()) if not (x in seen or seen.add(x))]
+            t, data_of = (batch.column(c).take(pa.array(fresh, pa.int64())) for c in (0, 1))
             data, offsets = byte_column(data_of)
             for a, b in steps(np.diff(offsets).tolist(), piece):
                 part, inner = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -83,9 +82,9 @@ def all_blocks(rows, length, gram):
                     end = min(len(part), begin + piece + length - 1) if b - a == 1 else len(part)
                     own = inner if b - a > 1 else np.array([0, end - begin])
                     text, start, n, o, g, c = blocks_of(part[begin:end], own, length, gram)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, c, t[a:b][text], start + begin, n, o)], ["g", "c", "t", "start", "n", "o"])
+                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), t.take(pa.array(a + text)), *map(pa.array, (start + begin, n, o))], ["g", "c", "t", "start", "n", "o"])
 
-    return rows.mapInArrow(run, "g long, c long, t long, start long, n long, o long")
+    return rows.mapInArrow(run, "g long, c long, t binary, start long, n long, o long")
 
 
 def neighbours(order, lcp, smaller=True):
@@ -148,7 +147,7 @@ def group_runs(length, keep):
                     for column, v in zip(out, (ti, s + a, s + b - 1)):
                         column.append(v)
             at += x
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("t", "a", "b"), out)})
+        return pa.table([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["t", "a", "b"])
 
     return run
 
@@ -168,9 +167,10 @@ def cut(rows, length, bits):
                     group = digest(b"%d %d %d" % (g, q, bits), core)
                     out.append((group, digest(b"%d %d" % (group, high), part), d, t, start + o - high, high - low + 1, high, done, part))
             columns = list(zip(*out)) or [()] * 9
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.bool_()), pa.array(columns[8], pa.binary())], ["g", "c", "d", "t", "start", "n", "o", "done", "bytes"])
+            kinds = [pa.binary() if k == 3 else pa.int64() for k in range(7)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:7], kinds), pa.array(columns[7], pa.bool_()), pa.array(columns[8], pa.binary())], ["g", "c", "d", "t", "start", "n", "o", "done", "bytes"])
 
-    return rows.mapInArrow(run, "g long, c long, d long, t long, start long, n long, o long, done boolean, bytes binary")
+    return rows.mapInArrow(run, "g long, c long, d long, t binary, start long, n long, o long, done boolean, bytes binary")
 
 
 def settled(rows, keep):
@@ -195,12 +195,13 @@ def remove_repeats(docs, length=LENGTH, keep="first", id_col="doc_id", text_col=
     with keep="first", anywhere with keep="none". Strings are judged on the input and may overlap;
     none crosses documents. Null and empty texts have no bytes. Equal texts count as copies of each
     other unless their ids are equal too and keep is "first"; null ids come first. An empty table
-    gives an empty result; other columns are not read. Texts and anchors are told apart by 64-bit
-    hashes, contents of groups byte by byte.
+    gives an empty result; other columns are not read. A text of any length is read whole. Texts
+    are told apart by MD5, anchors and contents of blocks by 62-bit hashes, what is left in groups
+    byte by byte.
     """
     gram = gram or max(1, int(length * GRAM))
     rows = keyed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumns({"t": F.xxhash64("text"), "d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))})
+    rows = rows.withColumns({"t": F.unhex(F.md5("text")), "d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))})
     long_ = F.octet_length("text") >= length
     different = stored(rows.where(long_).groupBy("t").agg(F.min("d").alias("first"), F.count("*").alias("copies"), F.min(F.octet_length("text")).cast("long").alias("size")))
 
@@ -224,13 +225,13 @@ def remove_repeats(docs, length=LENGTH, keep="first", id_col="doc_id", text_col=
                 data, own = memoryview(data.cast(pa.binary()).as_buffer()), own.values
                 parts = [data[s : s + n - 1 + length].tobytes() for s, n in zip(own.field("start").to_pylist(), own.field("n").to_pylist())]
                 names = ["g", "d", "start", "n", "o", "done", "m"]
-                yield pa.RecordBatch.from_arrays([*(own.field(c) for c in names), pa.array([t.as_py()] * len(parts), pa.int64()), pa.array(parts, pa.binary())], [*names, "t", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(own.field(c) for c in names), pa.array([t.as_py()] * len(parts), pa.binary()), pa.array(parts, pa.binary())], [*names, "t", "bytes"])
 
-    left = stored(some.mapInArrow(with_bytes, "g long, d long, start long, n long, o long, done boolean, m long, t long, bytes binary"))
+    left = stored(some.mapInArrow(with_bytes, "g long, d long, start long, n long, o long, done boolean, m long, t binary, bytes binary"))
     bits = (length - gram).bit_length()
     while True:
         small = left.where(F.col("m") <= group).select("g", "d", "t", "start", "n", "done", "bytes")
-        runs.append(small.groupBy("g").applyInArrow(group_runs(length, keep), "t long, a long, b long"))
+        runs.append(small.groupBy("g").applyInArrow(group_runs(length, keep), "t binary, a long, b long"))
         large = left.where(F.col("m") > group)
         bits -= 1
         if bits < 0 or large.isEmpty():
