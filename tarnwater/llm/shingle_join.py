@@ -7,9 +7,10 @@ from the candidates that its elements promise: where they promise many, a longer
 correspondingly more shared elements before anything is verified.
 
 Large groups of near copies make no pairs. Equal sets are one class. Each class is compared with a
-hub, a central class among those it shares elements with, and kept as its difference to the hub;
-within a hub's members all similarities follow from these differences, in blocks, of which only a
-spanning forest leaves. Candidate pairs are made between different hubs and components only.
+hub, a central class among those it shares elements with, and kept as its difference to the hub.
+Members that link with their hub are one component already; those that don't are compared with all
+members, by their differences and in blocks, of which only a spanning forest leaves. Candidate
+pairs are made between different hubs and components only.
 """
 
 from __future__ import annotations
@@ -19,20 +20,22 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import keyed, mixed, prefix_hashes, span_hashes, steps, stored
+from .common import binary_keys, keyed, mixed, prefix_hashes, span_hashes, steps, stored
 from .components import components
 from .embedding_dedup import forest
 
-#: Counters of the sketch, in blocks; 4 MB in all, whatever the input.
-SKETCH_BITS, SKETCH_BLOCK = 20, 256
+#: Counters of the sketch, in blocks: one for 64 shingles, within these bounds (4 to 64 MB).
+SKETCH_BITS, SKETCH_BLOCK = (20, 24), 256
 #: Longest multi-match, and what verifying a candidate costs in units of one shared element.
 MOST, VERIFY = 4, 8
 #: Buckets of the histogram that bounds an intersection from above.
 HISTOGRAM = 256
 #: A class is kept as its difference to a hub if they are at least so similar (in hundredths).
 NEAR = 55
-#: Members of a hub in one side of a block.
-BLOCK = 512
+#: Members of a hub in one side of a block, and elements of their differences.
+BLOCK, BLOCK_ELEMENTS = 512, 1 << 20
+#: Entries of a dense matrix that one step makes.
+DENSE = 1 << 22
 #: Bits of the map that spares most documents a second look; a full map only saves less.
 SEEN_BITS = 22
 
@@ -84,50 +87,75 @@ def sliced(batch, size):
 
 
 def set_keys(elements, start):
-    """A 64-bit key of each set (0 for an empty one): equal sets have equal keys."""
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
-    keys = mixed(sums[start[1:]] - sums[start[:-1]] + np.diff(start).astype(np.uint64))
-    keys[np.diff(start) == 0] = 0
-    return keys.view(np.int64)
+    """A key of 128 bits of each set (zeros for an empty one), as an Arrow array: equal sets have equal keys."""
+    halves = []
+    for salt in (0xA5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3C):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(elements ^ np.uint64(salt)))])
+        half = mixed(sums[start[1:]] - sums[start[:-1]] + np.diff(start).astype(np.uint64))
+        half[np.diff(start) == 0] = 0
+        halves.append(half)
+    return binary_keys(*halves)
 
 
-def described(rows, size, kind):
-    """Rows of two sorts: (doc_id, n, key, histogram) of each document, (block, counts) of the sketch."""
+def sketch_bits(rows):
+    """Bits of the sketch for these texts, from their bytes."""
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 1
+    return int(np.clip(np.ceil(np.log2(max(1, size / 6 / 64))), *SKETCH_BITS))
+
+
+def described(rows, size, kind, bits):
+    """Rows of two sorts: (doc_id, n, key, histogram) of each document, (block, counts) of the sketch.
+    counts are of one, two or four bytes each, as they need."""
     names = ["doc_id", "n", "key", "histogram", "block", "counts"]
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(1 << bits, np.uint32)
         schema = None
         for batch in batches:
             for part, elements, start in sliced(batch, size):
-                sketch += np.bincount((elements >> np.uint64(64 - SKETCH_BITS)).astype(np.intp), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                np.add.at(sketch, (elements >> np.uint64(64 - bits)).astype(np.intp), np.uint32(1))
                 n = np.diff(start)
                 at = np.repeat(np.arange(len(n)), n) * HISTOGRAM + (elements & np.uint64(HISTOGRAM - 1)).astype(np.intp)
                 counts = np.bincount(at, minlength=len(n) * HISTOGRAM).reshape(len(n), HISTOGRAM)
                 fits = counts.max(1, initial=0) < 256  # beyond that there is no bound
                 shapes = [c.tobytes() if f else None for c, f in zip(counts.astype(np.uint8), fits)]
                 none = len(n)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(set_keys(elements, start)), pa.array(shapes, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), set_keys(elements, start), pa.array(shapes, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
                 schema = batch.schema.field(0).type
         if schema is not None:
             blocks = sketch.reshape(-1, SKETCH_BLOCK)
             some = np.flatnonzero(blocks.any(1))
-            none = len(some)
-            yield pa.RecordBatch.from_arrays([pa.nulls(none, schema), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.array(some, pa.int32()), pa.array([blocks[b].tobytes() for b in some], pa.binary())], names)
+            for part in np.array_split(some, len(some) // 4096 + 1):
+                none = len(part)
+                yield pa.RecordBatch.from_arrays([pa.nulls(none, schema), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.binary()), pa.array(part, pa.int32()), pa.array([narrow(blocks[b]) for b in part], pa.binary())], names)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n int, key long, histogram binary, block int, counts binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, n long, key binary, histogram binary, block int, counts binary")
 
 
-def summed_sketch(described_rows):
-    """The sketch of all documents, summed in Spark by block; its size is fixed."""
+def narrow(counts):
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32) if counts.max() <= np.iinfo(k).max)
+    return counts.astype(kind).tobytes()
 
-    def add(found):
-        total = np.sum([np.frombuffer(c, np.uint32) for c in found["counts"].to_pylist()], 0, dtype=np.uint64)
-        return pa.table({"block": found["block"][:1], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
 
-    out = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.uint32).reshape(-1, SKETCH_BLOCK)
-    for r in described_rows.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():
-        out[r.block] = np.frombuffer(r.counts, np.uint32)
+def wide(counts):
+    return np.frombuffer(counts, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(counts) // SKETCH_BLOCK])
+
+
+def summed_sketch(described_rows, bits):
+    """The sketch of all documents, summed in Spark by block, in two steps, so that no group holds
+    a row of every partition; its size is bounded."""
+
+    def add(found):
+        total = np.zeros(SKETCH_BLOCK, np.uint64)
+        for c in found["counts"]:
+            total += wide(c.as_py())
+        return pa.table({"block": found["block"][:1], "counts": pa.array([narrow(np.minimum(total, 0xFFFFFFFF))], pa.binary())})
+
+    rows = described_rows.where("block IS NOT NULL").select("block", "counts", F.pmod(F.spark_partition_id(), F.lit(256)).alias("salt"))
+    rows = rows.groupBy("block", "salt").applyInArrow(add, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
+    out = np.zeros((1 << bits) // SKETCH_BLOCK * SKETCH_BLOCK, np.uint32).reshape(-1, SKETCH_BLOCK)
+    for r in rows.toLocalIterator():
+        out[r.block] = wide(r.counts)
     return out.ravel()
 
 
@@ -139,6 +167,7 @@ def least_shared(n, percent):
 def prefixes(rows, sketch, size, percent):
     """(element, key, n, pos, most): the prefix of each different set; pos counts in the global order."""
     sent = rows.sparkSession.sparkContext.broadcast(sketch)
+    bits = len(sketch).bit_length() - 1
 
     def run(batches):
         counts = sent.value
@@ -148,13 +177,13 @@ def prefixes(rows, sketch, size, percent):
         for batch in batches:
             for _, elements, start in sliced(batch, size):
                 out = []
-                for key, a, b in zip(set_keys(elements, start).tolist(), start[:-1].tolist(), start[1:].tolist()):
+                for key, a, b in zip(set_keys(elements, start).to_pylist(), start[:-1].tolist(), start[1:].tolist()):
                     if a == b or key in seen:
                         continue
                     seen.add(key)
                     n = b - a
                     own = elements[a:b]
-                    bucket = (own >> np.uint64(64 - SKETCH_BITS)).astype(np.intp)
+                    bucket = (own >> np.uint64(64 - bits)).astype(np.intp)
                     shared = least_shared(n, percent)
                     longest = min(n - shared + min(MOST, shared), n)
                     order = np.lexsort((own, counts[bucket]))[:longest]
@@ -169,9 +198,10 @@ def prefixes(rows, sketch, size, percent):
                     takes = [len(o[0]) for o in out]
                     repeat = lambda k, kind: pa.array(np.repeat(np.array([o[k] for o in out], kind), takes))
                     pos = np.concatenate([np.arange(t, dtype=np.int32) for t in takes])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), repeat(1, np.int64), repeat(2, np.int32), pa.array(pos), repeat(3, np.int32)], ["element", "key", "n", "pos", "most"])
+                    keys = pa.array([o[1] for o in out], pa.binary()).take(pa.array(np.repeat(np.arange(len(out)), takes)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), keys, repeat(2, np.int64), pa.array(pos), repeat(3, np.int32)], ["element", "key", "n", "pos", "most"])
 
-    return rows.mapInArrow(run, "element long, key long, n int, pos int, most int")
+    return rows.mapInArrow(run, "element long, key binary, n long, pos int, most int")
 
 
 class Verifier:
@@ -198,7 +228,7 @@ class Verifier:
                         possible[part] = 100 * most >= percent * (total - most)
                 yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(possible))
 
-        return rows.mapInArrow(run, "a long, b long")
+        return rows.mapInArrow(run, "a binary, b binary")
 
     def sets(self, keys):
         """(key, elements) of the classes in keys."""
@@ -213,9 +243,9 @@ class Verifier:
             for batch in batches:
                 for _, elements, start in sliced(batch, size):
                     lists = pa.LargeListArray.from_arrays(pa.array(start, pa.int64()), pa.array(elements.view(np.int64))).cast(pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(set_keys(elements, start)), lists], ["key", "elements"])
+                    yield pa.RecordBatch.from_arrays([set_keys(elements, start), lists], ["key", "elements"])
 
-        found = some.select("doc_id", "text").mapInArrow(run, "key long, elements array<long>")
+        found = some.select("doc_id", "text").mapInArrow(run, "key binary, elements array<long>")
         return stored(found.join(keys, "key", "left_semi").dropDuplicates(["key"]))
 
     def __call__(self, pairs, percent):
@@ -228,18 +258,25 @@ class Verifier:
 
 
 def similar(percent):
-    shared = F.size(F.array_intersect("e_a", "e_b"))
+    shared = F.size(F.array_intersect("e_a", "e_b")).cast("long")
     return 100 * shared >= percent * (F.size("e_a") + F.size("e_b") - shared)
 
 
-def differences(found):
-    """Which of two lists of arrays hold a common element, as a matrix of how many."""
-    flat, owner = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
-    values, place, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    column = np.cumsum(counts > 1) - 1
-    use = counts[place] > 1  # an element of one alone is shared with nobody
-    out = np.zeros((len(found), int(column[-1]) + 1 if len(values) else 0), np.float32)
-    out[owner[use], column[place[use]]] = 1
+def products(values, owner, rows, columns, members):
+    """How many values each pair of rows and columns (members) has in common. values, owner: flat
+    lists of values and their members. The matrices are made a few values at a time."""
+    _, place, counts = np.unique(values, return_inverse=True, return_counts=True)
+    use = counts[place] > 1  # a value of one alone is shared with nobody
+    place, owner = (np.cumsum(counts > 1) - 1)[place[use]], owner[use]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.zeros((len(rows), len(columns)), np.int64)
+    width = max(1, DENSE // members)
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        a, b = np.searchsorted(place, (first, first + width))
+        part = np.zeros((members, width), np.float32)
+        part[owner[a:b], place[a:b] - first] = 1
+        out += (part[rows] @ part[columns].T).astype(np.int64)
     return out
 
 
@@ -247,20 +284,21 @@ def hub_block(percent):
     """The links within one block of a hub's members, for groupBy().applyInArrow."""
 
     def run(found):
-        found = found.sort_by("key")
+        found = found.sort_by("key").combine_chunks()
         side, other = found["i"][0].as_py(), found["j"][0].as_py()
-        key, n, chunk, hub_n = (found[c].to_numpy() for c in ("key", "n", "chunk", "hub_n"))
-        gone, new = (found[c].to_pylist() for c in ("gone", "new"))
-        lost = np.array([len(g) for g in gone])
-        both = differences([np.array(g + a, np.int64) for g, a in zip(gone, new)])  # no element is gone from one and new in another
+        n, chunk, hub_n = (found[c].to_numpy() for c in ("n", "chunk", "hub_n"))
+        lists = [found[c].combine_chunks() for c in ("gone", "new")]
+        sizes = [x.value_lengths().to_numpy() for x in lists]
+        values = np.concatenate([x.flatten().to_numpy() for x in lists])  # none is gone from one and new in another
+        owner = np.concatenate([np.repeat(np.arange(len(n)), x) for x in sizes])
         rows = np.flatnonzero(chunk == side)
         columns = rows if side == other else np.flatnonzero(chunk == other)
-        shared = hub_n[0] - lost[rows, None] - lost[columns] + (both[rows] @ both[columns].T).astype(np.int64)
+        shared = hub_n[0] - sizes[0][rows, None].astype(np.int64) - sizes[0][columns] + products(values, owner, rows, columns, len(n))
         p, q = np.nonzero(100 * shared >= percent * (n[rows, None] + n[columns] - shared))
         p, q = rows[p], columns[q]
-        root = forest(len(key), p, q)
-        some = root != np.arange(len(key))
-        return pa.table({"a": key[some], "b": key[root[some]]})
+        root = forest(len(n), p, q)
+        some = np.flatnonzero(root != np.arange(len(n)))
+        return pa.table({"a": found["key"].take(pa.array(some)), "b": found["key"].take(pa.array(root[some]))})
 
     return run
 
@@ -274,12 +312,13 @@ def link(docs, size=4, percent=85, id_col="doc_id", text_col="text", block=BLOCK
     percent * all elements. component_id is the least id that links lead to. Rows that share an id
     count as one document where ids are concerned; a null id takes part, but names no component
     unless it is alone. An empty table gives an empty result; other columns are not read.
-    Elements and sets are told apart by 64-bit hashes.
+    Elements are told apart by 64-bit hashes, sets by keys of 128 bits. A text of any length is read whole.
     """
     rows = keyed(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = stored(described(rows, size, kind))
-    sketch = summed_sketch(found)
+    bits = sketch_bits(rows)
+    found = stored(described(rows, size, kind, bits))
+    sketch = summed_sketch(found, bits)
     members = found.where("block IS NULL").select("doc_id", "n", "key")
     # equal sets are one class
     classes = found.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("histogram").alias("histogram"))
@@ -301,15 +340,26 @@ def link(docs, size=4, percent=85, id_col="doc_id", text_col="text", block=BLOCK
     tried = second.where("key != hub").groupBy(F.col("key").alias("a"), F.col("hub").alias("b")).agg(F.max("rank").alias("rank"))
     tried = stored(tried)
     near = verify(tried.select("a", "b"), NEAR).where(similar(NEAR))
-    near = near.select("a", "b", F.size("e_a").alias("n"), F.size("e_b").alias("hub_n"), F.array_except("e_b", "e_a").alias("gone"), F.array_except("e_a", "e_b").alias("new"))
+    near = near.select("a", "b", F.size("e_a").cast("long").alias("n"), F.size("e_b").cast("long").alias("hub_n"), F.array_except("e_b", "e_a").alias("gone"), F.array_except("e_a", "e_b").alias("new"))
     near = near.join(tried, ["a", "b"])
     best = stored(near.groupBy("a").agg(F.max_by(F.struct("b", "n", "hub_n", "gone", "new"), F.struct("rank", "b")).alias("x")).select(F.col("a").alias("key"), F.col("x.b").alias("hub"), "x.n", "x.hub_n", "x.gone", "x.new"))
+    common = F.col("hub_n") - F.size("gone")
+    best = best.withColumn("outside", 100 * common < percent * (F.col("n") + F.col("hub_n") - common))
+    to_hub = best.where("NOT outside").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    # chunks of those outside come first; each is compared with itself, the later ones and all inside
+    weight = (F.size("gone") + F.size("new")).cast("long")
+    number = lambda which: F.ceil(F.greatest(F.count_if(which) / block, F.sum(F.when(which, weight).otherwise(0)) / BLOCK_ELEMENTS)).cast("int")
+    chunks = best.groupBy("hub").agg(number(F.col("outside")).alias("outer"), F.greatest(F.lit(1), number(~F.col("outside"))).alias("inner")).where("outer > 0")
+    some = best.join(chunks, "hub")
     none = F.array().cast("array<bigint>")
-    itself = best.groupBy("hub").agg(F.first("hub_n").alias("hub_n")).select(F.col("hub").alias("key"), "hub", F.col("hub_n").alias("n"), "hub_n", none.alias("gone"), none.alias("new"))
-    chunks = best.groupBy("hub").agg(F.ceil((F.count("*") + 1) / block).cast("int").alias("chunks"))
-    dealt = best.union(itself).join(chunks, "hub").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    edges = stored(dealt.select("hub", "i", "j", "chunk", "key", "n", "hub_n", "gone", "new").groupBy("hub", "i", "j").applyInArrow(hub_block(percent), "a long, b long"))
+    itself = some.groupBy("hub", "outer", "inner").agg(F.first("hub_n").alias("hub_n"))
+    itself = itself.select("hub", F.col("hub").alias("key"), F.col("hub_n").alias("n"), "hub_n", none.alias("gone"), none.alias("new"), F.lit(False).alias("outside"), "outer", "inner")
+    place = F.when(F.col("outside"), F.pmod(F.xxhash64("key"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("key"), F.col("inner")))
+    dealt = some.select(itself.columns).union(itself).withColumn("chunk", place.cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outer") - 1 + F.when(F.col("outside"), F.col("inner")).otherwise(0))))
+    dealt = dealt.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+    within = dealt.select("hub", "i", "j", "chunk", "key", "n", "hub_n", "gone", "new").groupBy("hub", "i", "j").applyInArrow(hub_block(percent), "a binary, b binary")
+    edges = stored(to_hub.union(within))
 
     # what is left: pairs between different hubs and components that share enough of their prefixes
     named = stored(components(edges))

@@ -56,3 +56,12 @@ def test_operator(spark):
     assert sorted(encode_decode(docs, PATH, keep_texts=False).collect(), key=str) == sorted(want, key=str)
     assert encode_decode(docs, PATH).count() == len(rows)
     assert encode_decode(docs.limit(0), PATH).count() == 0
+
+
+def test_another_sort_of_tokenizer_is_refused():
+    with pytest.raises(ValueError):
+        Codec(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+
+
+def test_white_space_and_controls(both):
+    same(both, ["a\x1cb\x1dc d\x1f", "a\x85b\xa0c\u2028d\u3000e", "\u180ea \ufeffb", "Ǆ ǅ ﬁ e\u0301 e \u0301", "DON'T don't'll '"])

@@ -59,7 +59,7 @@ def test_sets():
     elements, start = sets_of(column, 4)
     keys = set_keys(elements, start)
     by_key, by_set, seen = {}, {}, {}
-    for t, k, a, b in zip(texts, keys.tolist(), start[:-1], start[1:]):
+    for t, k, a, b in zip(texts, keys.to_pylist(), start[:-1], start[1:]):
         s = frozenset(shingles(t, 4))
         assert b - a == len(s) and len(set(elements[a:b].tolist())) == b - a
         assert by_key.setdefault(k, s) == s and by_set.setdefault(s, k) == k
@@ -98,3 +98,39 @@ def test_same_as_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
     want = sorted(con.execute(ORACLE_SQL["op6_shingle_join"]).fetchall())
     assert sorted(map(tuple, QUERIES["op6_shingle_join"](spark, data).collect())) == want
+
+
+def test_strings_that_collide_modulo_powers_of_two(spark):
+    thue_morse = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ k] for x in thue_morse) for k in (0, 1))
+    rows = [(1, a), (2, b)]
+    assert sorted(map(tuple, link(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == [(1, 1, 1), (2, 1, 2)]
+
+
+def test_large_group_of_long_near_copies(spark):
+    """Some copies are too far from the centre to link with it, but link with others."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.choice([5, 40, 60, 75])):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, link(docs, 5, 80, block=16).collect())) == brute(rows, 5, 80)
+
+
+def test_products_in_steps(monkeypatch):
+    import numpy as np
+
+    from tarnwater.llm import shingle_join
+
+    rng = np.random.default_rng(1)
+    lists = [np.unique(rng.integers(0, 50, 20)) for _ in range(12)]
+    values, owner = np.concatenate(lists), np.repeat(np.arange(12), [len(x) for x in lists])
+    want = [[len(np.intersect1d(x, y)) for y in lists] for x in lists]
+    for dense in (1 << 22, 40, 1):
+        monkeypatch.setattr(shingle_join, "DENSE", dense)
+        got = shingle_join.products(values, owner, np.arange(12), np.arange(12), 12)
+        assert (got + np.diag([len(x) for x in lists]) * 0)[~np.eye(12, dtype=bool)].tolist() == np.array(want)[~np.eye(12, dtype=bool)].tolist()
