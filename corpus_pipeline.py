@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnwater.llm.common import maybe_in, membership, stored
+from tarnwater.llm.common import free_name, maybe_in, membership, stored
 from tarnwater.llm.language_id import keep_identified
 from tarnwater.llm.line_dedup import drop_repeated_lines
 from tarnwater.llm.packing import pack
@@ -34,23 +34,27 @@ def language(spark, docs, sf_dir):
 def lines(spark, docs, sf_dir):
     """Later repeated runs of lines go, and documents of which no word is left."""
     done = drop_repeated_lines(docs)
-    return measured(done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(docs.columns))
+    removed = done.columns[-1]  # its name depends on those of docs
+    return measured(done.where((F.col(removed) == 0) | F.col("text").rlike(r"\S")).select(docs.columns))
 
 
 def near_duplicates(spark, docs, sf_dir):
     """Of each group of near duplicates one row stays: that with the least id, a null id coming last;
     where an id has several texts, that with the least hash of its text; of rows that agree in both,
-    the least by all columns. Documents without words are in no group and all stay."""
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"))
-    rows = docs.withColumn("_key", key)
-    found = link(rows, WORDS, PERCENT, id_col="_key").where("n_shingles > 0")
-    known = found.groupBy("_key").agg(F.bool_or(F.col("_key") != F.col("component_id")).alias("gone"), F.count("*").alias("n"))
-    known = stored(known.where("gone OR n > 1").select("_key", "gone"))
+    the least by all columns. Documents without words are in no group and all stay. Columns of docs
+    stay, whatever their names."""
+    key, gone, maybe = (free_name(docs, c) for c in ("key", "gone", "maybe"))
+    hashes = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    rows = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", hashes.alias("hash")))
+    found = link(rows, WORDS, PERCENT, id_col=key).where("n_shingles > 0").select(F.col(key), "component_id")
+    known = found.groupBy(key).agg(F.bool_or(F.col(key) != F.col("component_id")).alias(gone), F.count("*").alias("n"))
+    known = stored(known.where(F.col(gone) | (F.col("n") > 1)).select(key, gone))
     # only rows that may be in the list are shuffled to meet it
-    rows = maybe_in(rows, "_key", membership(known, "_key"))
-    met = rows.where("maybe").join(known, "_key", "left")
-    again = met.where("NOT gone").groupBy("_key").agg(F.min(F.struct(docs.columns)).alias("row"))
-    return rows.where("NOT maybe").select(docs.columns).unionByName(met.where("gone IS NULL").select(docs.columns)).unionByName(again.select("row.*"))
+    rows = maybe_in(rows, key, membership(known, key), maybe)
+    met = rows.where(F.col(maybe)).join(known, key, "left")
+    again = met.where(~F.col(gone)).groupBy(key).agg(F.min(F.struct(docs.columns)).alias("row"))
+    alone = rows.where(~F.col(maybe)).select(docs.columns)
+    return alone.unionByName(met.where(F.col(gone).isNull()).select(docs.columns)).unionByName(again.select("row.*"))
 
 
 def secrets(spark, docs, sf_dir):

@@ -143,6 +143,14 @@ def sampled(rows, most, id_col="doc_id"):
     return rows.join(F.broadcast(ids), id_col, "left_semi")
 
 
+def free_name(df, name):
+    """name, with as many underscores after it as it takes to be no column of df (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Bits of a membership map: 512 KB, whatever the input. A fuller map only lets more rows pass.
 MAP_BITS = 22
 
@@ -156,7 +164,8 @@ def membership(keys, col):
 
 def maybe_in(df, col, members, flag="maybe"):
     """df with a flag that is true for every row whose col is in the map, and for few others."""
-    slot = F.pmod(F.xxhash64(col), F.lit(1 << MAP_BITS))
-    rows = df.withColumn("_slot", slot).withColumn("_place", F.shiftright("_slot", 6)).join(F.broadcast(members), "_place", "left")
-    hit = F.expr("coalesce((shiftright(_bits, cast(_slot & 63 AS int)) & 1) = 1, false)")
-    return rows.withColumn(flag, hit).drop("_slot", "_place", "_bits")
+    slot, place, bits = (free_name(df, c) for c in ("_slot", "_place", "_bits"))
+    members = members.select(F.col("_place").alias(place), F.col("_bits").alias(bits))
+    rows = df.withColumn(slot, F.pmod(F.xxhash64(col), F.lit(1 << MAP_BITS))).withColumn(place, F.shiftright(slot, 6)).join(F.broadcast(members), place, "left")
+    hit = F.expr(f"coalesce((shiftright(`{bits}`, cast(`{slot}` & 63 AS int)) & 1) = 1, false)")
+    return rows.withColumn(flag, hit).drop(slot, place, bits)

@@ -3,9 +3,10 @@
 A run is a sequence of consecutive non-blank lines. From every line the shortest window of at least
 `least` characters is taken, forwards and backwards; the least line hash of a window is its
 fingerprint, so two documents that share a run of that size are sure to share a fingerprint. The
-positions of repeated fingerprints are joined, which leaves few windows; these extend the match
-both ways, to whole windows of equal content. A window whose content occurs at an earlier place (by
-id, then position) is deleted; together they are the later repeated runs, whole.
+positions of a fingerprint are joined, and what occurs at one position only goes. At those that are
+left the match is extended both ways, to the whole window: a window whose lines are those of one
+at an earlier place (by id, then position) is deleted. Windows overlap from line to line, so
+together they are the later repeated runs, whole.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 
 #: Characters that a repeated run has at least, line ends not counted.
 LEAST = 200
@@ -24,55 +25,51 @@ def lines_of(text):
     return F.split(text, "\n", -1)
 
 
-def identified(docs, id_col, text_col):
-    """docs with the key of a document: its id as a number (null before all others) and a hash of its text."""
-    return docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64(text_col)})
+def key_of(id_col, text_col):
+    """The key of a document: its id as a number (null before all others) and two hashes of its text."""
+    return F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text_col).alias("h"), F.xxhash64(F.lit(1), text_col).alias("k"))
 
 
 def windows(docs, least, id_col="doc_id", text_col="text"):
     """Every shortest window: document, number of its lines, first and last position, fingerprint
-    and its position, two hashes of the content."""
-    rows = identified(docs, id_col, text_col).select("_d", "_h", lines_of(F.col(text_col)).alias("lines"))
-    rows = rows.select("_d", "_h", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
+    and its position, two hashes of the lines."""
+    rows = docs.select(key_of(id_col, text_col).alias("doc"), lines_of(F.col(text_col)).alias("lines"))
+    rows = rows.select("doc", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
     rows = rows.where(~F.col("line").rlike(BLANK))
-    rows = rows.select("_d", "_h", "n", "pos", F.xxhash64("line").alias("hash"), F.char_length("line").alias("size"))
-    rows = rows.dropDuplicates(["_d", "_h", "pos"])  # a repeated row is the same document
-    doc = Window.partitionBy("_d", "_h")
-    by_pos = doc.orderBy("pos")
-    rows = rows.withColumns({"r": F.row_number().over(by_pos), "upto": F.sum("size").over(by_pos), "lh": F.struct("hash", "pos")})
-    # the last line before which `least` characters stand, the first line after which they are reached
-    before = F.max("r").over(doc.orderBy("upto").rangeBetween(Window.unboundedPreceding, -least))
-    after = F.min("r").over(doc.orderBy(F.desc("upto")).rangeBetween(Window.unboundedPreceding, -least))
-    rows = rows.withColumns({"before": F.coalesce(before, F.when(F.col("upto") >= least, 0)), "after": after, "first": F.min(F.when(F.col("upto") >= least, F.col("r"))).over(doc)})
-    by_r = doc.orderBy("r")
-    # no window has more than `least` lines, as each line has a character
-    rows = rows.withColumns({
-        "end": F.coalesce(F.lag("after").over(by_r), F.when(F.col("r") == 1, F.col("first"))),
-        "behind": F.collect_list("lh").over(by_r.rowsBetween(1 - least, 0)),
-        "ahead": F.collect_list("lh").over(by_r.rowsBetween(0, least - 1)),
-    })
-    back = F.when(F.col("before").isNotNull(), F.expr("slice(behind, before - r, r - before)"))
-    forth = F.when(F.col("end").isNotNull(), F.expr("slice(ahead, 1, end - r + 1)"))
-    spans = rows.select("_d", "_h", "n", F.explode(F.array(back, forth)).alias("span")).where("span IS NOT NULL")
-    content = F.transform("span", lambda x: x["hash"])
-    mark = F.array_min("span")
-    return spans.select("_d", "_h", "n", F.col("span")[0]["pos"].alias("start"), F.element_at("span", -1)["pos"].alias("end"), mark["hash"].alias("mark"), mark["pos"].alias("mark_pos"), F.xxhash64(content).alias("c1"), F.xxhash64(F.lit(1), content).alias("c2"))
+    rows = rows.select("doc", "n", "pos", F.xxhash64("line").alias("hash"), F.xxhash64(F.lit(1), "line").alias("other"), F.char_length("line").cast("long").alias("size"))
+    rows = rows.repartition("doc").dropDuplicates(["doc", "pos"])  # a repeated row is the same document
+    doc = Window.partitionBy("doc")
+    rows = rows.withColumn("upto", F.sum("size").over(doc.orderBy("pos"))).withColumn("since", F.col("upto") - F.col("size"))
+    rows = rows.withColumn("total", F.max("upto").over(doc))
+    # the window that ends at a line: all that end less than `least` characters before it does;
+    # the one that starts at a line: all that start less than `least` characters after it
+    back = doc.orderBy("upto").rangeBetween(1 - least, 0)
+    forth = doc.orderBy("since").rangeBetween(0, least - 1)
+
+    def window(over, fits):
+        mark = F.min(F.struct("hash", "pos")).over(over)
+        parts = F.struct(F.min("pos").over(over).alias("start"), F.max("pos").over(over).alias("end"), mark.alias("mark"), F.xxhash64(F.collect_list("hash").over(over)).alias("c1"), F.xxhash64(F.lit(1), F.collect_list("other").over(over)).alias("c2"))
+        return F.when(fits, parts)
+
+    rows = rows.withColumns({"back": window(back, F.col("upto") >= least), "forth": window(forth, F.col("total") - F.col("since") >= least)})
+    found = rows.select("doc", "n", F.explode(F.array_distinct(F.array("back", "forth"))).alias("w")).where("w IS NOT NULL")
+    return found.select("doc", "n", "w.start", "w.end", F.col("w.mark.hash").alias("mark"), F.col("w.mark.pos").alias("mark_pos"), "w.c1", "w.c2")
 
 
 def repeated_lines(docs, least=LEAST, id_col="doc_id", text_col="text"):
-    """(_d, _h, flags): for each document with a later repeated run, whether each of its lines goes."""
+    """(doc, gone): for each document with a later repeated run, whether each of its lines goes."""
     found = stored(windows(docs, least, id_col, text_col))
-    place = F.struct("_d", "_h", "mark_pos")
+    place = F.struct("doc", "mark_pos")
     marks = found.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("mark")
-    some = stored(found.join(marks, "mark", "left_semi"))
-    place = F.struct("_d", "_h", "start")
+    some = stored(found.join(marks, "mark", "left_semi"), cut=[found])
+    place = F.struct("doc", "start")
     firsts = some.groupBy("c1", "c2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("c1", "c2", "a")
     later = some.join(firsts, ["c1", "c2"]).where(place > F.col("a"))
-    gone = later.select("_d", "_h", F.explode(F.sequence("start", "end")).alias("pos"), F.lit(True).alias("gone"))
-    every = later.select("_d", "_h", "n").distinct().select("_d", "_h", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"), F.lit(False).alias("gone"))
-    flags = gone.union(every).groupBy("_d", "_h", "pos").agg(F.max("gone").alias("gone"))
-    flags = flags.groupBy("_d", "_h").agg(F.sort_array(F.collect_list(F.struct("pos", "gone"))).alias("flags"))
-    return flags.withColumn("flags", F.transform("flags", lambda x: x["gone"]))
+    gone = later.select("doc", F.explode(F.sequence("start", "end")).alias("pos"), F.lit(True).alias("gone"))
+    every = later.select("doc", "n").distinct().select("doc", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"), F.lit(False).alias("gone"))
+    flags = gone.union(every).groupBy("doc", "pos").agg(F.max("gone").alias("gone"))
+    flags = flags.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "gone"))).alias("flags"))
+    return flags.select("doc", F.transform("flags", lambda x: x["gone"]).alias("gone"))
 
 
 def drop_repeated_lines(docs, least=LEAST, id_col="doc_id", text_col="text"):
@@ -81,20 +78,24 @@ def drop_repeated_lines(docs, least=LEAST, id_col="doc_id", text_col="text"):
     Of equal runs of at least `least` characters the one at the least (id, position) stays. Blank
     lines are no part of runs and stay where they are not inside a deleted one. Rows with equal
     ids and texts are one document, and all of them keep the same lines; null ids come first. A
-    null text has no lines and stays null; an empty one has one blank line. Other columns of docs
-    stay; names that begin with an underscore are used inside.
+    null text has no lines and stays null; an empty one has one blank line. An empty table gives
+    an empty result. Other columns of docs stay, whatever their names: where there is an n_lines
+    or n_removed, the count is called n_lines_ or n_removed_. Documents and lines are told apart
+    by 128 bits of hashes.
     """
+    key, gone, n_lines, n_removed = (free_name(docs, c) for c in ("doc", "gone", "n_lines", "n_removed"))
     flags = repeated_lines(docs, least, id_col, text_col)
-    rows = identified(docs, id_col, text_col).join(flags, ["_d", "_h"], "left")
+    flags = flags.select(F.col("doc").alias(key), F.col("gone").alias(gone))
+    rows = docs.withColumn(key, key_of(id_col, text_col)).join(flags, key, "left")
     lines = lines_of(F.col(text_col))
-    kept = F.filter(F.zip_with(lines, "flags", lambda line, gone: F.when(~gone, line)), lambda line: line.isNotNull())
+    kept = F.filter(F.zip_with(lines, gone, lambda line, out: F.when(~out, line)), lambda line: line.isNotNull())
     n = F.coalesce(F.size(lines), F.lit(0))
     out = rows.withColumns({
-        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long"),
-        "n_removed": F.coalesce(F.size(F.filter("flags", lambda gone: gone)), F.lit(0)).cast("long"),
-        text_col: F.when(F.col("flags").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
+        n_lines: F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long"),
+        n_removed: F.coalesce(F.size(F.filter(gone, lambda out: out)), F.lit(0)).cast("long"),
+        text_col: F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
     })
-    return out.select(*docs.columns, *[c for c in ("n_lines", "n_removed") if c not in docs.columns])
+    return out.select(*docs.columns, n_lines, n_removed)
 
 
 def oracle(least=LEAST, blank=r"^\s*$"):

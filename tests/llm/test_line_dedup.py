@@ -53,3 +53,13 @@ def test_same_as_sql(spark):
     want = sorted(con.execute(ORACLE_SQL["op7_line_dedup"]).fetchall())
     got = sorted(map(tuple, QUERIES["op7_line_dedup"](spark, data).collect()))
     assert got == want and sum(r[2] for r in got) > 0
+
+
+def test_clashing_names_and_long_texts(spark):
+    line = "z" * 250
+    rows = [(1, line + "\nown", 5, True, 7, "d"), (2, "x\n" + line, 6, False, 8, "e"), (3, "\n".join(f"line {i}" for i in range(20000)), 0, None, 0, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, flags boolean, n_removed int, gone string").selectExpr("*", "7 AS DOC", "1 AS _h")
+    got = {r.doc_id: r for r in drop_repeated_lines(docs).collect()}
+    assert list(got[1].__fields__) == docs.columns + ["n_lines_", "n_removed_"]
+    assert (got[2].text, got[2].n_lines, got[2].n_removed, got[2].n_lines_, got[2].n_removed_, got[2].flags, got[2].gone) == ("x", 6, 8, 2, 1, False, "e")
+    assert got[3].text == rows[2][1] and got[3].n_lines_ == 20000 and got[1].text == rows[0][1]

@@ -76,3 +76,15 @@ def test_near_duplicates_by_row(spark):
     assert got.columns == docs.columns
     want = [(1, text(0)), (7, near(1)), (None, text(2)), (3, text(3)), (9, text(4)), (4, ""), (4, ""), (None, " ")]
     assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_clashing_names(spark):
+    """Columns of other names pass through all stages but the last."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    names = ["flags", "n_lines", "maybe", "_slot", "_place", "_key", "key", "gone", "doc", "n", "component_id", "bin_id", "n_removed", "score"]
+    docs = corpus_pipeline.stored(docs.selectExpr("*", *(f"doc_id + {k} AS {c}" for k, c in enumerate(names))))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs.columns, corpus_pipeline.stored(stage(spark, docs, DATA))
+        assert docs.columns == before
+        assert docs.count() > 0 and docs.where(" OR ".join(f"{c} <> doc_id + {k}" for k, c in enumerate(names))).isEmpty()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() > 0
