@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def fold(log, key, last=(), first=(), seq="seq", written="set_cols"):
     """One row per key. Each log row writes the columns named in its array `written`; of the
-    `last` columns the latest write stays, null included, of the `first` ones the earliest. seq is
-    a total order within a key. One aggregation, combined before the shuffle."""
+    `last` columns the latest write stays, null included, of the `first` ones the earliest. seq (of
+    any type that has an order) is a total order within a key. One aggregation, combined before the shuffle."""
     at = lambda f, c: F.expr(f"{f}({c}, {seq}) FILTER (WHERE array_contains({written}, '{c}'))").alias(c)
     return log.groupBy(*key).agg(*(at("max_by", c) for c in last), *(at("min_by", c) for c in first))
 

@@ -77,21 +77,28 @@ def adaptive_delay(log):
 
 
 def circuit(log, threshold=THRESHOLD, cooldown=COOLDOWN):
-    """(client, failures, openings, open_until) at the end of the log of (client, seq, at, failed).
+    """(client, failures, openings, open_until) at the end of the log of (client, seq, at, failed); where
+    the log has bad_json too, also unreadable.
 
-    A request while the circuit is open is refused and changes nothing. The failure counter stays
-    when it opens, so the first failure afterwards opens it again.
+    A request while the circuit is open is refused and changes nothing. Failures, and successes whose
+    body can't be read, have a counter each: a success ends the run of failures, a readable one that
+    of unreadable ones; a failure leaves the latter as it is. The counters stay when the circuit
+    opens, so the first failure (or unreadable body) afterwards opens it again.
     """
 
-    def step(state, at, until, failed):
-        failures, openings, open_until = state
+    def step(state, at, until, failed, bad):
+        failures, unreadable, openings, open_until = state
         if at is not None and open_until is not None and at < open_until:
             return state
         failures = failures + 1 if failed else 0
-        return (failures, openings + 1, until) if failed and failures >= threshold else (failures, openings, open_until)
-
-    values = F.col("at").cast("double").alias("at"), (F.col("at") + cooldown).cast("double").alias("until"), "failed"
-    return folded(log, ["seq", "at", "failed"], values, (0, 0, None), step, {"failures": "int", "openings": "int", "open_until": "double"})
+        unreadable = unreadable if failed else unreadable + 1 if bad else 0
+        opens = failures >= threshold if failed else bad and unreadable >= threshold
+        return (failures, unreadable, openings + 1, until) if opens else (failures, unreadable, openings, open_until)
+
+    bad = F.coalesce(F.col("bad_json") if "bad_json" in log.columns else F.lit(False), F.lit(False))
+    values = F.col("at").cast("double").alias("at"), (F.col("at") + cooldown).cast("double").alias("until"), "failed", bad.alias("bad")
+    found = folded(log.withColumn("bad", bad), ["seq", "at", "failed", "bad"], values, (0, 0, 0, None), step, {"failures": "int", "unreadable": "int", "openings": "int", "open_until": "double"})
+    return found.select("client", "failures", "openings", "open_until", *(["unreadable"] if "bad_json" in log.columns else []))
 
 
 def failure_streaks(log, least=2):

@@ -6,13 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
-def reachable(entries, full=20):
-    """Entries of pages up to the first that is not full; (uid, skip, page_size) tell a page."""
-    pages = entries.select("uid", "skip", "page_size").distinct()
-    before = Window.partitionBy("uid").orderBy("skip").rowsBetween(Window.unboundedPreceding, -1)
+def reachable(pages, full=20):
+    """Pages (uid, skip, page_size) up to the first that is not full. Empty pages are pages too, so
+    this comes before pages are exploded into entries."""
+    before = Window.partitionBy("uid").orderBy("skip").rangeBetween(Window.unboundedPreceding, -1)
     ended = F.coalesce(F.max(F.col("page_size") < full).over(before), F.lit(False))
-    kept = pages.withColumn("ended", ended).where("NOT ended").select("uid", "skip")
-    return entries.join(kept, ["uid", "skip"], "left_semi")
+    return pages.withColumn("ended", ended).where("NOT ended").drop("ended")
 
 
 def unknown(entries, known, key="match_uid"):

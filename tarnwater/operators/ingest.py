@@ -10,37 +10,49 @@ from .changelog import fold
 from .shred import admitted, shred
 
 
-def upsert(current, rows, name, seq):
-    """current with rows merged in by key: rows write the columns they have, the latest by seq last."""
+def upsert(current, rows, name):
+    """current with rows merged in by key: rows write the columns they have, whole rows at a time,
+    the latest by (seq, doc, pos) last. Of rows that agree in these, one and the same counts for all columns."""
     key = schemas.KEYS[name]
     firsts = [c for c in schemas.FIRST_WINS.get(name, []) if c in schemas.schema(name).fieldNames()]
     other = [f.name for f in schemas.schema(name) if f.name not in key]
     have = [c for c in rows.columns if c in other]
     types = {f.name: f.dataType for f in schemas.schema(name)}
-    old = current.select(*key, *other, F.array(*map(F.lit, other)).cast("array<string>").alias("set_cols"), F.lit(-1).cast("long").alias("seq"))
-    new = rows.select(*(F.col(c).cast(types[c]).alias(c) for c in key), *((F.col(c) if c in have else F.lit(None)).cast(types[c]).alias(c) for c in other), F.array(*map(F.lit, have)).cast("array<string>").alias("set_cols"), F.col(seq).cast("long").alias("seq"))
+    at = lambda *parts: F.struct(*(x.cast("long").alias(c) for x, c in zip(parts, ("seq", "doc", "pos", "tie")))).alias("seq")
+    zero = F.lit(0).cast("long")
+    old = current.select(*key, *other, F.array(*map(F.lit, other)).cast("array<string>").alias("set_cols"), at(F.lit(-1), zero, zero, zero))
+    place = at(*(F.col(c) if c in rows.columns else zero for c in ("seq", "doc", "pos")), F.xxhash64(*key, *have))
+    new = rows.select(*(F.col(c).cast(types[c]).alias(c) for c in key), *((F.col(c) if c in have else F.lit(None)).cast(types[c]).alias(c) for c in other), F.array(*map(F.lit, have)).cast("array<string>").alias("set_cols"), place)
     return fold(old.unionByName(new), key, [c for c in other if c not in firsts], firsts).select(*(f.name for f in schemas.schema(name)))
 
 
 def discovered(parsed):
-    """(uid, nick_name, latest_known_score, latest_known_level, discovery_hero_id, seq) of players in matches."""
-    p = parsed.select("seq", F.explode("match.match_players").alias("p"))
-    return p.select(F.col("p.player_uid").alias("uid"), "p.nick_name", F.col("p.dynamic_fields.new_score").alias("latest_known_score"), F.col("p.dynamic_fields.new_level").cast("int").alias("latest_known_level"), F.col("p.cur_hero_id").cast("int").alias("discovery_hero_id"), "seq")
+    """(uid, nick_name, latest_known_score, latest_known_level, discovery_hero_id, seq, doc, pos) of players in matches."""
+    p = parsed.select("seq", "doc", F.posexplode("match.match_players").alias("pos", "p"))
+    return p.select(F.col("p.player_uid").alias("uid"), "p.nick_name", F.col("p.dynamic_fields.new_score").alias("latest_known_score"), F.col("p.dynamic_fields.new_level").cast("int").alias("latest_known_level"), F.col("p.cur_hero_id").cast("int").alias("discovery_hero_id"), "seq", "doc", "pos")
 
 
 def ingest(store, raw, season, now):
     """Merge raw matches (raw, seq, optionally map_id) into the store as one commit; returns what
-    was rejected. Running it again with the same input changes nothing but fetch times."""
-    good, bad = admitted(parse(raw))
-    map_id = "map_id" if "map_id" in raw.columns else None
-    made = shred(good, season, now, map_id)
-    order = good.select("match.match_uid", "seq").groupBy("match_uid").agg(F.max("seq").alias("seq"))
-    tables = {}
-    for name, rows in made.items():
-        rows = rows.withColumn("seq", F.lit(0)) if name == "heroes" else rows.join(order, "match_uid")
-        tables[name] = upsert(store.read(name), rows, name, "seq")
+    was rejected, as a table beside the others. Rows are written in the order of seq, those of one
+    document in their order there, so the result doesn't depend on how documents are batched; of two
+    versions of a match with one seq, one and the same counts in all tables. Running it again with
+    the same input changes nothing but fetch times. Documents are parsed once, into a table that goes
+    when the commit is done."""
+    with store.staged(parse(raw)) as parsed:
+        good, bad = admitted(parsed)
+        good = good.withColumn("doc", F.xxhash64("raw"))
+        tables = merged(store, good, season, now)
+        rejected = store.put("_rejected", bad.select(raw.columns))
+        store.commit(tables)
+    return rejected
+
+
+def merged(store, good, season, now):
+    """name -> new state of every table that admitted documents change."""
+    map_id = "map_id" if "map_id" in good.columns else None
+    tables = {name: upsert(store.read(name), rows, name) for name, rows in shred(good, season, now, map_id).items()}
     players = discovered(good).withColumn("created_at", F.lit(now).cast("long"))
-    merged = upsert(store.read("players"), players, "players", "seq")
-    tables["players"] = merged.withColumn("crawl_status", F.coalesce("crawl_status", F.lit("pending")))
-    store.commit(tables)
-    return bad
+    people = upsert(store.read("players"), players, "players")
+    tables["players"] = people.withColumn("crawl_status", F.coalesce("crawl_status", F.lit("pending")))
+    return tables

@@ -35,6 +35,11 @@ def drained(players, status="crawl_status"):
     return players.where(F.col(status).isin("pending", "claimed")).limit(1).agg((F.count("*") == 0).alias("drained"))
 
 
+def progress(store, now, window=600):
+    """The progress line of a store."""
+    return progress_line(store.read("players"), store.read("matches"), store.read("match_player_heroes"), now, window)
+
+
 def progress_line(players, matches, segments, now, window=600):
     """The one line that operators read."""
     statuses = sorted((r[0], r[1]) for r in status_counts(players).collect())

@@ -24,10 +24,15 @@ def winner_side():
     return F.get(F.filter("match.match_players", lambda p: F.coalesce(p["is_win"], F.lit(0.0)) != 0), 0)["camp"].cast("int")
 
 
+def _with_seq(rows):
+    """What tells the order of the documents stays beside their rows."""
+    return [c for c in ("seq", "doc") if c in rows.columns]
+
+
 def match_rows(rows, season, now, map_id=None):
     m = lambda c: F.col(f"match.{c}")
     return rows.select(
-        m("match_uid"), m("match_time_stamp"), m("match_play_duration"), INT("match.game_mode_id").alias("game_mode_id"),
+        *_with_seq(rows), m("match_uid"), m("match_time_stamp"), m("match_play_duration"), INT("match.game_mode_id").alias("game_mode_id"),
         (F.lit(None) if map_id is None else F.col(map_id)).cast("int").alias("map_id"), F.lit(season).cast("int").alias("season"), winner_side().alias("winner_side"),
         m("mvp_uid"), INT("match.mvp_hero_id").alias("mvp_hero_id"), m("svp_uid"), INT("match.svp_hero_id").alias("svp_hero_id"),
         F.expr("try_cast(match.replay_id AS BIGINT)").alias("replay_id"), F.lit(now).cast("long").alias("fetched_at"),
@@ -35,24 +40,25 @@ def match_rows(rows, season, now, map_id=None):
 
 
 def ban_rows(rows):
-    bans = rows.select("match.match_uid", F.explode("match.dynamic_fields.ban_pick_info").alias("b"))
-    return bans.select("match_uid", *(INT(f"b.{c}").alias(c) for c in ("round_idx", "battle_side", "hero_id", "is_pick")))
+    bans = rows.select(*_with_seq(rows), "match.match_uid", F.posexplode("match.dynamic_fields.ban_pick_info").alias("pos", "b"))
+    return bans.select(*_with_seq(rows), "pos", "match_uid", *(INT(f"b.{c}").alias(c) for c in ("round_idx", "battle_side", "hero_id", "is_pick")))
 
 
 def player_rows(rows):
-    players = rows.select("match.match_uid", F.explode("match.match_players").alias("p"))
+    players = rows.select(*_with_seq(rows), "match.match_uid", F.posexplode("match.match_players").alias("pos", "p"))
     ints, doubles = ("camp", "cur_hero_id", "k", "d", "a"), ("total_hero_damage", "total_hero_heal", "total_damage_taken")
     return players.select(
-        "match_uid", "p.player_uid", *(INT(f"p.{c}").alias(c) for c in ints), *(F.col(f"p.{c}") for c in doubles), INT("p.is_win").alias("is_win"),
+        *_with_seq(rows), "pos", "match_uid", "p.player_uid", *(INT(f"p.{c}").alias(c) for c in ints), *(F.col(f"p.{c}") for c in doubles), INT("p.is_win").alias("is_win"),
         "p.dynamic_fields.add_score", "p.dynamic_fields.new_score", INT("p.dynamic_fields.level").alias("level"), INT("p.dynamic_fields.new_level").alias("new_level"), "p.session_hit_rate",
     )
 
 
 def segment_rows(rows):
     """Hero segments of each player of each match."""
-    players = rows.select("match.match_uid", F.explode("match.match_players").alias("p"))
-    parts = players.select("match_uid", "p.player_uid", F.explode("p.player_heroes").alias("h"))
-    return parts.select("match_uid", "player_uid", *(INT(f"h.{c}").alias(c) for c in ("hero_id", "k", "d", "a")), "h.play_time")
+    players = rows.select(*_with_seq(rows), "match.match_uid", F.posexplode("match.match_players").alias("at", "p"))
+    parts = players.select(*_with_seq(rows), "at", "match_uid", "p.player_uid", F.posexplode("p.player_heroes").alias("pos", "h"))
+    place = (F.col("at").cast("long") * (1 << 31) + F.col("pos")).alias("pos")
+    return parts.select(*_with_seq(rows), place, "match_uid", "player_uid", *(INT(f"h.{c}").alias(c) for c in ("hero_id", "k", "d", "a")), "h.play_time")
 
 
 def heroes_seen(rows):
@@ -67,5 +73,6 @@ def heroes_seen(rows):
 
 
 def shred(rows, season, now, map_id=None):
-    """name -> rows of every table that admitted matches yield. Equal keys are left to the upsert."""
+    """name -> rows of every table that admitted matches yield, with seq (if there is one) and their
+    place `pos` in the document. Equal keys are left to the upsert."""
     return {"matches": match_rows(rows, season, now, map_id), "match_bans": ban_rows(rows), "match_players": player_rows(rows), "match_player_heroes": segment_rows(rows), "heroes": heroes_seen(rows).withColumn("first_seen_at", F.lit(now).cast("long"))}

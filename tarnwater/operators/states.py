@@ -36,9 +36,11 @@ def release(rows, condition=None):
     return _put(rows, held if condition is None else held & condition, "pending", claimed=nothing())
 
 
-def finish(rows, outcomes, now):
-    """outcomes (uid, outcome): the terminal status of each, stamped with now."""
-    marked = rows.join(outcomes.select("uid", "outcome"), "uid", "left")
+def finish(rows, outcomes, now, order=None):
+    """outcomes (uid, outcome): the terminal status of each, stamped with now. Of several outcomes of
+    one uid the last in `order` (a column) counts, without it the greatest by name."""
+    last = F.max("outcome") if order is None else F.max_by("outcome", F.struct(order, "outcome"))
+    marked = rows.join(outcomes.where("outcome IS NOT NULL").groupBy("uid").agg(last.alias("outcome")), "uid", "left")
     over = F.col("outcome").isNotNull()
     return marked.select(*[
         F.when(over, F.col("outcome")).otherwise(F.col(c)).alias(c) if c == "crawl_status"

@@ -7,6 +7,8 @@ newest manifest. A crash before the manifest leaves the previous version as it w
 from __future__ import annotations
 
 import json
+import uuid
+from contextlib import contextmanager
 
 from .. import schemas
 
@@ -45,6 +47,25 @@ class Store:
             return schemas.empty(self.spark, name)
         return self.spark.read.schema(schemas.schema(name)).parquet(f"{self.path}/{at}")
 
+    def put(self, kind, rows):
+        """rows, written beside the tables and read again."""
+        at = f"{self.path}/{kind}/{uuid.uuid4().hex}"
+        rows.write.parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    @contextmanager
+    def staged(self, rows):
+        """rows as a table of their own, which is deleted at the end: what is read many times is made once."""
+        if not self.writable:
+            raise PermissionError("the store was opened for reading")
+        kept = self.put("_staged", rows)
+        try:
+            yield kept
+        finally:
+            for at in kept.inputFiles()[:1]:
+                folder = self._path(at).getParent()
+                self._fs.delete(folder, True)
+
     def commit(self, tables):
         """Write tables (name -> DataFrame) as one new version; all of them become visible at once."""
         if not self.writable:

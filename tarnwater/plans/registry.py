@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.devalue import resolve
 from ..functions.expressions import eta, rank_blob, response_class
-from ..operators import analytics, changelog, folds, frontier, history, metrics, quality, seeding, shred, states
+from ..operators import analytics, changelog, crawl, folds, frontier, history, ingest, metrics, quality, seeding, shred, states
+from ..operators.store import Store
 from ..sources import payloads
 from ..streaming import jobs
 
@@ -238,11 +239,23 @@ def history_revisit(spark, sf_dir):
     return found.join(v.where("last_crawled_at IS NOT NULL"), "uid", "left_semi").select("uid", "skip", "pos", "match_uid")
 
 
-@query(f"""WITH {_ENTRIES}, p AS (SELECT DISTINCT uid, skip, page_size FROM entries), t AS (SELECT *, coalesce(bool_or(page_size < 5) OVER (PARTITION BY uid ORDER BY skip ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM p)
-    SELECT e.uid, e.skip, e.pos, e.match_uid FROM entries e JOIN t ON e.uid = t.uid AND e.skip = t.skip WHERE NOT ended""")
+def landed_pages(spark, sf_dir):
+    """Raw pages of the histories: some short, some empty, some with entries of another mode or of none."""
+    e = history_entries(spark, sf_dir)
+    mode = F.when(F.col("match_uid") % 5 == 0, 1.0).when(F.col("match_uid") % 7 != 0, 2.0)
+    entry = F.struct(F.col("match_uid").cast("string").alias("match_uid"), F.lit(5.0).alias("match_map_id"), mode.alias("game_mode_id"))
+    sent = F.col("pos") < F.when((F.col("uid") + F.floor(F.col("skip") / 5)) % 11 == 0, 0).otherwise(F.col("page_size"))
+    page = F.sort_array(F.collect_list(F.when(sent, F.struct("pos", entry.alias("entry")))))
+    return e.groupBy("uid", "skip").agg(page.alias("page")).select("uid", "skip", F.to_json(F.transform("page", lambda x: x["entry"])).alias("raw"))
+
+
+@query(f"""WITH {_ENTRIES}, sent AS (SELECT uid, skip, pos, match_uid, CASE WHEN match_uid % 5 = 0 THEN 1 WHEN match_uid % 7 <> 0 THEN 2 END AS mode FROM entries WHERE pos < CASE WHEN (uid + skip // 5) % 11 = 0 THEN 0 ELSE page_size END),
+    pg AS (SELECT uid, skip, count(sent.pos) AS n FROM (SELECT DISTINCT uid, skip FROM entries) LEFT JOIN sent USING (uid, skip) GROUP BY 1, 2),
+    t AS (SELECT *, coalesce(bool_or(n < 5) OVER (PARTITION BY uid ORDER BY skip ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM pg)
+    SELECT uid, skip, pos, CAST(match_uid AS VARCHAR) AS match_uid FROM sent JOIN t USING (uid, skip) WHERE NOT ended AND coalesce(mode, 2) = 2""")
 def page_termination(spark, sf_dir):
-    """Nothing after a page that is not full."""
-    return history.reachable(history_entries(spark, sf_dir), full=5).select("uid", "skip", "pos", "match_uid")
+    """Nothing after a page that is not full, be it empty or of other modes altogether."""
+    return payloads.history(landed_pages(spark, sf_dir), full=5).select("uid", "skip", F.col("pos").cast("long").alias("pos"), "match_uid")
 
 
 @query(f"WITH {_ENTRIES} SELECT uid, skip, pos, match_uid FROM entries ANTI JOIN known USING (match_uid)")
@@ -267,10 +280,83 @@ def history_detail_join(spark, sf_dir):
 def seed_precedence(spark, sf_dir):
     """Hero boards before the global one; known ids are no seeds."""
     o = table(spark, sf_dir, "orders")
-    heroes = o.where("o_orderstatus = 'F'").select((F.col("o_orderkey") % 40).cast("int").alias("hero_id"), F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("uid"))
-    everyone = o.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("uid"))
+    heroes = o.where("o_orderstatus = 'F'").select((F.col("o_orderkey") % 40).cast("int").alias("hero_id"), F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("uid"), F.lit("h").alias("nick_name"))
+    everyone = o.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("uid"), F.lit("g").alias("nick_name"))
+    stored = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("uid"))
+    return seeding.new_seeds(seeding.seeds(heroes, everyone), stored).select("uid", "tag")
+
+
+_BOARDS = f"""h AS (SELECT CAST(range AS INT) AS hero_id, CASE range % 4 WHEN 1 THEN {NOW - 100} WHEN 0 THEN NULL ELSE {NOW - 100000} END AS last_seeded_at FROM range(40)),
+    board AS (SELECT CAST(o_orderkey % 40 AS INT) AS hero_id, o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 10 <> 7),
+    due AS (SELECT hero_id FROM h WHERE (last_seeded_at IS NULL OR last_seeded_at < {NOW - 86400}) AND hero_id IN (SELECT hero_id FROM board))"""
+
+
+def boards(spark, sf_dir):
+    """(players, heroes, hero boards, global board): every tenth hero's board is broken, some were read lately."""
+    o = table(spark, sf_dir, "orders")
+    entry = F.struct(F.col("o_custkey").alias("player_uid"), F.struct(F.concat(F.lit("b"), "o_orderkey").alias("name")).alias("info"))
+    board = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", entry.alias("e")))), lambda x: x["e"])
+    heroes = o.where("o_orderstatus = 'F'").groupBy((F.col("o_orderkey") % 40).cast("int").alias("hero_id")).agg(board.alias("players"))
+    heroes = heroes.select("hero_id", F.when(F.col("hero_id") % 10 == 7, "{broken").otherwise(F.to_json(F.struct("players"))).alias("raw"))
+    everyone = o.where("o_orderstatus <> 'F'").select(F.format_string('[{"data":1},{"page":2},{"players":3},[4],{"name":5,"uid":6,"rank":7},"c%s","%s",{"rank_game_id":8},19]', "o_custkey", "o_custkey").alias("raw"))
+    i = F.col("hero_id") % 4
+    stamps = spark.range(40).select(F.col("id").cast("int").alias("hero_id")).withColumn("last_seeded_at", F.when(i == 1, NOW - 100).when(i != 0, NOW - 100000).cast("long"))
     stored = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("uid"))
-    return seeding.new_seeds(seeding.seeds(heroes, everyone), stored)
+    return stored, stamps, heroes, everyone
+
+
+@query(f"""WITH {_BOARDS}, s AS (SELECT o_custkey AS uid, 'b' || o_orderkey AS nick_name, hero_id AS tag, 0 AS src, hero_id AS h, o_orderkey AS p FROM board JOIN due USING (hero_id)
+        UNION ALL SELECT o_custkey, 'c' || o_custkey, NULL, 1, 0, 0 FROM orders WHERE o_orderstatus <> 'F'),
+    f AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY src, h, p) AS rn FROM s)
+    SELECT uid, nick_name, tag AS discovery_hero_id, 'pending' AS crawl_status, {NOW} AS created_at FROM f WHERE rn = 1 AND uid NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)""")
+def reseed(spark, sf_dir):
+    """Players that raw boards bring, with names, tags and status."""
+    return seeding.reseeded(*boards(spark, sf_dir), NOW)[0]
+
+
+@query(f"WITH {_BOARDS} SELECT hero_id, CASE WHEN hero_id IN (SELECT hero_id FROM due) THEN {NOW} ELSE last_seeded_at END AS last_seeded_at FROM h")
+def reseed_stamps(spark, sf_dir):
+    """Heroes whose boards were read are stamped; a broken board is left for the next time."""
+    return seeding.reseeded(*boards(spark, sf_dir), NOW)[1]
+
+
+# -- visits ---------------------------------------------------------------------------------------
+_VISITS = """v AS (SELECT c_custkey AS uid, 'n' || c_custkey AS name, c_nationkey AS lvl, c_acctbal, CASE WHEN c_custkey % 13 = 0 THEN 5 END AS known,
+        CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN 404 WHEN c_custkey % 17 = 0 THEN 503 ELSE 200 END AS status, c_custkey % 23 = 0 AS broken, c_custkey % 5 <> 0 AS visible, c_custkey % 3 = 0 AS other FROM customer),
+    o AS (SELECT *, CASE WHEN known < 13 THEN 'skipped_floor' WHEN status IS NULL OR status = 503 OR (status = 200 AND broken) THEN 'error' WHEN status = 404 THEN 'not_indexed' WHEN NOT visible THEN 'skipped_private' WHEN NOT other AND lvl < 13 THEN 'skipped_floor' ELSE 'done' END AS outcome,
+        known IS NULL AND coalesce(status, 0) = 200 AND NOT broken AS profiled FROM v)"""
+
+
+def landed_profiles(spark, sf_dir):
+    c, i = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    rank = F.to_json(F.struct(F.struct(F.col("c_nationkey").cast("double").alias("level"), F.col("c_acctbal").alias("rank_score")).alias("rank_game")))
+    info = F.create_map(F.lit("name"), F.concat(F.lit("n"), i), F.when(i % 3 == 0, "rank_game_1001018").otherwise("rank_game_1001019"), rank)
+    raw = F.to_json(F.struct(F.struct(info.alias("info")).alias("player"), F.struct((i % 5 != 0).alias("match_history")).alias("visibility")))
+    status = F.when(i % 11 == 0, 404).when(i % 17 == 0, 503).otherwise(200)
+    return c.where(i % 19 != 0).select(i.alias("uid"), status.alias("http_status"), F.when(i % 23 == 0, "<html>").otherwise(raw).alias("raw"))
+
+
+@query(f"WITH {_VISITS} SELECT uid, outcome, profiled, CASE WHEN profiled THEN name END AS nick_name, CASE WHEN profiled AND NOT other THEN CAST(lvl AS INT) END AS latest_known_level, CASE WHEN profiled AND NOT other THEN c_acctbal END AS latest_known_score FROM o")
+def crawl_batch(spark, sf_dir):
+    """Outcomes and profiles of all visits of a round."""
+    claimed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.when(F.col("c_custkey") % 13 == 0, 5).alias("latest_known_level"))
+    seen = crawl.visits(claimed, landed_profiles(spark, sf_dir), 19)
+    return seen.select("uid", "outcome", "profiled", *(F.when(F.col("profiled"), F.col(c)).alias(c) for c in ("nick_name", "latest_known_level", "latest_known_score")))
+
+
+@query(f"""WITH {_VISITS}, {_ENTRIES}, sent AS (SELECT uid, skip, pos, match_uid, CASE WHEN match_uid % 5 = 0 THEN 1 WHEN match_uid % 7 <> 0 THEN 2 END AS mode FROM entries WHERE pos < CASE WHEN (uid + skip // 5) % 11 = 0 THEN 0 ELSE page_size END),
+    pg AS (SELECT uid, skip, count(sent.pos) AS n FROM (SELECT DISTINCT uid, skip FROM entries) LEFT JOIN sent USING (uid, skip) GROUP BY 1, 2),
+    t AS (SELECT *, coalesce(bool_or(n < 20) OVER (PARTITION BY uid ORDER BY skip ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM pg),
+    r AS (SELECT sent.* FROM sent JOIN t USING (uid, skip) JOIN o USING (uid) WHERE NOT ended AND coalesce(mode, 2) = 2 AND outcome = 'done'),
+    k AS (SELECT r.*, r.uid % 2 = 0 AS revisit, kn.match_uid IS NOT NULL OR row_number() OVER (PARTITION BY r.uid, r.match_uid ORDER BY skip, pos) > 1 AS is_known FROM r LEFT JOIN known kn USING (match_uid)),
+    m AS (SELECT *, bool_or(is_known) OVER (PARTITION BY uid ORDER BY skip, pos) AS met FROM k)
+    SELECT CAST(match_uid AS VARCHAR) AS match_uid, min(uid) AS uid, 5 AS map_id FROM m WHERE NOT is_known AND (NOT revisit OR NOT met) GROUP BY match_uid""")
+def crawl_fetches(spark, sf_dir):
+    """The matches that a round of visits has to fetch, each once."""
+    claimed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.when(F.col("c_custkey") % 13 == 0, 5).alias("latest_known_level"), F.when(F.col("c_custkey") % 2 == 0, 1).alias("last_crawled_at"))
+    seen = crawl.visits(claimed, landed_profiles(spark, sf_dir), 19)
+    known = known_matches(spark, sf_dir).select(F.col("match_uid").cast("string").alias("match_uid"))
+    return crawl.to_fetch(seen, claimed, landed_pages(spark, sf_dir), known).select("match_uid", "uid", "map_id")
 
 
 @query("""SELECT s_suppkey, last_seeded_at FROM (SELECT s_suppkey, max(epoch_us(l_shipdate) // 1000000) FILTER (l_returnflag = 'R' AND l_suppkey % 4 <> 0) AS last_seeded_at FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1) WHERE last_seeded_at IS NULL OR last_seeded_at < 995000000""")
@@ -324,11 +410,15 @@ def queue_drained(spark, sf_dir):
     return metrics.drained(players(spark, sf_dir))
 
 
-@query(f"WITH {_PLAYERS}, c AS (SELECT crawl_status, count(*) AS n FROM players GROUP BY 1) SELECT (SELECT count(*) FROM orders) AS matches, string_agg(crawl_status || '=' || n, ' ' ORDER BY crawl_status) AS statuses FROM c")
+@query(f"""WITH {_PLAYERS}, {_COV}, c AS (SELECT crawl_status, count(*) AS n FROM players GROUP BY 1), l AS (SELECT list(covered ORDER BY covered) AS s FROM cnt),
+    r AS (SELECT count(*) FILTER (crawl_status = 'pending') AS pending, count(*) FILTER (last_crawled_at >= {NOW - 86400}) / 1440.0::DOUBLE AS rate FROM players), e AS (SELECT *, CASE WHEN rate > 0 THEN pending / rate END AS minutes FROM r)
+    SELECT 'matches=' || (SELECT count(*) FROM orders) || ' ' || (SELECT string_agg(crawl_status || '=' || n, ' ' ORDER BY crawl_status) FROM c)
+        || ' hero_coverage(min/median/max)=' || (SELECT coalesce(s[1], 0) || '/' || coalesce(s[len(s) // 2 + 1], 0) || '/' || coalesce(s[len(s)], 0) FROM l)
+        || ' rate=' || printf('%.1f', rate) || '/min eta_to_drain_queue=' || CASE WHEN pending = 0 THEN 'queue empty' WHEN rate <= 0 THEN 'unknown (no recent throughput)' WHEN minutes < 60 THEN printf('~%.0fm', minutes) WHEN minutes / 60 < 48 THEN printf('~%.1fh', minutes / 60) ELSE printf('~%.1fd', minutes / 1440) END AS line FROM e""")
 def progress_line(spark, sf_dir):
-    """Counts of the progress line, statuses by name."""
-    counts = metrics.status_counts(players(spark, sf_dir)).agg(F.expr("listagg(crawl_status || '=' || n, ' ') WITHIN GROUP (ORDER BY crawl_status)").alias("statuses"))
-    return table(spark, sf_dir, "orders").agg(F.count("*").alias("matches")).crossJoin(counts)  # one row each
+    """The line that operators read."""
+    line = metrics.progress_line(players(spark, sf_dir), table(spark, sf_dir, "orders"), segments(spark, sf_dir), NOW, 86400)
+    return spark.createDataFrame([(line,)], "line string")
 
 
 # -- shredding ------------------------------------------------------------------------------------
@@ -375,7 +465,7 @@ def shred_players(spark, sf_dir):
 @query(f"SELECT CAST(l_orderkey AS VARCHAR) AS match_uid, l_linenumber AS round_idx, 1 AS battle_side, CAST(l_partkey % 50 AS INT) AS hero_id, 0 AS is_pick FROM lineitem WHERE {_OK} AND l_returnflag = 'R'")
 def shred_bans(spark, sf_dir):
     """Bans of nested matches."""
-    return shred.ban_rows(admitted_matches(spark, sf_dir)[0])
+    return shred.ban_rows(admitted_matches(spark, sf_dir)[0]).drop("pos")
 
 
 @query(f"SELECT CAST(l_orderkey AS VARCHAR) AS match_uid, l_partkey AS player_uid, CAST(l_suppkey % 50 AS INT) AS hero_id, CAST(l_quantity AS INT) AS k, l_tax AS play_time FROM lineitem WHERE {_OK}")
@@ -509,6 +599,19 @@ def circuit_breaker(spark, sf_dir):
     return folds.circuit(log(spark, sf_dir), threshold=2, cooldown=20000)
 
 
+@query(f"""WITH RECURSIVE {_LOG.replace("event_type = 'error' AS failed", "event_type = 'error' AS failed, event_type = 'click' AS bad")}, o AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY seq) AS i FROM log),
+    f AS (SELECT DISTINCT client, 0::BIGINT AS i, 0 AS failures, 0 AS unreadable, 0 AS openings, NULL::DOUBLE AS open_until FROM log
+          UNION ALL SELECT o.client, o.i, CASE WHEN coalesce(sec < open_until, false) THEN failures WHEN failed THEN failures + 1 ELSE 0 END,
+                 CASE WHEN coalesce(sec < open_until, false) OR failed THEN unreadable WHEN bad THEN unreadable + 1 ELSE 0 END,
+                 CASE WHEN NOT coalesce(sec < open_until, false) AND (failed AND failures + 1 >= 2 OR bad AND unreadable + 1 >= 2) THEN openings + 1 ELSE openings END,
+                 CASE WHEN NOT coalesce(sec < open_until, false) AND (failed AND failures + 1 >= 2 OR bad AND unreadable + 1 >= 2) THEN sec + 20000 ELSE open_until END FROM f JOIN o ON o.client = f.client AND o.i = f.i + 1)
+    SELECT f.client, failures, unreadable, openings, open_until FROM f JOIN (SELECT client, max(i) AS i FROM f GROUP BY 1) USING (client, i)""")
+def unreadable_breaker(spark, sf_dir):
+    """The breaker with its second counter, of successes whose body can't be read."""
+    bad = table(spark, sf_dir, "events").select((micros("ts") * 1000 + F.col("event_id") % 1000).alias("seq"), F.col("user_id").alias("client"), (F.col("event_type") == "click").alias("bad_json"))
+    return folds.circuit(log(spark, sf_dir).join(bad, ["client", "seq"]), threshold=2, cooldown=20000)
+
+
 @query("""WITH a AS (SELECT event_id // 3 AS request, event_id % 3 AS attempt, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'limited' WHEN 'signup' THEN 'missing' WHEN 'purchase' THEN 'failed' ELSE 'ok' END AS kind FROM events),
     l AS (SELECT request, count(*) AS attempts, arg_max(kind, attempt) AS kind FROM a GROUP BY 1)
     SELECT request, attempts, CASE WHEN kind IN ('ok', 'missing') THEN kind WHEN attempts >= 3 AND kind = 'limited' THEN 'rate_limited' WHEN attempts >= 3 THEN 'fetch_failed' ELSE 'retry' END AS outcome FROM l""")
@@ -519,10 +622,28 @@ def exhausted_retries(spark, sf_dir):
     return folds.last_attempts(e.select(F.floor(F.col("event_id") / 3).alias("request"), (F.col("event_id") % 3).alias("attempt"), kind[F.col("event_type")].alias("kind")))
 
 
+# -- the store ------------------------------------------------------------------------------------
+@query("""WITH p AS (SELECT user_id, user_id * 10 + event_id % 3 AS player_uid, event_id, value FROM events UNION ALL SELECT user_id, user_id * 10 + 5, event_id, -value FROM events),
+    q AS (SELECT user_id, player_uid, arg_max_null(value, event_id) AS new_score FROM p GROUP BY 1, 2), m AS (SELECT user_id, max(event_id) AS match_time_stamp FROM events GROUP BY 1)
+    SELECT CAST(user_id AS VARCHAR) AS match_uid, player_uid, match_time_stamp, new_score FROM q JOIN m USING (user_id)""")
+def ingest_versions(spark, sf_dir):
+    """Many versions of a match in one batch: of each row of each table the last written stays."""
+    person = lambda uid, score: F.struct(uid.alias("player_uid"), F.struct(score.alias("new_score")).alias("dynamic_fields"))
+    people = F.array(person(F.col("user_id") * 10 + F.col("event_id") % 3, F.col("value")), person(F.col("user_id") * 10 + 5, -F.col("value")))
+    doc = F.struct(F.col("user_id").cast("string").alias("match_uid"), F.col("event_id").alias("match_time_stamp"), people.alias("match_players"))
+    raw = table(spark, sf_dir, "events").select(F.to_json(doc).alias("raw"), F.col("event_id").alias("seq"))
+    store = Store(spark, folder(spark))
+    ingest.ingest(store, raw, 19, NOW)
+    return store.read("match_players").join(store.read("matches"), "match_uid").select("match_uid", "player_uid", "match_time_stamp", "new_score")
+
+
 # -- streams --------------------------------------------------------------------------------------
 def folder(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnwater-")
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share; only in local mode a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{base or tempfile.mkdtemp(prefix='tarnwater-')}/{uuid.uuid4().hex}"
 
 
 def event_stream(spark, sf_dir):

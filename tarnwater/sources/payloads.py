@@ -7,57 +7,111 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.devalue import resolve
 from ..functions.expressions import history_visible, rank_blob
+from ..operators.history import reachable
 
 #: The competitive mode, entries of a full page.
 COMPETITIVE, PAGE_SIZE = 2, 20
 
 
-def landed(spark, path, whole=False):
-    """(raw, path) of landed files: a document per line, or per file."""
-    return spark.read.text(path, wholetext=whole).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path"))
+def landed(spark, path, whole=False, keys=None):
+    """(raw, path) of landed files: a document per line, or per file. keys: name -> (pattern with one
+    group, type) of further columns that the path of a file holds, such as an id or an offset."""
+    rows = spark.read.text(path, wholetext=whole).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path"))
+    return rows.withColumns({c: F.nullif(F.regexp_extract("path", pattern, 1), F.lit("")).try_cast(kind) for c, (pattern, kind) in (keys or {}).items()})
+
+
+class Landed:
+    """The responses that a fetcher has put into a folder, as files of JSON lines: hero_boards (hero_id,
+    raw), global_board (raw), profiles (uid, http_status, raw), pages (uid, skip, raw), details
+    (match_uid, http_status, raw)."""
+
+    KINDS = {"hero_boards": "hero_id INT, raw STRING", "global_board": "raw STRING", "profiles": "uid BIGINT, http_status INT, raw STRING", "pages": "uid BIGINT, skip INT, raw STRING", "details": "match_uid STRING, http_status INT, raw STRING"}
+
+    def __init__(self, spark, path):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def read(self, kind):
+        return self.spark.read.schema(self.KINDS[kind]).json(f"{self.path}/{kind}")
+
+    def boards(self):
+        return self.read("hero_boards"), self.read("global_board")
+
+    def responses(self, claimed):
+        mine = lambda kind: self.read(kind).join(claimed.select("uid"), "uid", "left_semi")
+        return mine("profiles"), mine("pages"), self.read("details")
+
+
+def once(raw, parsed, name):
+    """raw with a parsed struct, which is made once for each row: a generator's output is not
+    taken apart by the optimizer, as a projection's is, to be parsed again for every use."""
+    return raw.select("*", F.explode(F.array(parsed)).alias(name))
+
+
+def readable(raw):
+    """Whether a payload is a JSON object at all."""
+    parsed = F.from_json(raw, "_corrupt STRING, player STRING", {"columnNameOfCorruptRecord": "_corrupt"})
+    return parsed.isNotNull() & parsed["_corrupt"].isNull()
 
 
 def matches(raw):
     """raw documents with the parsed match and whether it was readable at all."""
-    return raw.withColumn("match", F.from_json("raw", schemas.MATCH + ", _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})).withColumn("readable", F.col("match").isNotNull() & F.col("match._corrupt").isNull())
+    parsed = F.from_json("raw", schemas.MATCH + ", _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
+    return once(raw, parsed, "match").withColumn("readable", F.col("match").isNotNull() & F.col("match._corrupt").isNull())
 
 
-def history(raw, mode=COMPETITIVE):
-    """(uid, skip, pos, page_size, match_uid, map_id) of pages (uid, skip, raw), other modes left out.
+def pages(raw):
+    """(uid, skip, page_size, page) of pages (uid, skip, raw): as many entries as were sent, of
+    whatever mode; an unreadable page has none."""
+    rows = once(raw.select("uid", "skip", "raw"), F.from_json("raw", schemas.HISTORY_PAGE), "page")
+    return rows.select("uid", "skip", F.coalesce(F.size("page"), F.lit(0)).alias("page_size"), "page")
 
-    An entry whose mode is not given passes, as the source was asked for the mode; page_size is
-    that of the page as it was sent, which decides whether it was the last.
-    """
-    page = F.from_json("raw", schemas.HISTORY_PAGE)
-    rows = raw.withColumn("page", page).select("uid", "skip", F.size("page").alias("page_size"), F.posexplode("page").alias("pos", "entry"))
+
+def entries(pages, mode=COMPETITIVE):
+    """(uid, skip, pos, page_size, match_uid, map_id) of parsed pages. An entry of another mode is
+    left out; one whose mode is not given passes, as the source was asked for the mode."""
+    rows = pages.select("uid", "skip", "page_size", F.posexplode("page").alias("pos", "entry"))
     rows = rows.where(F.coalesce(F.col("entry.game_mode_id") == mode, F.lit(True)))
     return rows.select("uid", "skip", "pos", "page_size", "entry.match_uid", F.col("entry.match_map_id").cast("int").alias("map_id"))
 
 
+def history(raw, mode=COMPETITIVE, full=PAGE_SIZE):
+    """Entries of the pages (uid, skip, raw) that a reader who stops at the first page that is not
+    full would come to."""
+    return entries(reachable(pages(raw), full), mode)
+
+
 def profiles(raw, season):
-    """(uid, latest_known_level, latest_known_score, visibility_json, visible) of profiles (uid, raw)."""
+    """(uid, nick_name, latest_known_level, latest_known_score, visibility_json, visible) of profiles (uid, raw)."""
     doc = F.from_json("raw", "visibility MAP<STRING, STRING>")["visibility"]
     flags = F.transform_values(doc, lambda k, v: v == "true")
-    rows = raw.withColumns({"rank": rank_blob("raw", F.lit(season)), "flags": flags, "doc": doc})
-    return rows.select("uid", F.col("rank.level").alias("latest_known_level"), F.col("rank.score").alias("latest_known_score"), F.to_json("doc").alias("visibility_json"), history_visible(F.col("flags")).alias("visible"))
+    name = F.try_element_at(F.from_json("raw", schemas.PROFILE)["player"]["info"], F.lit("name"))
+    rows = raw.withColumns({"rank": rank_blob("raw", F.lit(season)), "flags": flags, "doc": doc, "nick_name": name})
+    return rows.select("uid", "nick_name", F.col("rank.level").alias("latest_known_level"), F.col("rank.score").alias("latest_known_score"), F.to_json("doc").alias("visibility_json"), history_visible(F.col("flags")).alias("visible"))
 
 
 def hero_board(raw):
-    """(hero_id, pos, uid) of boards (hero_id, raw); entries without a player go."""
+    """(hero_id, pos, uid, nick_name) of boards (hero_id, raw); entries without a player go."""
     board = F.from_json("raw", schemas.HERO_BOARD)["players"]
-    return raw.select("hero_id", F.posexplode(board).alias("pos", "entry")).select("hero_id", "pos", F.col("entry.player_uid").alias("uid")).where("uid IS NOT NULL")
+    rows = raw.select("hero_id", F.posexplode(board).alias("pos", "entry"))
+    return rows.select("hero_id", "pos", F.col("entry.player_uid").alias("uid"), F.col("entry.info.name").alias("nick_name")).where("uid IS NOT NULL")
+
+
+def readable_boards(raw):
+    """The boards (hero_id, raw) that can be read at all."""
+    return raw.where(F.from_json("raw", schemas.HERO_BOARD)["players"].isNotNull())
 
 
 def global_board(raw):
-    """(pos, uid, season) of flat-array payloads (raw)."""
+    """(pos, uid, nick_name, season) of flat-array payloads (raw); entries without a numeric id go."""
     board = F.from_json(resolve("raw"), schemas.GLOBAL_BOARD)["players"]
     rows = raw.select(F.posexplode(board).alias("pos", "entry"))
-    return rows.select("pos", F.expr("try_cast(entry.uid AS BIGINT)").alias("uid"), F.col("entry.rank.rank_game_id").alias("season")).where("uid IS NOT NULL")
+    return rows.select("pos", F.expr("try_cast(entry.uid AS BIGINT)").alias("uid"), F.col("entry.name").alias("nick_name"), F.col("entry.rank.rank_game_id").alias("season")).where("uid IS NOT NULL")
 
 
 def current_season(raw):
-    """The season that the first entry of the global board carries; an error where it has none."""
-    row = global_board(raw).where("pos = 0").select("season").first()
+    """The season that the first entry of the global board carries, whatever its id; an error where it has none."""
+    board = F.from_json(resolve("raw"), schemas.GLOBAL_BOARD)["players"]
+    row = raw.select(F.get(board, 0)["rank"]["rank_game_id"].alias("season")).first()
     if row is None or row.season is None:
         raise ValueError("the global board names no season")
     return row.season

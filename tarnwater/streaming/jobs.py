@@ -57,13 +57,7 @@ def pace(responses, sink, checkpoint):
     query = responses.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
-    def read():
-        found = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/v*/_SUCCESS")
-        found = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found) or []
-        last = max((int(f.getPath().getParent().getName()[1:]) for f in found), default=None)
-        return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{sink}/v{last}")
-
-    return read
+    return lambda: newest(spark, sink, schema)
 
 
 def latest_stream(events, sink, checkpoint, key, order):
@@ -72,13 +66,31 @@ def latest_stream(events, sink, checkpoint, key, order):
     from ..operators.changelog import latest
 
     spark = events.sparkSession
-    done = {}
 
     def batch(df, n):
         rows = df if n == 0 else df.unionByName(spark.read.schema(df.schema).parquet(f"{sink}/v{n - 1}"))
         latest(rows, key, order).write.mode("overwrite").parquet(f"{sink}/v{n}")
-        done["n"] = n
 
     query = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return lambda: spark.read.schema(events.schema).parquet(f"{sink}/v{done['n']}") if done else spark.createDataFrame([], events.schema)
+    return lambda: newest(spark, sink, events.schema)
+
+
+def newest(spark, sink, schema):
+    """The newest whole version in a folder of versions, whichever run wrote it; empty before the first."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/v*/_SUCCESS")
+    found = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found) or []
+    last = max((int(f.getPath().getParent().getName()[1:]) for f in found), default=None)
+    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{sink}/v{last}")
+
+
+def run_until(query, stop, poll=1.0):
+    """Wait for a streaming query, or for stop() to be true; the micro-batch at hand is then finished
+    before the query is stopped. Returns whether it ended by itself."""
+    while not query.awaitTermination(poll):
+        if stop():
+            while query.isActive and query.status["isTriggerActive"]:
+                query.awaitTermination(poll)
+            query.stop()
+            return False
+    return True

@@ -92,6 +92,7 @@ def test_flat_array_oddities():
 def test_boards_and_profiles(spark):
     board = flat({"players": [{"name": "a", "uid": "7", "rank": {"rank_game_id": 19}}, {"name": "b", "uid": "x", "rank": {"rank_game_id": 19}}]})
     rows = spark.createDataFrame([(board,)], "raw string")
+    assert payloads.current_season(spark.createDataFrame([(flat({"players": [{"name": "b", "uid": "x", "rank": {"rank_game_id": 20}}]}),)], "raw string")) == 20
     assert payloads.current_season(rows) == 19 and [r.uid for r in payloads.global_board(rows).collect()] == [7]
     with pytest.raises(ValueError):
         payloads.current_season(spark.createDataFrame([(flat({"players": []}),)], "raw string"))
@@ -107,7 +108,11 @@ def test_history_pages(spark):
     page = lambda n, skip: json.dumps([{"match_uid": f"h{skip + i}", "match_map_id": 5.0, "game_mode_id": 2 if i else 1} for i in range(n)])
     pages = spark.createDataFrame([(1, 0, page(20, 0)), (1, 20, page(3, 20)), (1, 40, page(20, 40)), (2, 0, "[]")], "uid long, skip int, raw string")
     entries = payloads.history(pages)
-    assert entries.count() == 19 + 2 + 19 and history.reachable(entries).count() == 19 + 2
+    assert entries.count() == 19 + 2
+    other = json.dumps([{"match_uid": "x", "game_mode_id": 1}] * 20)
+    rows = [(1, 0, page(20, 0)), (1, 20, "[]"), (1, 40, page(20, 40)), (2, 0, other), (2, 20, page(20, 20)), (3, 0, other[:100]), (3, 20, page(20, 0)), (4, 0, json.dumps([{"match_uid": "y", "game_mode_id": 1}])), (4, 20, page(3, 0))]
+    entries = payloads.history(spark.createDataFrame(rows, "uid long, skip int, raw string"))
+    assert {(r.uid, r.skip) for r in entries.collect()} == {(1, 0), (2, 20)}  # an empty, an unreadable, a short page of another mode end it
 
 
 @pytest.mark.parametrize("revisit,want", [(False, ["a", "c"]), (True, ["a"])])
@@ -172,10 +177,10 @@ def test_frontier_prefers_low_coverage_and_untagged_last(spark):
 
 
 def test_seeding_precedence(spark):
-    heroes = spark.createDataFrame([(7, 0, 1), (3, 1, 1), (3, 0, 2)], "hero_id int, pos int, uid long")
-    board = spark.createDataFrame([(0, 1), (1, 5), (2, None), (3, 9)], "pos int, uid long")
+    heroes = spark.createDataFrame([(7, 0, 1, "a"), (3, 1, 1, "b"), (3, 0, 2, "c")], "hero_id int, pos int, uid long, nick_name string")
+    board = spark.createDataFrame([(0, 1, "d"), (1, 5, None), (2, None, "e"), (3, 9, "f")], "pos int, uid long, nick_name string")
     found = seeding.new_seeds(seeding.seeds(heroes, board), spark.createDataFrame([(9,)], "uid long"))
-    assert sorted(map(tuple, found.collect()), key=str) == [(1, 3), (2, 3), (5, None)]
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 3, "b"), (2, 3, "c"), (5, None, None)]
 
 
 writes = st.lists(st.tuples(st.integers(0, 2), st.sets(st.sampled_from(["a", "b", "c"])), st.none() | st.integers(0, 9)), max_size=12)
@@ -317,3 +322,87 @@ def test_streams(spark, tmp_path):
     for _ in range(2):  # the second start finds nothing new
         jobs.ingest_stream(stream, store, 19, 5, str(tmp_path / "check")).awaitTermination()
     assert store.version() == 1 and store.read("matches").count() == 3
+
+
+def test_versions_of_a_match(spark, tmp_path):
+    """Whatever the order of the rows and however they are batched, the last version stays whole."""
+    old, new = match(), match()
+    new["match_time_stamp"], new["match_players"][0]["k"] = 999, 77.0
+    for k, batches in enumerate(([[2, 1]], [[1, 2]], [[1], [2]])):
+        store = Store(spark, str(tmp_path / f"store{k}"))
+        for batch in batches:
+            docs = spark.createDataFrame([(json.dumps(new if seq == 2 else old), seq) for seq in batch], "raw string, seq long")
+            ingest.ingest(store, docs, 19, 50)
+        assert store.read("matches").first().match_time_stamp == 999
+        assert store.read("match_players").where(f"player_uid = {new['match_players'][0]['player_uid']}").first().k == 77
+
+
+def test_documents_are_parsed_once(spark):
+    good, _ = shred.admitted(payloads.matches(raw(spark, [match()])))
+    plan = shred.player_rows(good)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_repeated_outcomes_make_no_rows(spark):
+    got = states.finish(snapshot(spark, [(1, "claimed", None, 5)]), spark.createDataFrame([(1, "done", 1), (1, "error", 2), (1, "done", 0)], "uid long, outcome string, n int"), 9)
+    assert [tuple(r) for r in got.collect()] == [(1, "error", 9, None)]
+    got = states.finish(snapshot(spark, [(1, "claimed", None, 5)]), spark.createDataFrame([(1, "done", 3), (1, "error", 2)], "uid long, outcome string, n int"), 9, "n")
+    assert [r.crawl_status for r in got.collect()] == ["done"]
+
+
+def test_latest_stream_after_a_restart(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "k int, at int, v string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("k int, at int, v string").parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second start has nothing to do, and finds what the first left
+        read = jobs.latest_stream(stream(), str(tmp_path / "out"), str(tmp_path / "check"), ["k"], [F.desc("at")])
+        assert [tuple(r) for r in read().collect()] == [(1, 2, "b")]
+
+
+def test_unreadable_bodies_open_the_circuit_too(spark):
+    log = spark.createDataFrame([(1, i, float(i), False, True) for i in range(3)] + [(2, 0, 0.0, False, True), (2, 1, 1.0, True, False), (2, 2, 2.0, False, True), (3, 0, 0.0, False, True), (3, 1, 1.0, False, False), (3, 2, 2.0, False, True)], "client int, seq int, at double, failed boolean, bad_json boolean")
+    got = {r.client: (r.failures, r.unreadable, r.openings) for r in folds.circuit(log, threshold=2, cooldown=1).collect()}
+    assert got == {1: (0, 3, 2), 2: (0, 2, 1), 3: (0, 1, 0)}
+
+
+def test_crawl_from_landed_responses(spark, tmp_path, capsys):
+    """Boards, profiles, histories and details in a folder; the loop drains the queue."""
+    from tarnwater.__main__ import main
+    from tarnwater.operators import crawl
+
+    rank = json.dumps({"rank_game": {"level": 22.0, "rank_score": 5000.25}})
+    profile = lambda shown: json.dumps({"player": {"info": {"name": "me", "rank_game_1001019": rank}}, "visibility": {"match_history": shown}})
+    page = json.dumps([{"match_uid": "m1", "match_map_id": 5.0, "game_mode_id": 2}, {"match_uid": "gone", "game_mode_id": 2}, {"match_uid": "bad", "game_mode_id": 2}])
+    landed = {
+        "hero_boards": [{"hero_id": 12, "raw": json.dumps({"players": [{"player_uid": 1, "info": {"name": "one"}}]})}],
+        "global_board": [{"raw": flat({"players": [{"name": "two", "uid": "2", "rank": {"rank_game_id": 19}}, {"name": "three", "uid": "3", "rank": {"rank_game_id": 19}}]})}],
+        "profiles": [{"uid": 1, "http_status": 200, "raw": profile(True)}, {"uid": 2, "http_status": 404, "raw": None}, {"uid": 3, "http_status": 200, "raw": profile(False)}],
+        "pages": [{"uid": 1, "skip": 0, "raw": page}, {"uid": 3, "skip": 0, "raw": page}],
+        "details": [{"match_uid": "m1", "http_status": 200, "raw": json.dumps(match("m1", players=1))}, {"match_uid": "gone", "http_status": 404, "raw": None}, {"match_uid": "bad", "http_status": 200, "raw": "{"}],
+    }
+    for kind, docs in landed.items():
+        (tmp_path / "landed" / kind).mkdir(parents=True)
+        (tmp_path / "landed" / kind / "a.json").write_text("\n".join(map(json.dumps, docs)))
+    path = str(tmp_path / "store")
+    store = Store(spark, path)
+    store.commit({"heroes": spark.createDataFrame([(12,)], "hero_id int")})
+    said = []
+    rounds = crawl.run(store, payloads.Landed(spark, str(tmp_path / "landed")), 19, clock=lambda: 1000, say=said.append)
+    people = {r.uid: r for r in store.read("players").collect()}
+    assert said == ["3 players seeded"] and rounds == 2  # the match brings a player, whose profile never landed
+    assert {i: p.crawl_status for i, p in people.items() if i < 4} == {1: "done", 2: "not_indexed", 3: "skipped_private"}
+    assert (people[1].nick_name, people[1].discovery_hero_id, people[1].latest_known_score, people[2].nick_name, people[2].discovery_hero_id) == ("me", 12, 5000.25, "two", None)
+    assert {p.crawl_status for i, p in people.items() if i > 3} == {"error"}
+    assert [(r.match_uid, r.map_id) for r in store.read("matches").collect()] == [("m1", 5)]
+    assert {r.hero_id: r.last_seeded_at for r in store.read("heroes").collect()}[12] == 1000
+    assert crawl.run(store, payloads.Landed(spark, str(tmp_path / "landed")), 19, stop=lambda: True, say=said.append) == 0
+
+    class Broken:
+        def boards(self):
+            raise OSError("no answer")
+
+    crawl.tick(store, Broken().boards, 10**6, said.append)  # players are put back all the same
+    assert "no answer" in said[-1] and store.read("players").where("crawl_status = 'pending'").count() > 0
+    main(["--store", path, "--status"])
+    assert capsys.readouterr().out.startswith("matches=1 ")
+    with pytest.raises(SystemExit):
+        main(["--store", path, "--status", "--workers", "0"])
