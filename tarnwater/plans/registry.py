@@ -465,7 +465,7 @@ def shred_players(spark, sf_dir):
 @query(f"SELECT CAST(l_orderkey AS VARCHAR) AS match_uid, l_linenumber AS round_idx, 1 AS battle_side, CAST(l_partkey % 50 AS INT) AS hero_id, 0 AS is_pick FROM lineitem WHERE {_OK} AND l_returnflag = 'R'")
 def shred_bans(spark, sf_dir):
     """Bans of nested matches."""
-    return shred.ban_rows(admitted_matches(spark, sf_dir)[0]).drop("pos")
+    return shred.ban_rows(admitted_matches(spark, sf_dir)[0]).drop("seq", "pos")
 
 
 @query(f"SELECT CAST(l_orderkey AS VARCHAR) AS match_uid, l_partkey AS player_uid, CAST(l_suppkey % 50 AS INT) AS hero_id, CAST(l_quantity AS INT) AS k, l_tax AS play_time FROM lineitem WHERE {_OK}")
