@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: Characters (or bytes) that one numpy step works on, to bound a worker's memory.
 STEP = 1 << 20
+#: Bytes of a batch of texts that goes to a Python worker; Spark's default of 64 MB is held several
+#: times over, in the executor and in the worker.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark, sf_dir, name):
@@ -131,8 +135,18 @@ def binary_keys(high, low):
     return pa.Array.from_buffers(pa.binary(16), len(high), [None, pa.py_buffer(data)]).cast(pa.binary())
 
 
+def batched(docs):
+    """docs, with its session set to send batches of BATCH_BYTES to Python (unless it is set to less)."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = re.fullmatch(r"(\d+)b?", conf.get(name))
+    if not size or not 0 < int(size[1]) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return docs
+
+
 def keyed(docs, id_col, text_col):
     """The two columns that an operator on texts needs, whatever else docs has."""
+    batched(docs)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import keyed, sampled, steps, texts
+from .common import batched, keyed, sampled, steps, texts
 
 BITS = 15
 #: At most so many labelled rows are learnt from: those with the least hashes of their id.
@@ -160,4 +160,4 @@ def keep_identified(docs, least=0.5):
             best, score = scored(strings, model, fold) if model else (np.full(len(strings), -1), np.zeros(len(strings)))
             yield batch.filter(pa.array((best >= 0) & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import keyed, sampled, steps, texts
+from .common import batched, keyed, sampled, steps, texts
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -192,4 +192,4 @@ def redact(docs, model, text_col="text"):
             columns[at] = pa.array(changed, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)

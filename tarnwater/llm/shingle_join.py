@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import binary_keys, keyed, mixed, prefix_hashes, span_hashes, steps, stored
+from .common import STEP, binary_keys, keyed, mixed, prefix_hashes, span_hashes, steps, stored
 from .components import components
 from .embedding_dedup import forest
 
@@ -79,10 +79,10 @@ def sets_of(column, size):
 
 
 def sliced(batch, size):
-    """(part of the batch, its elements, where each text's begin), about a MB of text at a time."""
+    """(part of the batch, its elements, where each text's begin), a quarter of a MB of text at a time."""
     column = batch.column(1).fill_null("")
     lengths = np.diff(np.frombuffer(column.cast(pa.large_string()).buffers()[1], np.int64)[: len(column) + 1]) if len(column) else np.zeros(0, np.int64)
-    for a, b in steps(lengths.tolist()):
+    for a, b in steps(lengths.tolist(), STEP // 4):
         yield batch.slice(a, b - a), *sets_of(column.slice(a, b - a), size)
 
 

@@ -26,7 +26,7 @@ GRAM = 0.7
 #: Different blocks in a group that one task puts in suffix order.
 GROUP = 256
 #: A text is searched for anchors so many bytes at a time, overlapping by a window.
-PIECE_BITS = 20
+PIECE_BITS = 18
 
 
 def byte_column(column):
