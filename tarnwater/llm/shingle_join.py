@@ -26,6 +26,8 @@ from .embedding_dedup import forest
 
 #: Counters of the sketch, in blocks: one for 64 shingles, within these bounds (4 to 64 MB).
 SKETCH_BITS, SKETCH_BLOCK = (20, 24), 256
+#: Rows of a block of the sketch that one group sums.
+SKETCH_GROUP = 1024
 #: Longest multi-match, and what verifying a candidate costs in units of one shared element.
 MOST, VERIFY = 4, 8
 #: Buckets of the histogram that bounds an intersection from above.
@@ -142,8 +144,8 @@ def wide(counts):
 
 
 def summed_sketch(described_rows, bits):
-    """The sketch of all documents, summed in Spark by block, in two steps, so that no group holds
-    a row of every partition; its size is bounded."""
+    """The sketch of all documents, summed in Spark by block; where there are many partitions in two
+    steps, so that no group holds a row of every one. Its size is bounded."""
 
     def add(found):
         total = np.zeros(SKETCH_BLOCK, np.uint64)
@@ -151,8 +153,11 @@ def summed_sketch(described_rows, bits):
             total += wide(c.as_py())
         return pa.table({"block": found["block"][:1], "counts": pa.array([narrow(np.minimum(total, 0xFFFFFFFF))], pa.binary())})
 
-    rows = described_rows.where("block IS NOT NULL").select("block", "counts", F.pmod(F.spark_partition_id(), F.lit(256)).alias("salt"))
-    rows = rows.groupBy("block", "salt").applyInArrow(add, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
+    rows = described_rows.where("block IS NOT NULL").select("block", "counts")
+    salts = -(-rows.count() * SKETCH_BLOCK >> bits) // SKETCH_GROUP + 1  # rows of a block, in groups of about that size
+    if salts > 1:
+        rows = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("block", "salt").applyInArrow(add, "block int, counts binary")
+    rows = rows.groupBy("block").applyInArrow(add, "block int, counts binary")
     out = np.zeros((1 << bits) // SKETCH_BLOCK * SKETCH_BLOCK, np.uint32).reshape(-1, SKETCH_BLOCK)
     for r in rows.toLocalIterator():
         out[r.block] = wide(r.counts)
