@@ -42,10 +42,11 @@ def letters():
 
 def buckets(strings, fold):
     """(bucket of each n-gram, where each text's begin, its letters) over the texts in one array."""
-    # a letter's place in the array is kept by one space before each text and one after the last
-    whole = " " + " ".join(s.lower() for s in strings) + " "
+    # a space before and after each text, so that none of its n-grams reaches into the next text
+    lower = [s.lower() for s in strings]
+    whole = "".join(f" {s} " for s in lower) + " "
     points = fold[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    ends = np.cumsum([len(s.lower()) + 1 for s in strings])
+    ends = np.cumsum([len(s) + 2 for s in lower])
     starts = np.concatenate([[0], ends[:-1]])
     counts = np.add.reduceat((points != 32).astype(np.int64), starts) if strings else np.zeros(0, np.int64)
     mix = lambda *parts: (sum(p * np.uint32(k) for p, k in zip(parts, (2654435761, 2246822519, 3266489917))) >> np.uint32(32 - BITS)).astype(np.intp)

@@ -134,3 +134,12 @@ def test_products_in_steps(monkeypatch):
         monkeypatch.setattr(shingle_join, "DENSE", dense)
         got = shingle_join.products(values, owner, np.arange(12), np.arange(12), 12)
         assert (got + np.diag([len(x) for x in lists]) * 0)[~np.eye(12, dtype=bool)].tolist() == np.array(want)[~np.eye(12, dtype=bool)].tolist()
+
+
+def test_sketch_summed_in_two_steps(spark, monkeypatch):
+    from tarnwater.llm import shingle_join
+
+    monkeypatch.setattr(shingle_join, "SKETCH_GROUP", 1)
+    rows = corpus(3)[:60]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, link(docs).collect())) == brute(rows, 4, 85)
