@@ -2,8 +2,9 @@
 
 Equal vectors of a label are one class with a count. Each class falls into one bucket of every
 table by the signs of its products with random hyperplanes. The cosines within a bucket are taken
-as one matrix product, in blocks; a pair counts in the first table that brings it together. What
-leaves a block is a number of links for each class and a spanning forest, never the pairs.
+as matrix products, in blocks; a pair counts in the first table that brings it together. What
+leaves a block is a number of links for each class and a spanning forest, never the pairs. Buckets
+are large, as products are cheap and each table costs a copy of every vector in the shuffle.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from .components import components
 
 #: Expected share of the pairs exactly at the threshold that some table brings together.
 RECALL = 0.998
-#: Classes wanted in a bucket, and at most in one side of a block.
-BUCKET, BLOCK = 48, 512
+#: Classes wanted in a bucket, and on average in one side of a block at most.
+BUCKET, BLOCK = 2048, 4096
+#: Cosines that are held at once.
+CELLS = 1 << 20
 
 
 def plan(largest, threshold, recall=RECALL, bucket=BUCKET):
@@ -69,26 +72,26 @@ def block(threshold):
 
     def run(found):
         table, side, other = (found[c][0].as_py() for c in ("table", "i", "j"))
-        rep, m, chunk = (found[c].to_numpy() for c in ("rep", "m", "chunk"))
-        order = np.argsort(rep)  # the least index is then the least id
-        rep, m, chunk = rep[order], m[order], chunk[order]
-        vectors, keys = unit(matrix(found["vector"]))[order], matrix(found["keys"])[order]
+        n = len(found)
+        cls, m, chunk = (found[c].to_numpy() for c in ("cls", "m", "chunk"))
+        vectors, keys = unit(matrix(found["vector"])), matrix(found["keys"]) if table else None
         rows = np.flatnonzero(chunk == side)
         columns = rows if side == other else np.flatnonzero(chunk == other)
-        p, q = np.nonzero(vectors[rows] @ vectors[columns].T >= threshold)
-        p, q = rows[p], columns[q]
-        if side == other:
-            p, q = p[p < q], q[p < q]
-        new = np.ones(len(p), bool)
-        for t in range(table):
-            new &= keys[p, t] != keys[q, t]
-        p, q = p[new], q[new]
-        links = np.zeros(len(rep), np.int64)
-        np.add.at(links, p, m[q])
-        np.add.at(links, q, m[p])
+        links, root = np.zeros(n, np.int64), np.arange(n)
+        step = max(1, CELLS // max(1, len(columns)))
+        for a in range(0, len(rows), step):
+            some = rows[a : a + step]
+            p, q = np.nonzero(vectors[some] @ vectors[columns].T >= threshold)
+            p, q = some[p], columns[q]
+            new = p < q if side == other else np.ones(len(p), bool)
+            for t in range(table):
+                new[new] = keys[p[new], t] != keys[q[new], t]
+            p, q = p[new], q[new]
+            np.add.at(links, p, m[q])
+            np.add.at(links, q, m[p])
+            root = forest(n, np.concatenate([p, np.arange(n)]), np.concatenate([q, root]))
         some = links > 0
-        root = forest(len(rep), p, q)
-        return pa.table({"rep": rep[some], "links": links[some], "root": rep[root[some]]})
+        return pa.table({"cls": cls[some], "links": links[some], "root": cls[root[some]]})
 
     return run
 
@@ -98,14 +101,18 @@ def link(vectors, threshold=0.93, id_col="vec_id", vector_col="embedding", label
 
     Only vectors of one label and dimension are compared. Null labels and vectors that are null,
     empty, zero or hold a null or non-finite component link with nothing and stand alone. Every
-    row counts as a vector of its own, repeated rows included. A pair at the threshold is found
-    with probability `recall`, a closer one more surely; none below it is linked. An empty table
-    gives an empty result; other columns are not read.
+    row counts as a vector of its own, rows that repeat an id (with the same vector or another)
+    included; a null id is no component's least unless all are null. A pair at the threshold is
+    found with probability `recall`, a closer one more surely; none below it is linked. An empty
+    table gives an empty result; other columns are not read. Vectors are told apart by themselves,
+    and find their class again by 128 bits of hashes.
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"), F.col(label_col).alias("label"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = F.coalesce(F.col("label").isNotNull() & F.col("vector").isNotNull() & ~bad & F.exists("vector", lambda x: x != 0), F.lit(False))
-    classes = stored(rows.where(sound).groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")))
+    hashes = [F.xxhash64("label", "vector").alias("h1"), F.xxhash64(F.lit(1), "label", "vector").alias("h2")]
+    alike = rows.where(sound).groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
+    classes = stored(alike.select(F.monotonically_increasing_id().alias("cls"), "*", *hashes))
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan(largest, threshold, recall, bucket)
 
@@ -116,25 +123,28 @@ def link(vectors, threshold=0.93, id_col="vec_id", vector_col="embedding", label
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
                 keys[at] = signs(unit(matrix(batch["vector"].take(pa.array(at)))), bits, tables)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.tolist(), pa.list_(pa.int64()))], [*batch.schema.names, "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.tolist(), pa.list_(pa.int32()))], [*batch.schema.names, "keys"])
 
-    dealt = classes.mapInArrow(keyed, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", keys array<bigint>")
+    given = classes.select("cls", "label", "vector", "m")
+    dealt = given.mapInArrow(keyed, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema) + ", keys array<int>")
     dealt = dealt.select("*", F.posexplode("keys").alias("table", "key"))
-    place = ["label", F.size("vector").alias("d"), "table", "key"]
+    # the keys of earlier tables go along, for pairs that these have brought together
     places = ["label", "d", "table", "key"]
-    dealt = dealt.select(*place, "rep", "m", "vector", "keys")
+    dealt = dealt.select("label", F.size("vector").alias("d"), "table", "key", "cls", "m", "vector", F.slice("keys", F.lit(1), F.col("table")).alias("keys"))
     # a bucket of more than block_size classes is cut into chunks, and each pair of chunks is a block
     sizes = dealt.groupBy(*places).agg(F.ceil(F.count("*") / block_size).cast("int").alias("chunks")).where("chunks > 1")
     chunks = F.coalesce("chunks", F.lit(1))
-    dealt = dealt.join(sizes, places, "left").withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
+    dealt = dealt.join(sizes, places, "left").withColumn("chunk", F.pmod(F.xxhash64("cls"), chunks).cast("int"))
     blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    blocks = blocks.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    found = stored(blocks.groupBy(*places, "i", "j").applyInArrow(block(threshold), "rep long, links long, root long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = classes.join(links, "rep", "left").join(named.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    named = named.select("label", "vector", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = rows.where(sound).join(named, ["label", "vector"]).select("vec_id", "n_links", "component_id")
+    blocks = blocks.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("other", "chunks")
+    found = stored(blocks.groupBy(*places, "i", "j").applyInArrow(block(threshold), "cls long, links long, root long"))
+    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    named = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+    named = classes.drop("label", "vector").join(links, "cls", "left").join(named.select(F.col("node").alias("cls"), "component"), "cls", "left")
+    named = stored(named.select("h1", "h2", "rep", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component"))
+    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
+    named = named.join(least, "component", "left").select("h1", "h2", "n_links", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
+    linked = rows.where(sound).select("vec_id", *hashes).join(named, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.union(alone).withColumn("component_id", F.col("component_id").cast("long"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).withColumnRenamed("vec_id", id_col)

@@ -55,6 +55,27 @@ def test_recall_at_the_threshold():
         assert 1 - (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables >= 0.998
 
 
+def test_ids_that_repeat_or_are_null(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (None, [0.0, -1.0], 1), (None, [0.5, 0.01], 1), (7, [0.5, -0.0], 1)]
+    got = link(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    want = [(1, 2, 1, True), (1, 0, 1, True), (None, 0, None, True), (None, 2, 1, False), (7, 2, 1, False)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_recall_as_measured(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.standard_normal((2, 2000, 48))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9301 * a + np.sqrt(1 - 0.9301**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(i + 2000 * k, [float(x) for x in v[i]], 1) for k, v in enumerate((a, b)) for i in range(2000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    for args in ({}, {"bucket": 48}):
+        found = {r.vec_id: r for r in link(table, **args).collect()}
+        assert sum(found[2000 + i].component_id == i for i in range(2000)) >= 0.99 * 2000
+        assert all(r.n_links <= 1 for r in found.values())
+
+
 edges = st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), max_size=25)
 
 
