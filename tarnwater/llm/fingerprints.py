@@ -9,13 +9,15 @@ each of 128 bins, the least hash of the 8-character spans that fall into it.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import keyed, mixed, prefix_hashes, spans, texts
+from .common import keyed, mixed, prefix_hashes, spans, stored, texts
 
 SPAN, BINS, DIGITS = 8, 128, 3
 
@@ -96,31 +98,65 @@ def fingerprint(docs, id_col="doc_id", text_col="text"):
     return rows.mapInArrow(run, f"doc_id {kind}, n_chars long, fingerprint string").withColumnRenamed("doc_id", id_col)
 
 
+#: Bits of a text's hash in its place among the rows of its id, and of the whole place (exact as a double).
+HASH_BITS, PLACE_BITS = 22, 53
+
+
 def in_order(docs, id_col="doc_id", text_col="text"):
     """docs dealt into ranges of descending id, each followed by the row that comes next.
 
-    Returns (rows, order): rows has doc_id, text, part, guest; sorted by `order` within partitions,
-    each part's rows are followed by the first row of the next part as a guest (the last part's by
-    the very first). Null ids come last; rows of one id stay in one part, in the order of texts.
+    Returns rows of doc_id, text, copies, part, guest; within partitions each part's rows are
+    followed by the first row of the next part as a guest (the last part's by the very first). Null
+    ids come last. Rows of one id come in the order of their texts' length, then of a hash, then of
+    the texts. The rows of an id that fills more than one range are counted where they are equal
+    (`copies`; 1 for all others), and dealt into several ranges by that order.
     """
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = keyed(docs, id_col, text_col)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    shares = [(i + 1) / parts for i in range(parts)]
-    bounds = rows.select(key.alias("key")).agg(F.percentile_approx("key", shares, 10 * parts).alias("b")).first().b or []
-    bounds = np.unique(np.array(bounds, np.int64))  # real ids, as many as parts at most; the last is the largest
-    n = len(bounds)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key")
+    shares = lambda n: [(i + 1) / n for i in range(n)]
+    rows = keyed(docs, id_col, text_col).select("doc_id", key, F.coalesce("text", F.lit("")).alias("text"))
+    about = rows.agg(F.percentile_approx("key", shares(parts), 10 * parts).alias("b")).first().b or []
+    ranges = Counter(about)
+    hot = sorted(k for k, n in ranges.items() if n > 1)
+    place = F.shiftleft(F.char_length("text").cast("long"), HASH_BITS).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    place = F.lit((1 << PLACE_BITS) - 1) - place  # the first row of an id has the greatest
+    bounds = [(k, 1 << PLACE_BITS) for k, n in ranges.items() if n == 1]
+    rows = rows.withColumn("copies", F.lit(1).cast("long")).withColumn("place", F.lit(0).cast("long"))
+    if hot:
+        alike = rows.where(F.col("key").isin(hot)).groupBy("doc_id", "key", "text").agg(F.count("*").alias("copies"))
+        alike = stored(alike.withColumn("place", place))
+        most = max(ranges.values())
+        for r in alike.groupBy("key").agg(F.percentile_approx("place", shares(most), 10 * most).alias("b")).collect():
+            n = ranges[r.key]
+            bounds += {(r.key, r.b[-(-(i + 1) * most // n) - 1]) for i in range(n)}
+        rows = rows.where(~F.col("key").isin(hot)).union(alike.select(rows.columns))
+    bounds.sort()
+
+    def part(keys, places):
+        return [min(bisect_left(bounds, at), len(bounds) - 1) for at in zip(keys.tolist(), places.tolist())]
+
+    @F.pandas_udf("int")
+    def part_of(keys: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series(part(keys, places), dtype="int32")
+
+    # bounds are about where a range ends; its first row is that with the greatest place in it
+    first = rows.groupBy(part_of("key", "place").alias("part")).agg(F.max(F.struct("key", "place")).alias("at")).orderBy("part").collect()
+    firsts = {r.part: tuple(r.at) for r in first}
+    before = {p: q for (p, *_), (q, *_) in zip(first, first[1:] + first[:1])}
 
     @F.pandas_udf("array<struct<part: int, guest: boolean>>")
-    def places(keys: pd.Series) -> pd.Series:
-        at = np.searchsorted(bounds, keys.to_numpy())
-        first = bounds[at] == keys.to_numpy()
-        return pd.Series([[(p, False), ((p + 1) % n, True)] if f else [(p, False)] for p, f in zip(at.tolist(), first.tolist())])
+    def dealt(keys: pd.Series, places: pd.Series) -> pd.Series:
+        at = zip(part(keys, places), keys.tolist(), places.tolist())
+        return pd.Series([[(p, False), (before[p], True)] if firsts[p] == (k, s) else [(p, False)] for p, k, s in at])
+
+    rows = rows.withColumn("to", F.explode(dealt("key", "place"))).select("doc_id", "key", "text", "copies", "to.part", "to.guest")
+    rows = rows.repartition(parts // 4, "part").sortWithinPartitions("part", "guest", F.desc("key"), place.desc(), "text")
+    return rows.select("doc_id", "text", "copies", "part", "guest")
+
 
-    rows = rows.withColumn("key", key).withColumn("place", F.explode(places("key"))).select("doc_id", "key", F.coalesce("text", F.lit("")).alias("text"), "place.part", "place.guest")
-    order = ["part", "guest", F.desc("key"), "text"]
-    return rows.repartition(parts // 4, "part").sortWithinPartitions(*order).drop("key")
+#: Rows of a batch of equal results.
+LOT = 1 << 14
 
 
 def edited(text, following):
@@ -133,7 +169,8 @@ def compare_with_edits(docs, id_col="doc_id", text_col="text"):
     """For each row: fingerprints of its text and of the edited text, their likeness, the likeness
     to the next document's, and how far text and edited text agree from the start (found by binary
     search over the prefix hashes). Null counts as empty; an empty table gives an empty result;
-    repeated rows follow one another; other columns are not read.
+    repeated rows follow one another, rows of one id by length, then by hash; other columns are not
+    read. A text is held whole, with arrays of its length: the longest bounds a task's memory.
     """
     rows = in_order(docs, id_col, text_col)
 
@@ -147,17 +184,24 @@ def compare_with_edits(docs, id_col="doc_id", text_col="text"):
     def run(batches):
         last, part = None, None
         for batch in batches:
-            out = []
-            for i, text, p, guest in zip(*(c.to_pylist() for c in batch.columns)):
+            out, again = [], []
+            for i, text, copies, p, guest in zip(*(c.to_pylist() for c in batch.columns)):
                 if guest and (last is None or p != part):
                     continue  # only the first guest of a part counts
                 made = PrefixHashes(text)
                 row = (i, text, made, made.fingerprint())
                 if last is not None:
                     out.append(finish(last, row))
+                if copies > 1 and not guest:
+                    again.append((len(out), copies - 2))
+                    out.append(finish(row, row))
                 last, part = (None if guest else row), p
             columns = list(zip(*out)) or [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            done = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            yield done
+            for k, n in again:
+                for a in range(0, n, LOT):
+                    yield done.take(pa.array(np.full(min(LOT, n - a), k)))
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -54,3 +54,26 @@ def test_ties_nulls_and_empty_tables(spark):
     assert got == sorted([(False, 2, 30, sha("q" * 20 + "abc")), (False, 1, 3, sha("aba")), (False, 1, 3, sha("ab")), (True, 0, 0, sha("")), (True, 0, 6, sha("xyzxqq"))])
     assert compare_with_edits(docs.limit(1)).count() == 1
     assert compare_with_edits(docs.where("doc_id = 99")).count() == 0
+
+
+def in_a_row(rows):
+    """(doc_id, sha256 of the edited text, likeness to the next) by the definition, in one list."""
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), len(r[1])))
+    for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1]):
+        yield str(i), hashlib.sha256(edited(t, u).encode()).hexdigest(), likeness(PrefixHashes(t).fingerprint(), PrefixHashes(u).fingerprint())
+
+
+def test_one_id_with_most_rows(spark):
+    rows = [(None, "ab" * (k // 3)) for k in range(600)] + [(5, "c" * k) for k in range(300)] + [(1 << 60 | k, f"{k} words") for k in range(9, 0, -1)] + [(k - 40, "few") for k in range(45)]
+    rows = [r for r in rows if r[0] != 5 or r[1]] + [(None, None)] * 40_000
+    random.Random(7).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = compare_with_edits(docs).select("doc_id", "edited_sha256", "near_next").collect()
+    assert sorted((str(r[0]), r[1], r[2]) for r in got) == sorted(in_a_row(rows))
+
+
+def test_ids_beyond_doubles_and_a_long_text(spark):
+    rows = [((1 << 62) + 3 * k, f"text {k} " * (k % 7)) for k in range(300)] + [(1, "long " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = compare_with_edits(docs).select("doc_id", "edited_sha256", "near_next").collect()
+    assert sorted((str(r[0]), r[1], r[2]) for r in got) == sorted(in_a_row(rows))
