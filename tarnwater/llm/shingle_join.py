@@ -10,7 +10,9 @@ Large groups of near copies make no pairs. Equal sets are one class. Each class
 hub, a central class among those it shares elements with, and kept as its difference to the hub.
 Members that link with their hub are one component already; those that don't are compared with all
 members, by their differences and in blocks, of which only a spanning forest leaves. Candidate
-pairs are made between different hubs and components only.
+pairs are made between different hubs and components only. An element that many such classes have
+makes no pairs by a join either: they are compared in blocks that carry their prefixes, and only
+candidates that share enough elements leave.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ HISTOGRAM = 256
 NEAR = 55
 #: Members of a hub in one side of a block, and elements of their differences.
 BLOCK, BLOCK_ELEMENTS = 512, 1 << 20
+#: Classes with an element from which on they are compared in blocks, unless their prefixes are longer
+#: than that on average, where carrying these would cost more than a join's pairs.
+FREQUENT, LONG = 256, 2048
 #: Entries of a dense matrix that one step makes.
 DENSE = 1 << 22
 #: Bits of the map that spares most documents a second look; a full map only saves less.
@@ -308,6 +313,38 @@ def hub_block(percent):
     return run
 
 
+def element_block(percent):
+    """The candidates within one block of the classes that have an element, for groupBy().applyInArrow.
+    A pair that has several such elements is taken in the block of the least."""
+
+    def run(found):
+        element, side, other = (found[c][0].as_py() for c in ("element", "i", "j"))
+        n, most, chunk = (found[c].to_numpy() for c in ("n", "most", "chunk"))
+        component, hub = (found[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in ("component", "hub"))
+        prefix = found["prefix"].combine_chunks()
+        owner = np.repeat(np.arange(len(n)), prefix.value_lengths().to_numpy())
+        value, pos, frequent = (prefix.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("element", "pos", "frequent"))
+        rows = np.flatnonzero(chunk == side)
+        columns = rows if side == other else np.flatnonzero(chunk == other)
+        a, b = rows[:, None], columns[None, :]
+        shared = lambda use: products(value[use], owner[use], rows, columns, len(n))
+        chosen = (component[a] != component[b]) & (hub[a] != hub[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        if side == other:
+            chosen &= a < b
+        if chosen.any():
+            chosen &= shared(frequent & (value < element)) == 0
+        lesser = np.minimum(most[a], most[b])
+        after = pos - (n - least_shared(n, percent))[owner]
+        enough = np.zeros(chosen.shape, bool)
+        for m in np.unique(lesser[chosen]):
+            enough |= (lesser == m) & (shared(after < m) >= m)
+        p, q = np.nonzero(chosen & enough)
+        key = found["key"].combine_chunks()
+        return pa.table({"a": key.take(pa.array(rows[p])), "b": key.take(pa.array(columns[q]))})
+
+    return run
+
+
 def link(docs, size=4, percent=85, id_col="doc_id", text_col="text", block=BLOCK):
     """One row per row of docs: n_shingles and component_id.
 
@@ -370,9 +407,11 @@ def link(docs, size=4, percent=85, id_col="doc_id", text_col="text", block=BLOCK
     named = stored(components(edges))
     placed = shared.join(named.select(F.col("node").alias("key"), "component"), "key", "left").join(best.select("key", "hub"), "key", "left")
     placed = placed.select("element", "key", "n", "pos", "most", F.coalesce("component", "key").alias("component"), F.coalesce("hub", "key").alias("hub"))
-    mixed_ = placed.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("hub").alias("low_hub"), F.max("hub").alias("high_hub")).where("low < high AND low_hub < high_hub").select("element")
-    placed = stored(placed.join(mixed_, "element", "left_semi"))
-    side = lambda c: placed.select("element", *(F.col(x).alias(f"{x}_{c}") for x in ("key", "n", "pos", "most", "component", "hub")))
+    mixed_ = placed.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("hub").alias("low_hub"), F.max("hub").alias("high_hub"), F.count("*").alias("rows"), F.sum(takes).alias("elements")).where("low < high AND low_hub < high_hub")
+    frequent = (F.col("rows") >= FREQUENT) & (F.col("elements") <= F.col("rows") * LONG)
+    parts = F.ceil(F.greatest(F.col("rows") / block, F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    placed = stored(placed.join(mixed_.select("element", frequent.alias("frequent"), parts.alias("chunks")), "element"))
+    side = lambda c: placed.where("NOT frequent").select("element", *(F.col(x).alias(f"{x}_{c}") for x in ("key", "n", "pos", "most", "component", "hub")))
     pairs = side("a").join(side("b"), "element").where("key_a < key_b AND component_a != component_b AND hub_a != hub_b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     most = F.least("most_a", "most_b")
     within = lambda c: F.col(f"pos_{c}") < F.col(f"n_{c}") - F.ceil(F.col(f"n_{c}") * percent / 100) + most
@@ -380,6 +419,15 @@ def link(docs, size=4, percent=85, id_col="doc_id", text_col="text", block=BLOCK
     # after the last shared element of the prefixes, at most the shorter rest is shared
     upper = F.col("c") + F.least(F.col("n_a") - F.col("p"), F.col("n_b") - F.col("q")) - 1
     pairs = pairs.where(F.col("c") >= F.col("most")).where(100 * upper >= percent * (F.col("n_a") + F.col("n_b") - upper)).select("a", "b")
+    # classes with a frequent element: their prefixes go along, so that a block settles a pair as a whole
+    often = placed.where("frequent")
+    whole = placed.join(often.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("element", "pos", "frequent")).alias("prefix"))
+    often = often.drop("pos").join(whole, "key").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    often = often.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    often = often.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+    often = often.select("element", "i", "j", "chunk", "key", "n", "most", "component", "hub", "prefix")
+    settled = often.groupBy("element", "i", "j").applyInArrow(element_block(percent), "a binary, b binary")
+    pairs = pairs.union(settled.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
     further = verify(stored(pairs), percent).where(similar(percent)).select("a", "b")
     named = components(edges.union(further))
 

@@ -143,3 +143,19 @@ def test_sketch_summed_in_two_steps(spark, monkeypatch):
     rows = corpus(3)[:60]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, link(docs).collect())) == brute(rows, 4, 85)
+
+
+@pytest.mark.parametrize("frequent,long", [(2, 2048), (20, 2048), (2, 12)])
+def test_many_classes_with_frequent_elements(spark, monkeypatch, frequent, long):
+    """Unlike short documents of frequent words, compared in blocks, by a join, or both."""
+    from tarnwater.llm import shingle_join
+
+    monkeypatch.setattr(shingle_join, "FREQUENT", frequent)
+    monkeypatch.setattr(shingle_join, "LONG", long)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.sample([f"w{k}" for k in range(40)], rng.randrange(8, 32)))) for i in range(400)]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(corpus(9)[:120])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows, 1, 62)
+    assert sorted(map(tuple, link(docs, 1, 62, block=32).collect())) == want
+    assert 20 < len({w[2] for w in want}) < 500
