@@ -10,8 +10,10 @@ from .common import table
 from .embedding_dedup import link
 from .fingerprints import compare_with_edits
 from .language_id import identify
+from .lexical_search import search
 from .line_dedup import drop_repeated_lines
 from .line_dedup import oracle as line_oracle
+from .online_packing import pack_online
 from .packing import pack
 from .secret_scan import scan
 from .secret_scan import train as train_secrets
@@ -104,3 +106,27 @@ def op9_token_counts(spark, sf_dir):
 def op10_embedding_dedup(spark, sf_dir):
     """Links and components of all vectors; no SQL: it would have to compare all pairs."""
     return link(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_online_packing(spark, sf_dir):
+    """Token ids of all documents in sequences of 4096, a row per piece; no SQL: merges need a loop per word."""
+    return pack_online(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op13_lexical_search(spark, sf_dir):
+    """The twenty documents that match each benchmark item best."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op13_lexical_search"] = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+    q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+    k AS (SELECT item_id, t, count(*) AS c FROM q GROUP BY ALL),
+    s AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+    o AS (SELECT x.doc_id, x.n, x.t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d) x SEMI JOIN k ON x.t = k.t GROUP BY ALL),
+    w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM o, s GROUP BY t),
+    r AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM o JOIN w USING (t) JOIN k USING (t), s GROUP BY ALL)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+    """
