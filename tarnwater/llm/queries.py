@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import encode_decode
 from .common import table
+from .conversation_repair import damaged, repair
+from .conversation_repair import oracle as repair_oracle
 from .embedding_dedup import link
 from .fingerprints import compare_with_edits
 from .language_id import identify
@@ -108,6 +110,15 @@ def op10_embedding_dedup(spark, sf_dir):
     return link(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_conversation_repair(spark, sf_dir):
+    """Faults and cheapest repair of every conversation, after a damage that its ids decide."""
+    return repair(damaged(table(spark, sf_dir, "conversations")), gone="gone")
+
+
+ORACLE_SQL["op11_conversation_repair"] = repair_oracle()
+
+
 @query
 def op12_online_packing(spark, sf_dir):
     """Token ids of all documents in sequences of 4096, a row per piece; no SQL: merges need a loop per word."""
