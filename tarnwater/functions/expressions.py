@@ -30,12 +30,20 @@ def priority(tag, coverage) -> Column:
     return F.when(F.col(tag).isNull(), UNTAGGED_PRIORITY).otherwise(F.coalesce(coverage, F.lit(0)))
 
 
+#: The rank as it stands in its text.
+RANK = "rank_game STRUCT<level: DOUBLE, rank_score: DOUBLE>"
+
+
+def rank_text(info, season) -> Column:
+    """The text of the rank of a season in a profile's parsed map<string, string>; null where there is none."""
+    return F.try_element_at(info, F.concat(F.lit("rank_game_"), (F.lit(SEASON_OFFSET) + season).cast("string")))
+
+
 def rank_blob(raw, season) -> Column:
     """struct(level, score) from the profile's doubly encoded rank of a season; null where it is
     missing or cannot be parsed."""
     info = F.from_json(raw, "player STRUCT<info: MAP<STRING, STRING>>")["player"]["info"]
-    inner = F.try_element_at(info, F.concat(F.lit("rank_game_"), (F.lit(SEASON_OFFSET) + season).cast("string")))
-    rank = F.from_json(inner, "rank_game STRUCT<level: DOUBLE, rank_score: DOUBLE>")["rank_game"]
+    rank = F.from_json(rank_text(info, season), RANK)["rank_game"]
     return F.when(rank.isNotNull(), F.struct(rank["level"].cast("int").alias("level"), rank["rank_score"].alias("score")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..sources import payloads
@@ -49,10 +50,12 @@ def reseeded(players, heroes, hero_boards, global_board, now, refresh=REFRESH):
 
 
 def reseed(store, hero_boards, global_board, now, refresh=REFRESH):
-    """Put what the boards bring into the store, as one commit; returns how many players are new."""
+    """Put what the boards bring into the store, as one commit; returns how many players are new, counted as
+    they are written."""
     players, heroes = store.read("players"), store.read("heroes")
     new, stamps = reseeded(players, heroes, hero_boards, global_board, now, refresh)
-    with store.staged(new) as new:
-        n = new.count()
+    told = Observation("seeded")
+    with store.staged(new.observe(told, F.count("*").alias("n"))) as new:
+        n = told.get["n"]
         store.commit({"players": players.unionByName(new, allowMissingColumns=True), "heroes": stamps})
     return n

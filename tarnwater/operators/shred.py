@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 INT = lambda path: F.col(path).cast("int")
 
 
-def admitted(parsed):
-    """(admitted, rejected): a match enters with all its rows or none. It has a key, every player
-    an id, every segment a hero and every ban its four numbers."""
+def admissible():
+    """Whether a parsed match (match, readable) can enter: it has a key, every player an id, every segment
+    a hero and every ban its four numbers."""
     players = F.coalesce("match.match_players", F.array())
     bans = F.coalesce("match.dynamic_fields.ban_pick_info", F.array())
     ban_ok = F.forall(bans, lambda b: b["hero_id"].isNotNull() & b["round_idx"].isNotNull() & b["battle_side"].isNotNull() & b["is_pick"].isNotNull())
     player_ok = F.forall(players, lambda p: p["player_uid"].isNotNull() & F.forall(F.coalesce(p["player_heroes"], F.array()), lambda h: h["hero_id"].isNotNull()))
-    ok = F.coalesce(F.col("readable") & F.col("match.match_uid").isNotNull() & ban_ok & player_ok, F.lit(False))
-    flagged = parsed.withColumn("admitted", ok)
+    return F.coalesce(F.col("readable") & F.col("match.match_uid").isNotNull() & ban_ok & player_ok, F.lit(False))
+
+
+def admitted(parsed):
+    """(admitted, rejected): a match enters with all its rows or none."""
+    flagged = parsed.withColumn("admitted", admissible())
     return flagged.where("admitted").drop("admitted"), flagged.where("NOT admitted").drop("admitted")
 
 

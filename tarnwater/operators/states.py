@@ -36,6 +36,15 @@ def release(rows, condition=None):
     return _put(rows, held if condition is None else held & condition, "pending", claimed=nothing())
 
 
+def put_back(rows, visits):
+    """Claimed entries of visits (uid, read) that were put back are pending again. Where the visit had come to
+    the history (read), the stamp of the last one goes: the next visit reads all of it."""
+    marked = rows.join(visits.groupBy("uid").agg(F.max("read").alias("_read")), "uid", "left")
+    held = F.col("_read").isNotNull() & (F.col("crawl_status") == "claimed")
+    last = F.when(F.col("_read"), nothing()).otherwise(F.col("last_crawled_at"))
+    return _put(marked, held, "pending", last=last, claimed=nothing()).drop("_read").select(rows.columns)
+
+
 def finish(rows, outcomes, now, order=None):
     """outcomes (uid, outcome): the terminal status of each, stamped with now. Of several outcomes of
     one uid the last in `order` (a column) counts, without it the greatest by name."""
@@ -67,9 +76,14 @@ def requeue(rows, now, **windows):
     return rows.select(*(changed.get(x, F.col(x)) for x in rows.columns))
 
 
+def stale_counts(now, **windows):
+    """Columns that count the entries of each kind that return, for agg() or observe()."""
+    return [F.count_if(cond).alias(f"n_{name}") for name, cond in stale(now, **windows).items()]
+
+
 def requeue_counts(rows, now, **windows):
     """How many entries of each kind would return, in one pass."""
-    return rows.agg(*(F.count_if(cond).alias(f"n_{name}") for name, cond in stale(now, **windows).items()))
+    return rows.agg(*stale_counts(now, **windows))
 
 
 def classify(rows):

@@ -240,21 +240,35 @@ def history_revisit(spark, sf_dir):
 
 
 def landed_pages(spark, sf_dir):
-    """Raw pages of the histories: some short, some empty, some with entries of another mode or of none."""
+    """Raw pages of the histories: some short, some empty, some with entries of another mode or of none; some are
+    missing, have failed, were limited or can't be read; some were landed before, shorter, without a status."""
     e = history_entries(spark, sf_dir)
+    page = F.floor(F.col("skip") / 5)
     mode = F.when(F.col("match_uid") % 5 == 0, 1.0).when(F.col("match_uid") % 7 != 0, 2.0)
     entry = F.struct(F.col("match_uid").cast("string").alias("match_uid"), F.lit(5.0).alias("match_map_id"), mode.alias("game_mode_id"))
-    sent = F.col("pos") < F.when((F.col("uid") + F.floor(F.col("skip") / 5)) % 11 == 0, 0).otherwise(F.col("page_size"))
-    page = F.sort_array(F.collect_list(F.when(sent, F.struct("pos", entry.alias("entry")))))
-    return e.groupBy("uid", "skip").agg(page.alias("page")).select("uid", "skip", F.to_json(F.transform("page", lambda x: x["entry"])).alias("raw"))
-
-
-@query(f"""WITH {_ENTRIES}, sent AS (SELECT uid, skip, pos, match_uid, CASE WHEN match_uid % 5 = 0 THEN 1 WHEN match_uid % 7 <> 0 THEN 2 END AS mode FROM entries WHERE pos < CASE WHEN (uid + skip // 5) % 11 = 0 THEN 0 ELSE page_size END),
-    pg AS (SELECT uid, skip, count(sent.pos) AS n FROM (SELECT DISTINCT uid, skip FROM entries) LEFT JOIN sent USING (uid, skip) GROUP BY 1, 2),
-    t AS (SELECT *, coalesce(bool_or(n < 5) OVER (PARTITION BY uid ORDER BY skip ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM pg)
-    SELECT uid, skip, pos, CAST(match_uid AS VARCHAR) AS match_uid FROM sent JOIN t USING (uid, skip) WHERE NOT ended AND coalesce(mode, 2) = 2""")
+    sent = F.col("pos") < F.when((F.col("uid") + page) % 11 == 0, 0).otherwise(F.col("page_size"))
+    content = F.sort_array(F.collect_list(F.when(sent, F.struct("pos", entry.alias("entry")))))
+    rows = e.groupBy("uid", "skip").agg(content.alias("page")).where((F.col("uid") * 7 + page) % 13 != 5)
+    raw = F.to_json(F.transform("page", lambda x: x["entry"]))
+    turn = (F.col("uid") + page * 2) % 17
+    now = rows.select("uid", "skip", F.when(turn == 3, 503).when(turn == 4, 429).otherwise(200).alias("http_status"), F.when((F.col("uid") + page * 3) % 19 == 7, "<html>").otherwise(raw).alias("raw"), F.lit(2).alias("landed_at"))
+    before = rows.where((F.col("uid") + page) % 3 == 0).select("uid", "skip", F.lit(200).alias("http_status"), F.lit('[{"match_uid":"0"}]').alias("raw"), F.lit(1).alias("landed_at"))
+    return now.unionByName(before)
+
+
+_PAGES = """sent AS (SELECT uid, skip, pos, match_uid, CASE WHEN match_uid % 5 = 0 THEN 1 WHEN match_uid % 7 <> 0 THEN 2 END AS mode FROM entries WHERE pos < CASE WHEN (uid + skip // 5) % 11 = 0 THEN 0 ELSE page_size END),
+    pg AS (SELECT uid, skip, count(sent.pos) AS n, CASE WHEN (uid + skip // 5 * 2) % 17 = 3 THEN 'failed' WHEN (uid + skip // 5 * 2) % 17 = 4 THEN 'limited' WHEN (uid + skip // 5 * 3) % 19 = 7 THEN 'failed' ELSE 'ok' END AS kind,
+                  skip = (row_number() OVER (PARTITION BY uid ORDER BY skip) - 1) * 5 AS here
+           FROM (SELECT DISTINCT uid, skip FROM entries WHERE (uid * 7 + skip // 5) % 13 <> 5) LEFT JOIN sent USING (uid, skip) GROUP BY 1, 2),
+    t AS (SELECT *, coalesce(bool_or(NOT here OR kind <> 'ok' OR n < 5) OVER (PARTITION BY uid ORDER BY skip ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM pg),
+    reached AS (SELECT uid, skip, n, kind FROM t WHERE here AND NOT ended),
+    listed AS (SELECT uid, skip, pos, match_uid FROM sent JOIN reached USING (uid, skip) WHERE kind = 'ok' AND coalesce(mode, 2) = 2)"""
+
+
+@query(f"WITH {_ENTRIES}, {_PAGES} SELECT uid, skip, pos, CAST(match_uid AS VARCHAR) AS match_uid FROM listed")
 def page_termination(spark, sf_dir):
-    """Nothing after a page that is not full, be it empty or of other modes altogether."""
+    """Nothing after a page that is not full (be it empty or of other modes altogether), that is missing or that
+    can't be read; of a page that was landed twice the later one counts."""
     return payloads.history(landed_pages(spark, sf_dir), full=5).select("uid", "skip", F.col("pos").cast("long").alias("pos"), "match_uid")
 
 
@@ -322,41 +336,90 @@ def reseed_stamps(spark, sf_dir):
 
 # -- visits ---------------------------------------------------------------------------------------
 _VISITS = """v AS (SELECT c_custkey AS uid, 'n' || c_custkey AS name, c_nationkey AS lvl, c_acctbal, CASE WHEN c_custkey % 13 = 0 THEN 5 END AS known,
-        CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN 404 WHEN c_custkey % 17 = 0 THEN 503 ELSE 200 END AS status, c_custkey % 23 = 0 AS broken, c_custkey % 5 <> 0 AS visible, c_custkey % 3 = 0 AS other FROM customer),
-    o AS (SELECT *, CASE WHEN known < 13 THEN 'skipped_floor' WHEN status IS NULL OR status = 503 OR (status = 200 AND broken) THEN 'error' WHEN status = 404 THEN 'not_indexed' WHEN NOT visible THEN 'skipped_private' WHEN NOT other AND lvl < 13 THEN 'skipped_floor' ELSE 'done' END AS outcome,
-        known IS NULL AND coalesce(status, 0) = 200 AND NOT broken AS profiled FROM v)"""
+        CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN 404 WHEN c_custkey % 17 = 0 THEN 503 WHEN c_custkey % 29 = 0 THEN 429 WHEN c_custkey % 31 = 0 THEN 418 ELSE 200 END AS status, c_custkey % 23 = 0 AS broken, c_custkey % 5 <> 0 AS visible, c_custkey % 3 = 0 AS other FROM customer),
+    o AS (SELECT *, CASE WHEN known < 13 THEN 'skipped_floor' WHEN status IS NULL OR status = 503 OR (status IN (200, 418) AND broken) THEN 'error' WHEN status = 429 THEN 'limited' WHEN status = 404 THEN 'not_indexed' WHEN NOT visible THEN 'skipped_private' WHEN NOT other AND lvl < 13 THEN 'skipped_floor' ELSE 'done' END AS outcome,
+        known IS NULL AND coalesce(status, 0) IN (200, 418) AND NOT broken AS profiled FROM v)"""
 
 
 def landed_profiles(spark, sf_dir):
+    """Raw profiles: some not there, failed, limited, not found or broken; every fourth was landed before, with a
+    level that no longer holds, as a success or a failure."""
     c, i = table(spark, sf_dir, "customer"), F.col("c_custkey")
-    rank = F.to_json(F.struct(F.struct(F.col("c_nationkey").cast("double").alias("level"), F.col("c_acctbal").alias("rank_score")).alias("rank_game")))
-    info = F.create_map(F.lit("name"), F.concat(F.lit("n"), i), F.when(i % 3 == 0, "rank_game_1001018").otherwise("rank_game_1001019"), rank)
-    raw = F.to_json(F.struct(F.struct(info.alias("info")).alias("player"), F.struct((i % 5 != 0).alias("match_history")).alias("visibility")))
-    status = F.when(i % 11 == 0, 404).when(i % 17 == 0, 503).otherwise(200)
-    return c.where(i % 19 != 0).select(i.alias("uid"), status.alias("http_status"), F.when(i % 23 == 0, "<html>").otherwise(raw).alias("raw"))
+    rank = lambda level: F.to_json(F.struct(F.struct(level.cast("double").alias("level"), F.col("c_acctbal").alias("rank_score")).alias("rank_game")))
+    info = lambda level: F.create_map(F.lit("name"), F.concat(F.lit("n"), i), F.when(i % 3 == 0, "rank_game_1001018").otherwise("rank_game_1001019"), rank(level))
+    raw = lambda level: F.to_json(F.struct(F.struct(info(level).alias("info")).alias("player"), F.struct((i % 5 != 0).alias("match_history")).alias("visibility")))
+    status = F.when(i % 11 == 0, 404).when(i % 17 == 0, 503).when(i % 29 == 0, 429).when(i % 31 == 0, 418).otherwise(200)
+    rows = c.where(i % 19 != 0)
+    now = rows.select(i.alias("uid"), status.alias("http_status"), F.when(i % 23 == 0, "<html>").otherwise(raw(F.col("c_nationkey"))).alias("raw"), F.lit(2).alias("landed_at"))
+    before = rows.where(i % 4 == 0).select(i.alias("uid"), F.when(i % 8 == 0, 503).otherwise(200).alias("http_status"), raw(F.lit(99)).alias("raw"), F.lit(1).alias("landed_at"))
+    return before.unionByName(now)
+
+
+def claimed_players(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.when(F.col("c_custkey") % 13 == 0, 5).alias("latest_known_level"), F.when(F.col("c_custkey") % 2 == 0, 1).alias("last_crawled_at"))
+
 
+_PROFILES = "SELECT uid, outcome, profiled, CASE WHEN profiled THEN name END AS nick_name, CASE WHEN profiled AND NOT other THEN CAST(lvl AS INT) END AS latest_known_level, CASE WHEN profiled AND NOT other THEN c_acctbal END AS latest_known_score FROM o"
 
-@query(f"WITH {_VISITS} SELECT uid, outcome, profiled, CASE WHEN profiled THEN name END AS nick_name, CASE WHEN profiled AND NOT other THEN CAST(lvl AS INT) END AS latest_known_level, CASE WHEN profiled AND NOT other THEN c_acctbal END AS latest_known_score FROM o")
+
+@query(f"WITH {_VISITS} {_PROFILES}")
 def crawl_batch(spark, sf_dir):
-    """Outcomes and profiles of all visits of a round."""
-    claimed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.when(F.col("c_custkey") % 13 == 0, 5).alias("latest_known_level"))
-    seen = crawl.visits(claimed, landed_profiles(spark, sf_dir), 19)
+    """Outcomes and profiles of all visits of a round; of repeated responses the newest counts."""
+    seen = crawl.visits(claimed_players(spark, sf_dir), landed_profiles(spark, sf_dir), 19)
     return seen.select("uid", "outcome", "profiled", *(F.when(F.col("profiled"), F.col(c)).alias(c) for c in ("nick_name", "latest_known_level", "latest_known_score")))
 
 
-@query(f"""WITH {_VISITS}, {_ENTRIES}, sent AS (SELECT uid, skip, pos, match_uid, CASE WHEN match_uid % 5 = 0 THEN 1 WHEN match_uid % 7 <> 0 THEN 2 END AS mode FROM entries WHERE pos < CASE WHEN (uid + skip // 5) % 11 = 0 THEN 0 ELSE page_size END),
-    pg AS (SELECT uid, skip, count(sent.pos) AS n FROM (SELECT DISTINCT uid, skip FROM entries) LEFT JOIN sent USING (uid, skip) GROUP BY 1, 2),
-    t AS (SELECT *, coalesce(bool_or(n < 20) OVER (PARTITION BY uid ORDER BY skip ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM pg),
-    r AS (SELECT sent.* FROM sent JOIN t USING (uid, skip) JOIN o USING (uid) WHERE NOT ended AND coalesce(mode, 2) = 2 AND outcome = 'done'),
+@query(f"WITH {_VISITS} {_PROFILES}")
+def landed_source(spark, sf_dir):
+    """The same from files of JSON lines, read by the data source in the order of their arrival."""
+    at = folder(spark)
+    rows = landed_profiles(spark, sf_dir)
+    rows.select(F.to_json(F.struct("uid", "http_status", "raw", "landed_at")).alias("value")).write.text(f"{at}/profiles")
+    seen = crawl.visits(claimed_players(spark, sf_dir), payloads.Landed(spark, at).read("profiles"), 19)
+    return seen.select("uid", "outcome", "profiled", *(F.when(F.col("profiled"), F.col(c)).alias(c) for c in ("nick_name", "latest_known_level", "latest_known_score")))
+
+
+_FOUND = f"""{_VISITS}, {_ENTRIES}, {_PAGES}, r AS (SELECT listed.* FROM listed JOIN o USING (uid) WHERE outcome = 'done'),
     k AS (SELECT r.*, r.uid % 2 = 0 AS revisit, kn.match_uid IS NOT NULL OR row_number() OVER (PARTITION BY r.uid, r.match_uid ORDER BY skip, pos) > 1 AS is_known FROM r LEFT JOIN known kn USING (match_uid)),
-    m AS (SELECT *, bool_or(is_known) OVER (PARTITION BY uid ORDER BY skip, pos) AS met FROM k)
-    SELECT CAST(match_uid AS VARCHAR) AS match_uid, min(uid) AS uid, 5 AS map_id FROM m WHERE NOT is_known AND (NOT revisit OR NOT met) GROUP BY match_uid""")
+    m AS (SELECT *, bool_or(is_known) OVER (PARTITION BY uid ORDER BY skip, pos) AS met FROM k)"""
+
+
+def known_uids(spark, sf_dir):
+    return known_matches(spark, sf_dir).select(F.col("match_uid").cast("string").alias("match_uid"))
+
+
+@query(f"WITH {_FOUND} SELECT CAST(match_uid AS VARCHAR) AS match_uid, min(uid) AS uid, 5 AS map_id FROM m WHERE NOT is_known AND (NOT revisit OR NOT met) GROUP BY match_uid")
 def crawl_fetches(spark, sf_dir):
     """The matches that a round of visits has to fetch, each once."""
-    claimed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.when(F.col("c_custkey") % 13 == 0, 5).alias("latest_known_level"), F.when(F.col("c_custkey") % 2 == 0, 1).alias("last_crawled_at"))
+    claimed = claimed_players(spark, sf_dir)
+    seen = crawl.visits(claimed, landed_profiles(spark, sf_dir), 19)
+    return crawl.to_fetch(seen, claimed, landed_pages(spark, sf_dir), known_uids(spark, sf_dir), full=5).select("match_uid", "uid", "map_id")
+
+
+def landed_details(spark, sf_dir):
+    """Raw details: some failed, limited, not found, malformed, unreadable or not there; some had failed before."""
+    m = F.col("m")
+    rows = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 3).alias("m")).distinct().where(m % 29 != 4)
+    raw = F.when(m % 29 == 5, '{"match_uid":null}').when(m % 29 == 6, "<html>").otherwise(F.to_json(F.struct(m.cast("string").alias("match_uid"))))
+    now = rows.select(m.cast("string").alias("match_uid"), F.when(m % 29 == 1, 503).when(m % 29 == 2, 429).when(m % 29 == 3, 404).otherwise(200).alias("http_status"), raw.alias("raw"), F.lit(5).alias("landed_at"))
+    before = rows.where(m % 7 == 0).select(m.cast("string").alias("match_uid"), F.lit(503).alias("http_status"), F.lit(None).cast("string").alias("raw"), F.lit(4).alias("landed_at"))
+    return now.unionByName(before)
+
+
+@query(f"""WITH {_FOUND}, stops AS (SELECT uid, min(skip * 100 + pos) AS stop FROM m WHERE revisit AND is_known GROUP BY 1),
+    tail AS (SELECT o.uid, max(reached.skip) AS skip, arg_max(kind, reached.skip) AS kind, arg_max(n, reached.skip) AS n FROM o LEFT JOIN reached USING (uid) WHERE outcome = 'done' GROUP BY 1),
+    holes AS (SELECT uid, CASE WHEN kind = 'ok' THEN skip + 5 ELSE coalesce(skip, 0) END AS skip, -1 AS pos, CASE WHEN kind = 'limited' THEN 'limited' ELSE 'failed' END AS kind FROM tail WHERE kind IS NULL OR kind <> 'ok' OR n >= 5),
+    trouble AS (SELECT uid, skip, pos, kind FROM holes LEFT JOIN stops USING (uid) WHERE stop IS NULL OR skip * 100 + pos < stop
+        UNION ALL SELECT uid, skip, pos, CASE WHEN match_uid % 29 = 2 THEN 'limited' ELSE 'failed' END FROM m WHERE NOT is_known AND (NOT revisit OR NOT met) AND match_uid % 29 IN (1, 2, 4, 6)),
+    f AS (SELECT uid, arg_min(kind, skip * 100 + pos) AS kind, min(skip * 100 + pos) AS spot FROM trouble GROUP BY 1)
+    SELECT uid, CASE WHEN f.kind IS NULL THEN outcome WHEN f.kind = 'limited' THEN 'limited' ELSE 'error' END AS outcome, CAST((spot + 1) // 100 AS BIGINT) AS skip, CAST(spot - (spot + 1) // 100 * 100 AS BIGINT) AS pos FROM o LEFT JOIN f USING (uid)""")
+def visit_completeness(spark, sf_dir):
+    """How visits end once their pages and details are held against what they wanted, and where the first gap is."""
+    claimed, known = claimed_players(spark, sf_dir), known_uids(spark, sf_dir)
     seen = crawl.visits(claimed, landed_profiles(spark, sf_dir), 19)
-    known = known_matches(spark, sf_dir).select(F.col("match_uid").cast("string").alias("match_uid"))
-    return crawl.to_fetch(seen, claimed, landed_pages(spark, sf_dir), known).select("match_uid", "uid", "map_id")
+    reached, found = crawl.read_histories(seen, claimed, landed_pages(spark, sf_dir), known, full=5)
+    answers = payloads.answers(landed_details(spark, sf_dir))
+    return crawl.complete(seen, history.troubles(found, reached, seen.where("outcome = 'done'"), answers, full=5))
 
 
 @query("""SELECT s_suppkey, last_seeded_at FROM (SELECT s_suppkey, max(epoch_us(l_shipdate) // 1000000) FILTER (l_returnflag = 'R' AND l_suppkey % 4 <> 0) AS last_seeded_at FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1) WHERE last_seeded_at IS NULL OR last_seeded_at < 995000000""")

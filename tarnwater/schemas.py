@@ -34,7 +34,7 @@ MATCH = (
     "dynamic_fields: STRUCT<add_score: DOUBLE, level: DOUBLE, new_level: DOUBLE, new_score: DOUBLE>, player_heroes: ARRAY<STRUCT<hero_id: DOUBLE, k: DOUBLE, d: DOUBLE, a: DOUBLE, play_time: DOUBLE>>>>"
 )
 HISTORY_PAGE = "ARRAY<STRUCT<match_uid: STRING, match_map_id: DOUBLE, match_season: STRING, match_time_stamp: BIGINT, game_mode_id: DOUBLE>>"
-PROFILE = "player STRUCT<info: MAP<STRING, STRING>>, visibility MAP<STRING, BOOLEAN>"
+PROFILE = "player STRUCT<info: MAP<STRING, STRING>>, visibility MAP<STRING, STRING>"
 HERO_BOARD = "players ARRAY<STRUCT<player_uid: BIGINT, info: STRUCT<name: STRING>>>"
 GLOBAL_BOARD = "players ARRAY<STRUCT<name: STRING, uid: STRING, rank: STRUCT<rank_game_id: INT>>>"
 

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.devalue import resolve
-from ..functions.expressions import history_visible, rank_blob
-from ..operators.history import reachable
+from ..functions.expressions import RANK, history_visible, rank_text, response_class
+from ..operators.history import chain
+from . import landed as source
+from .landed import ARRIVAL
 
 #: The competitive mode, entries of a full page.
 COMPETITIVE, PAGE_SIZE = 2, 20
@@ -21,38 +23,46 @@ def landed(spark, path, whole=False, keys=None):
 
 
 class Landed:
-    """The responses that a fetcher has put into a folder, as files of JSON lines: hero_boards (hero_id,
-    raw), global_board (raw), profiles (uid, http_status, raw), pages (uid, skip, raw), details
-    (match_uid, http_status, raw)."""
-
-    KINDS = {"hero_boards": "hero_id INT, raw STRING", "global_board": "raw STRING", "profiles": "uid BIGINT, http_status INT, raw STRING", "pages": "uid BIGINT, skip INT, raw STRING", "details": "match_uid STRING, http_status INT, raw STRING"}
+    """The responses that a fetcher has put into a folder, as files of JSON lines in a folder for each kind
+    (see landed.KINDS), with their arrival. A key may be landed again and again; the newest response counts."""
 
     def __init__(self, spark, path):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path = source.register(spark), path.rstrip("/")
 
     def read(self, kind):
-        return self.spark.read.schema(self.KINDS[kind]).json(f"{self.path}/{kind}")
+        return self.spark.read.format("landed").option("kind", kind).load(f"{self.path}/{kind}")
+
+    def stream(self, kind, **options):
+        """The same as a stream, which goes on behind the last file that a run with its checkpoint has read."""
+        return self.spark.readStream.format("landed").options(kind=kind, **options).load(f"{self.path}/{kind}")
 
     def boards(self):
-        return self.read("hero_boards"), self.read("global_board")
+        return newest(self.read("hero_boards"), "hero_id"), newest(self.read("global_board"))
 
     def responses(self, claimed):
         mine = lambda kind: self.read(kind).join(claimed.select("uid"), "uid", "left_semi")
         return mine("profiles"), mine("pages"), self.read("details")
 
 
+def newest(rows, *keys):
+    """One row per key (of all rows, without keys): the one that arrived last, by what columns of ARRIVAL there are. Of rows
+    that arrived alike one and the same is taken, whatever their order. Combined before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    at = F.struct(*(c for c in ARRIVAL if c in rest), F.xxhash64(*rest).alias("_tie"))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("_row")).where("_row IS NOT NULL").select(*keys, "_row.*")
+
+
+def status(rows):
+    """The HTTP status of responses; those that came without one were successes."""
+    return F.col("http_status") if "http_status" in rows.columns else F.lit(200)
+
+
 def once(raw, parsed, name):
     """raw with a parsed struct, which is made once for each row: a generator's output is not
     taken apart by the optimizer, as a projection's is, to be parsed again for every use."""
     return raw.select("*", F.explode(F.array(parsed)).alias(name))
 
 
-def readable(raw):
-    """Whether a payload is a JSON object at all."""
-    parsed = F.from_json(raw, "_corrupt STRING, player STRING", {"columnNameOfCorruptRecord": "_corrupt"})
-    return parsed.isNotNull() & parsed["_corrupt"].isNull()
-
-
 def matches(raw):
     """raw documents with the parsed match and whether it was readable at all."""
     parsed = F.from_json("raw", schemas.MATCH + ", _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
@@ -60,10 +70,14 @@ def matches(raw):
 
 
 def pages(raw):
-    """(uid, skip, page_size, page) of pages (uid, skip, raw): as many entries as were sent, of
-    whatever mode; an unreadable page has none."""
-    rows = once(raw.select("uid", "skip", "raw"), F.from_json("raw", schemas.HISTORY_PAGE), "page")
-    return rows.select("uid", "skip", F.coalesce(F.size("page"), F.lit(0)).alias("page_size"), "page")
+    """(uid, skip, kind, page_size, page) of pages (uid, skip, raw, optionally http_status), the newest of each
+    skip: as many entries as were sent, of whatever mode. kind is that of the response; a success that
+    can't be read has failed."""
+    rows = newest(raw, "uid", "skip")
+    rows = once(rows.select("uid", "skip", "raw", status(rows).alias("http_status")), F.from_json("raw", schemas.HISTORY_PAGE), "page")
+    kind = F.when(F.col("http_status").isNull(), "failed").otherwise(response_class("http_status", F.lit(False)))
+    kind = F.when((kind == "ok") & F.col("page").isNull(), "failed").otherwise(kind)
+    return rows.select("uid", "skip", kind.alias("kind"), F.coalesce(F.size("page"), F.lit(0)).alias("page_size"), "page")
 
 
 def entries(pages, mode=COMPETITIVE):
@@ -75,18 +89,35 @@ def entries(pages, mode=COMPETITIVE):
 
 
 def history(raw, mode=COMPETITIVE, full=PAGE_SIZE):
-    """Entries of the pages (uid, skip, raw) that a reader who stops at the first page that is not
-    full would come to."""
-    return entries(reachable(pages(raw), full), mode)
+    """Entries of the pages (uid, skip, raw) that a reader comes to who starts at 0 and stops at the first
+    page that is not full, is missing or can't be read."""
+    return entries(chain(pages(raw), full).where("kind = 'ok'"), mode)
+
+
+def answers(raw):
+    """(match_uid, kind, raw) of details (match_uid, raw, optionally http_status), the newest of each match: ok,
+    malformed, missing, limited or failed. The first three are final, as asking again would not help."""
+    from ..operators.shred import admissible
+
+    rows = newest(raw, "match_uid")
+    rows = matches(rows.select("match_uid", F.col("raw"), status(rows).alias("http_status")))
+    kind = F.when(F.col("http_status").isNull(), "failed").otherwise(response_class("http_status", F.lit(False)))
+    kind = F.when(kind != "ok", kind).when(~F.col("readable"), "failed").when(~admissible(), "malformed").otherwise("ok")
+    return rows.select("match_uid", kind.alias("kind"), "raw")
 
 
 def profiles(raw, season):
-    """(uid, nick_name, latest_known_level, latest_known_score, visibility_json, visible) of profiles (uid, raw)."""
-    doc = F.from_json("raw", "visibility MAP<STRING, STRING>")["visibility"]
-    flags = F.transform_values(doc, lambda k, v: v == "true")
-    name = F.try_element_at(F.from_json("raw", schemas.PROFILE)["player"]["info"], F.lit("name"))
-    rows = raw.withColumns({"rank": rank_blob("raw", F.lit(season)), "flags": flags, "doc": doc, "nick_name": name})
-    return rows.select("uid", "nick_name", F.col("rank.level").alias("latest_known_level"), F.col("rank.score").alias("latest_known_score"), F.to_json("doc").alias("visibility_json"), history_visible(F.col("flags")).alias("visible"))
+    """(uid, readable, nick_name, latest_known_level, latest_known_score, visibility_json, visible) of profiles
+    (uid, raw), beside what other columns they have. A document is parsed once, and the rank in it once."""
+    parsed = F.from_json("raw", schemas.PROFILE + ", _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = once(raw, parsed, "doc")
+    rows = once(rows, F.from_json(rank_text(F.col("doc.player.info"), F.lit(season)), RANK)["rank_game"], "rank")
+    flags = F.transform_values("doc.visibility", lambda k, v: v == "true")
+    rest = [c for c in raw.columns if c not in ("uid", "raw")]
+    return rows.select(
+        "uid", *rest, (F.col("doc").isNotNull() & F.col("doc._corrupt").isNull()).alias("readable"), F.try_element_at("doc.player.info", F.lit("name")).alias("nick_name"),
+        F.col("rank.level").cast("int").alias("latest_known_level"), F.col("rank.rank_score").alias("latest_known_score"), F.to_json("doc.visibility").alias("visibility_json"), history_visible(flags).alias("visible"),
+    )
 
 
 def hero_board(raw):

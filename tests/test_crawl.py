@@ -377,7 +377,7 @@ def test_crawl_from_landed_responses(spark, tmp_path, capsys):
         "global_board": [{"raw": flat({"players": [{"name": "two", "uid": "2", "rank": {"rank_game_id": 19}}, {"name": "three", "uid": "3", "rank": {"rank_game_id": 19}}]})}],
         "profiles": [{"uid": 1, "http_status": 200, "raw": profile(True)}, {"uid": 2, "http_status": 404, "raw": None}, {"uid": 3, "http_status": 200, "raw": profile(False)}],
         "pages": [{"uid": 1, "skip": 0, "raw": page}, {"uid": 3, "skip": 0, "raw": page}],
-        "details": [{"match_uid": "m1", "http_status": 200, "raw": json.dumps(match("m1", players=1))}, {"match_uid": "gone", "http_status": 404, "raw": None}, {"match_uid": "bad", "http_status": 200, "raw": "{"}],
+        "details": [{"match_uid": "m1", "http_status": 200, "raw": json.dumps(match("m1", players=1))}, {"match_uid": "gone", "http_status": 404, "raw": None}, {"match_uid": "bad", "http_status": 200, "raw": "{\"match_uid\": null}"}],
     }
     for kind, docs in landed.items():
         (tmp_path / "landed" / kind).mkdir(parents=True)
@@ -388,7 +388,8 @@ def test_crawl_from_landed_responses(spark, tmp_path, capsys):
     said = []
     rounds = crawl.run(store, payloads.Landed(spark, str(tmp_path / "landed")), 19, clock=lambda: 1000, say=said.append)
     people = {r.uid: r for r in store.read("players").collect()}
-    assert said == ["3 players seeded"] and rounds == 2  # the match brings a player, whose profile never landed
+    assert said[:2] == ["3 players seeded", "put back: 0 done, 0 error, 0 claimed"] and rounds == 2  # the match brings a player, whose profile never landed
+    assert [x.split(" hero_")[0] for x in said[2:]] == ["round 1: 3 visits finished, 0 put back; matches=1 done=1 not_indexed=1 pending=1 skipped_private=1", "round 2: 1 visits finished, 0 put back; matches=1 done=1 error=1 not_indexed=1 skipped_private=1"]
     assert {i: p.crawl_status for i, p in people.items() if i < 4} == {1: "done", 2: "not_indexed", 3: "skipped_private"}
     assert (people[1].nick_name, people[1].discovery_hero_id, people[1].latest_known_score, people[2].nick_name, people[2].discovery_hero_id) == ("me", 12, 5000.25, "two", None)
     assert {p.crawl_status for i, p in people.items() if i > 3} == {"error"}
@@ -400,8 +401,8 @@ def test_crawl_from_landed_responses(spark, tmp_path, capsys):
         def boards(self):
             raise OSError("no answer")
 
-    crawl.tick(store, Broken().boards, 10**6, said.append)  # players are put back all the same
-    assert "no answer" in said[-1] and store.read("players").where("crawl_status = 'pending'").count() > 0
+    assert crawl.tick(store, Broken().boards, 10**6, said.append) == {"done": 1, "error": 1, "claimed": 0}  # players are put back all the same
+    assert "no answer" in said[-2] and store.read("players").where("crawl_status = 'pending'").count() > 0
     main(["--store", path, "--status"])
     assert capsys.readouterr().out.startswith("matches=1 ")
     with pytest.raises(SystemExit):
