@@ -8,18 +8,24 @@ in rounds of bounded groups, and the last remainder is cut at powers of two, whi
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from .bpe_codec import CONTROL, KEPT, WHITE, codec_of
-from .common import keyed, steps, stored
+from .bpe_codec import PLAIN, WHITE, codec_of
+from .common import STEP, keyed, stored
 
 #: Tokens of a sequence, open windows of a partition, partitions whose leftovers are merged at a time.
 CAPACITY, WINDOWS, MERGED = 4096, 16, 64
+#: Pretokens whose ids a worker keeps at most, about; beyond that the table starts anew.
+KEPT = 1 << 19
 #: The id that ends each document.
 END = 2
 #: Bits of a sequence's number within its group, and of the group's within its round.
@@ -77,20 +83,73 @@ class Windows:
         return done
 
 
-def ids_of(text, strings, words={}):
-    """The ids of each string as bytes, little-endian; those of words are kept in the worker."""
-    codec = codec_of(text)
-    known = words.setdefault(text, {})
-    cut = [s.split() if not CONTROL.search(s) else [w for w in WHITE.split(s) if w] for s in strings]
-    if len(known) > KEPT:
-        known.clear()
-    new = set().union(*cut).difference(known)
-    known.update((w, np.array(codec.word(w)[0].split(), "<u4").tobytes()) for w in new)
-    for found in cut:
-        yield b"".join(map(known.__getitem__, found))
-    for w in new:
-        if len(w) > codec.leaf:
-            del known[w]
+class Ids:
+    """The ids of strings as bytes, little-endian. A text is split into pretokens as a whole; the ids of these are kept."""
+
+    def __init__(self, codec):
+        self.codec, self.memo = codec, {}
+        self.plain = plain_split(codec.pretoken)
+
+    def packed(self, ids):
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def pretoken(self, p):
+        codec = self.codec
+        if len(p) > codec.leaf:
+            return self.packed(codec.long(p))
+        mapped = p if p.isascii() and p.isprintable() else "".join([codec.chars[b] for b in p.encode()])
+        return self.packed([t.id for t in codec.final.model.tokenize(mapped)])
+
+    def part(self, text):
+        """The ids of a stretch of text without special tokens."""
+        if PLAIN.search(text):
+            found = self.codec.pretoken.findall(self.codec.library.normalizer.normalize_str(text))
+        else:
+            found = self.plain.findall(text.lower())
+        new = set(found).difference(self.memo)
+        self.memo.update((p, self.pretoken(p)) for p in new)
+        out = b"".join(map(self.memo.__getitem__, found))
+        for p in new:
+            if len(p) > self.codec.leaf:  # rarely met again, and of any size
+                del self.memo[p]
+        return out
+
+    def __call__(self, text):
+        if len(self.memo) > KEPT:
+            self.memo.clear()
+        out = []
+        for stretch in stretches(text):
+            for k, part in enumerate(self.codec.special.split(stretch) if "<|" in stretch else [stretch]):
+                out.append(self.packed([self.codec.special_id[part]]) if k % 2 else self.part(part))
+        return b"".join(out)
+
+
+def plain_split(pattern):
+    """The split for texts whose characters are all below U+0250, with its classes written out, which is faster."""
+    chars = sorted({x for c in range(0x250) for x in chr(c) + chr(c).lower()})  # lower case may lie beyond
+    classes = {name: "".join(map(re.escape, filter(regex.compile(name).match, chars))) for name in (r"\p{L}", r"\p{N}", r"\s")}
+    text = pattern.pattern
+    for name, members in classes.items():
+        text = text.replace(name, members)
+    return re.compile(text) if "\\p" not in text else pattern
+
+
+def stretches(text, most=STEP):
+    """A text, a long one cut at white space: neither pretokens nor what they are normalized by reach across it."""
+    at = 0
+    while len(text) - at > most:
+        space = WHITE.search(text, at + most)
+        if not space:
+            break
+        yield text[at : space.end()]
+        at = space.end()
+    yield text[at:]
+
+
+@lru_cache(maxsize=1)
+def ids_of(text):
+    """One table for all tasks of a worker."""
+    return Ids(codec_of(text))
 
 
 def pieces(rows, kind, left=()):
@@ -125,12 +184,11 @@ def pack_online(docs, tokenizer_path, id_col="doc_id", text_col="text", capacity
         for batch in batches:
             of = batch.schema.field(0).type
             names, strings = batch.column(0).to_pylist(), ["" if t is None else t for t in batch.column(1).to_pylist()]
-            for a, b in steps(map(len, strings)):
-                done = []
-                for doc_id, ids in zip(names[a:b], ids_of(text.value, strings[a:b])):
-                    ids += last
-                    done += space.place(doc_id, 0, len(ids) // 4, ids)
-                yield pieces(done, of)
+            coded, done = ids_of(text.value), []
+            for doc_id, string in zip(names, strings):
+                ids = coded(string) + last
+                done += space.place(doc_id, 0, len(ids) // 4, ids)
+            yield pieces(done, of)
         if of is not None:
             yield pieces([], of, space.left())
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tarnwater.llm import online_packing
-from tarnwater.llm.online_packing import Windows, pack_online
+from tarnwater.llm.online_packing import Windows, ids_of, pack_online, stretches
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -55,6 +56,22 @@ def test_windows(lengths, most):
         assert at == len(ids)
 
 
+def test_ids_are_those_of_the_library():
+    library = Tokenizer.from_file(PATH)
+    rnd = random.Random(2)
+    some = ["Hello", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\u2003", "İ", "Σ", "ΑΣ", "ς", "é", "e\u0301", "\u0301", "<|endoftext|>", "<|", "|>", "'s", "'LL", "12", "½", "日本", "🙂", "ﬁ", "_", "-", "\x00", "ß", "ǅ", "x" * 600]
+    coded = ids_of(open(PATH, encoding="utf-8").read())
+    for k in range(3000):
+        text = "".join(rnd.choices(some, k=rnd.randint(0, 12)))
+        assert coded(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    plain = [chr(c) for c in range(0x250) if chr(c) != "İ"]
+    for k in range(2000):
+        text = "".join(rnd.choices(plain, k=12))
+        assert coded(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    text = " ".join(rnd.choices(some, k=400))
+    assert b"".join(coded(x) for x in stretches(text, 50)) == coded(text) and "".join(stretches(text, 50)) == text
+
+
 def test_best_fit():
     space = Windows(0, 16, 3)
     for k, n in enumerate((12, 9, 5)):  # 12 and 9 + 5
