@@ -43,7 +43,7 @@ CODE[[ord(c) for c in ALPHABET]] = np.arange(1, SIZE)
 #: Training reads the documents of at most so many ids and so many generated random strings.
 SAMPLE_ROWS, SAMPLE_STRINGS = 4000, 3000
 #: A token of kind `random` has at least so many characters and so high a ratio (in nats).
-LEAST_LENGTH, LEAST_RATIO = 20, 12.0
+LEAST_LENGTH, LEAST_RATIO = 8, 12.0
 #: Observations that a character's overall frequency counts for in each context.
 BACKED = 20
 
@@ -68,7 +68,7 @@ def labelled(text):
             if ORDINARY.fullmatch(m[0]):
                 yield 0, m[0]
         if end > start:
-            yield 1, TOKEN.findall(text[start:end])[-1] if kind == 0 else text[start:end]
+            yield 1, ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]  # without the name of the key
         a = max(a, end)
 
 
@@ -134,9 +134,12 @@ def train(docs, id_col="doc_id", text_col="text", sample_rows=SAMPLE_ROWS, extra
 
 def all_spans(text, model):
     """Base spans and those of kind `random`, which overlap none of them."""
-    spans = base_spans(text)
+    base = base_spans(text)
+    spans, k, reach = list(base), 0, 0
     for m in TOKEN.finditer(text):
-        if m.end() - m.start() >= LEAST_LENGTH and not any(a < m.end() and m.start() < b for a, b, _ in spans) and model(m[0]) >= LEAST_RATIO:
+        while k < len(base) and base[k][0] < m.end():  # both are in the order of their starts
+            k, reach = k + 1, max(reach, base[k][1])
+        if m.end() - m.start() >= LEAST_LENGTH and reach <= m.start() and model(m[0]) >= LEAST_RATIO:
             spans.append((*m.span(), 3))
     return sorted(spans, key=lambda s: (s[0], s[2]))
 
@@ -150,7 +153,8 @@ def scan(docs, model, id_col="doc_id", text_col="text"):
     text (kind:start:end, in code points).
 
     Null counts as empty, an empty text has no spans. Repeated rows each get their own row; an
-    empty table gives an empty result; other columns are not read. Nothing is shuffled.
+    empty table gives an empty result; other columns are not read. A text of any length is scanned whole, in
+    time that grows with its length; memory follows the longest text. Nothing is shuffled.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -181,7 +185,7 @@ def redacted(text, model, mark="[SECRET]"):
 
 def redact(docs, model, text_col="text"):
     """docs with every secret replaced by [SECRET]; overlapping spans become one. Other columns,
-    null texts and repeated rows stay as they are."""
+    null texts and repeated rows stay as they are; texts are read whole, whatever their length."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.schema.fieldNames().index(text_col)
 

@@ -59,3 +59,31 @@ def test_models_tell_random_from_ordinary():
     fresh = [x for _, x in s.generated(300, seed=99)]
     assert sum(model(x) >= s.LEAST_RATIO for x in fresh) > 290
     assert not any(model(w) >= s.LEAST_RATIO for w in words(rng, 3000).split())
+
+
+def test_labels_leave_the_name_of_the_key_out():
+    assert [x for label, x in s.labelled('password=Xy12Qw98Zr77Lp and secret: "ab.cdefghijklmn"') if label] == ["Xy12Qw98Zr77Lp", "ab.cdefghijklmn"]
+
+
+def test_short_keys_and_long_texts():
+    import time
+
+    rng = random.Random(5)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    ordinary = s.transitions([w for _ in range(300) for w in words(rng, 30).split()])
+    model = s.Markov.trained(sum(s.transitions([x]) for _, x in s.generated(500)), ordinary)
+    for n in range(8, 20):
+        keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(200)]
+        found = [s.all_spans(f"the {k} on", model) for k in keys]
+        assert sum(spans == [(4, 4 + n, 3)] for spans in found) >= 196, n
+    assert s.all_spans("x " + "Zq7" * 2 + " y", model) == []  # below the least length
+    text = " ".join(f"{words(rng, 6)} token={rng.randrange(16**20):020x} {''.join(rng.choices(alphabet, k=24))}" for _ in range(11000))
+    assert len(text) > 10**6
+    began = time.process_time()
+    spans = s.all_spans(text, model)
+    assert time.process_time() - began < 2 and sum(k == 3 for *_, k in spans) > 10900 and sum(k == 0 for *_, k in spans) == 11000
+    small = text[:30000]
+    tokens = [m for m in s.TOKEN.finditer(small) if m.end() - m.start() >= s.LEAST_LENGTH]
+    base = s.base_spans(small)
+    plain = base + [(*m.span(), 3) for m in tokens if not any(a < m.end() and m.start() < b for a, b, _ in base) and model(m[0]) >= s.LEAST_RATIO]
+    assert s.all_spans(small, model) == sorted(plain, key=lambda x: (x[0], x[2]))
