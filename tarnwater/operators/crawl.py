@@ -103,7 +103,7 @@ def claim(store, workers, batch, now):
     counted as they are written."""
     players = store.read("players")
     pending = players.where("crawl_status = 'pending'")
-    chosen = frontier.top(pending, store.read("match_player_heroes"), "hero_id", workers * batch)
+    chosen = frontier.top(pending, None, "hero_id", workers * batch, counts=frontier.stored_coverage(store))
     told = Observation("claims")
     with store.staged(chosen.select("uid").observe(told, F.count("*").alias("n"))) as chosen:
         n = told.get["n"]
@@ -123,6 +123,7 @@ def tick(store, boards, now, say=print):
         say(f"reseed failed, to be tried again: {type(e).__name__}: {str(e)[:200]}")
     players, told = store.read("players"), Observation("requeued")
     store.commit({"players": states.requeue(players.observe(told, *states.stale_counts(now)), now)})
+    store.vacuum()
     counts = {name: told.get[f"n_{name}"] for name in states.stale(now)}
     say("put back: " + ", ".join(f"{n} {name}" for name, n in counts.items()))
     return counts

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..sources.payloads import matches as parse
 from .changelog import fold
+from .frontier import coverage, stored_coverage
 from .shred import admitted, shred
 
 
@@ -38,21 +39,34 @@ def ingest(store, raw, season, now):
     document in their order there, so the result doesn't depend on how documents are batched; of two
     versions of a match with one seq, one and the same counts in all tables. Running it again with
     the same input changes nothing but fetch times. Documents are parsed once, into a table that goes
-    when the commit is done."""
+    when the commit is done. Only the parts of the tables that the documents' keys lie in are read and
+    written again, and the coverage of heroes is adjusted by what is new."""
     with store.staged(parse(raw)) as parsed:
         good, bad = admitted(parsed)
         good = good.withColumn("doc", F.xxhash64("raw"))
-        tables = merged(store, good, season, now)
+        tables, parts = merged(store, good, season, now)
         rejected = store.put("_rejected", bad.select(raw.columns))
-        store.commit(tables)
+        store.commit(tables, parts)
     return rejected
 
 
 def merged(store, good, season, now):
-    """name -> new state of every table that admitted documents change."""
+    """(name -> new state of every part of a table that admitted documents change, name -> these parts)."""
     map_id = "map_id" if "map_id" in good.columns else None
-    tables = {name: upsert(store.read(name), rows, name) for name, rows in shred(good, season, now, map_id).items()}
-    players = discovered(good).withColumn("created_at", F.lit(now).cast("long"))
-    people = upsert(store.read("players"), players, "players")
-    tables["players"] = people.withColumn("crawl_status", F.coalesce("crawl_status", F.lit("pending")))
-    return tables
+    of_matches = store.touched(good.select("match.match_uid"), "matches")
+    rows, parts, tables = shred(good, season, now, map_id), {}, {}
+    rows["players"] = discovered(good).withColumn("created_at", F.lit(now).cast("long"))
+    for name, new in rows.items():
+        parts[name] = of_matches if schemas.PARTED[name] == "match_uid" else store.touched(new.select(schemas.PARTED[name]), name)
+        tables[name] = upsert(store.read(name, parts[name]), new, name)
+    tables["players"] = tables["players"].withColumn("crawl_status", F.coalesce("crawl_status", F.lit("pending")))
+    tables["hero_coverage"] = covered(store, rows["match_player_heroes"], parts["match_player_heroes"])
+    return tables, parts
+
+
+def covered(store, segments, parts):
+    """hero_coverage behind new segments: each hero's count grows by the segments that the store did not have. They
+    are looked for in the parts that change; a store without the counts has them made once of all its segments."""
+    key = schemas.KEYS["match_player_heroes"]
+    fresh = segments.select(*key).distinct().join(store.read("match_player_heroes", parts).select(*key), key, "left_anti")
+    return stored_coverage(store).unionByName(coverage(fresh, "hero_id")).groupBy("hero_id").agg(F.sum("covered").alias("covered"))

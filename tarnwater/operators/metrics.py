@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expressions import eta, eta_text
+from .frontier import coverage, stored_coverage
 
 
 def status_counts(players, status="crawl_status"):
@@ -37,13 +38,13 @@ def drained(players, status="crawl_status"):
 
 def progress(store, now, window=600):
     """The progress line of a store."""
-    return progress_line(store.read("players"), store.read("matches"), store.read("match_player_heroes"), now, window)
+    return progress_line(store.read("players"), store.read("matches"), None, now, window, stored_coverage(store))
 
 
-def progress_line(players, matches, segments, now, window=600):
-    """The one line that operators read."""
+def progress_line(players, matches, segments, now, window=600, counts=None):
+    """The one line that operators read. counts: (hero_id, covered), where it is kept already."""
     statuses = sorted((r[0], r[1]) for r in status_counts(players).collect())
-    low, median, high = spread(segments.groupBy("hero_id").agg(F.count("*").alias("covered"))).first()
+    low, median, high = spread(coverage(segments, "hero_id") if counts is None else counts).first()
     row = recent(players, now, window).crossJoin(players.agg(F.count_if(F.col("crawl_status") == "pending").alias("pending")))  # one row each
     unit, amount = eta(F.col("pending"), F.col("per_minute"))
     r = row.select("per_minute", unit.alias("unit"), amount.alias("amount")).first()

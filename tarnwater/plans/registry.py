@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.devalue import resolve
+from ..functions.devalue_native import resolved
 from ..functions.expressions import eta, rank_blob, response_class
 from ..operators import analytics, changelog, crawl, folds, frontier, history, ingest, metrics, quality, seeding, shred, states
 from ..operators.store import Store
@@ -571,12 +572,25 @@ def rank_blob_of_season(spark, sf_dir):
     return raw.withColumn("r", rank_blob("raw", F.lit(19))).select("c_custkey", "r.level", "r.score")
 
 
-@query("""SELECT c_custkey, '{"players":[{"name":"' || c_name || '","uid":' || c_custkey || '},{"name":"' || c_name || '","uid":' || c_custkey || '}]}' AS resolved FROM customer""")
-def devalue_resolve(spark, sf_dir):
+_RESOLVED = """SELECT c_custkey, '{"players":[{"name":"' || c_name || '","uid":' || c_custkey || '},{"name":"' || c_name || '","uid":' || c_custkey || '}]}' AS resolved FROM customer"""
+
+
+def flat_arrays(spark, sf_dir):
     """Flat reference arrays, one per customer, with a wrapper and a shared entry."""
-    c = table(spark, sf_dir, "customer")
     head = '[{"data":1},{"page":2},["Reactive",3],{"players":4},[5,5],{"uid":6,"name":7},'
-    return c.select("c_custkey", resolve(F.concat(F.lit(head), F.col("c_custkey").cast("string"), F.lit(',"'), F.col("c_name"), F.lit('"]'))).alias("resolved"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit(head), F.col("c_custkey").cast("string"), F.lit(',"'), F.col("c_name"), F.lit('"]')).alias("raw"))
+
+
+@query(_RESOLVED)
+def devalue_resolve(spark, sf_dir):
+    """Flat reference arrays resolved in Arrow batches."""
+    return flat_arrays(spark, sf_dir).select("c_custkey", resolve("raw").alias("resolved"))
+
+
+@query(_RESOLVED)
+def devalue_native(spark, sf_dir):
+    """The same as one recursive query."""
+    return resolved(flat_arrays(spark, sf_dir).withColumnRenamed("c_custkey", "id")).withColumnRenamed("id", "c_custkey")
 
 
 # -- quality and analysis -------------------------------------------------------------------------
@@ -685,6 +699,19 @@ def exhausted_retries(spark, sf_dir):
     return folds.last_attempts(e.select(F.floor(F.col("event_id") / 3).alias("request"), (F.col("event_id") % 3).alias("attempt"), kind[F.col("event_type")].alias("kind")))
 
 
+@query("""WITH a AS (SELECT event_id // 8 AS request, event_id % 8 // 3 AS parse, event_id % 8 % 3 AS attempt, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'limited' WHEN 'signup' THEN 'missing' ELSE 'ok' END AS kind, event_type = 'view' AND event_id % 4 <> 0 AS readable FROM events),
+    c AS (SELECT request, parse, min(attempt) FILTER (kind IN ('ok', 'missing')) AS f, arg_max(kind, attempt) AS last, count(*) AS n FROM a GROUP BY 1, 2),
+    r AS (SELECT c.request, c.parse, n, CASE WHEN kind = 'missing' THEN 'missing' WHEN kind = 'ok' AND readable THEN 'ok' WHEN kind = 'ok' THEN 'unreadable' WHEN n >= 3 AND last = 'limited' THEN 'rate_limited' WHEN n >= 3 THEN 'fetch_failed' ELSE 'retry' END AS result
+          FROM c LEFT JOIN a ON a.request = c.request AND a.parse = c.parse AND a.attempt = c.f)
+    SELECT request, coalesce(arg_min(result, parse) FILTER (result <> 'unreadable'), CASE WHEN count(*) >= 3 THEN 'unreadable' ELSE 'retry' END) AS outcome, CAST(sum(n) AS BIGINT) AS attempts FROM r GROUP BY 1""")
+def request_outcomes(spark, sf_dir):
+    """What requests came to that are made again while their bodies can't be read."""
+    kind = F.create_map(*[F.lit(x) for kv in {"error": "failed", "click": "limited", "signup": "missing", "purchase": "ok", "view": "ok"}.items() for x in kv])
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    log = e.select(F.floor(i / 8).alias("request"), F.floor(i % 8 / 3).alias("parse"), (i % 8 % 3).alias("attempt"), kind[F.col("event_type")].alias("kind"), ((F.col("event_type") == "view") & (i % 4 != 0)).alias("readable"))
+    return folds.request_outcomes(log)
+
+
 # -- the store ------------------------------------------------------------------------------------
 @query("""WITH p AS (SELECT user_id, user_id * 10 + event_id % 3 AS player_uid, event_id, value FROM events UNION ALL SELECT user_id, user_id * 10 + 5, event_id, -value FROM events),
     q AS (SELECT user_id, player_uid, arg_max_null(value, event_id) AS new_score FROM p GROUP BY 1, 2), m AS (SELECT user_id, max(event_id) AS match_time_stamp FROM events GROUP BY 1)
@@ -700,6 +727,15 @@ def ingest_versions(spark, sf_dir):
     return store.read("match_players").join(store.read("matches"), "match_uid").select("match_uid", "player_uid", "match_time_stamp", "new_score")
 
 
+@query(f"SELECT CAST(l_suppkey % 50 AS INT) AS hero_id, count(DISTINCT (l_orderkey, l_partkey)) AS covered FROM lineitem WHERE {_OK} GROUP BY 1")
+def maintained_coverage(spark, sf_dir):
+    """The coverage that a store keeps, behind two batches of which the second repeats a part of the first."""
+    raw, store = landed_matches(spark, sf_dir), Store(spark, folder(spark))
+    for batch in ("seq % 2 = 0", "seq % 2 = 1 OR seq % 3 = 0"):
+        ingest.ingest(store, raw.where(batch), 19, NOW)
+    return store.read("hero_coverage")
+
+
 # -- streams --------------------------------------------------------------------------------------
 def folder(spark):
     """A new folder in the one that driver and executors share; only in local mode a temporary one."""
@@ -731,8 +767,53 @@ def sliding_throughput(spark, sf_dir):
 
 @query(_PACE + " SELECT f.client, delay, streak, i AS n FROM f JOIN (SELECT client, max(i) AS i FROM f GROUP BY 1) USING (client, i)")
 def stream_pace(spark, sf_dir):
-    """The adaptive pace as a stateful stream."""
+    """The adaptive pace in a stateful operator, over micro-batches of a week each, some responses late."""
+    at = folder(spark)
+    rows = deliveries(spark, sf_dir, f"{at}/in", late=(F.col("event_id") % 10 == 0) & (F.col("behind") < 10800))
+    rows = rows.select(F.col("user_id").alias("client"), (micros("ts") * 1000 + F.col("event_id") % 1000).alias("seq"), "ts", (F.col("event_type") == "error").alias("failed"), (F.col("value") / 20).alias("latency"))
+    return jobs.pace(rows, f"{at}/out", f"{at}/checkpoint", late="6 hours")()
+
+
+#: The ends of the weeks in which events are delivered, in seconds; files of a week.
+FILES = 8
+WEEKS = [1704067200 + 604800 * k for k in range(1, 5)]
+
+
+def deliveries(spark, sf_dir, at, late=None, again=None, lost=None):
+    """The events as a stream of files, a micro-batch a week in the order of time. What `late` holds for comes with the next week, what
+    `lost` holds for two weeks later, what `again` holds for comes a week later once more; all may use `behind`, the seconds
+    between an event and the end of its week."""
+    seconds, last = micros("ts") / 1000000, len(WEEKS) - 1
+    week = F.greatest(F.lit(0), F.least(F.floor((seconds - WEEKS[0]) / 604800) + 1, F.lit(last))).cast("int")
+    rows = table(spark, sf_dir, "events").withColumn("week", week)
+    rows = rows.withColumn("behind", F.array(*map(F.lit, WEEKS))[F.col("week")] - seconds)
+    given = lambda x, weeks: F.lit(False) if x is None else x & (F.col("week") + weeks <= last)
+    late, again, lost = given(late, 1), given(again, 1), given(lost, 2)
+    comes = F.array(F.col("week") + F.when(lost, 2).when(late, 1).otherwise(0), F.when(again, F.col("week") + 1))
+    rows = rows.withColumn("comes", F.explode(F.array_compact(comes))).drop("week", "behind")
+    for k in range(len(WEEKS)):
+        rows.where(F.col("comes") == k).drop("comes").repartition(FILES).write.mode("append").parquet(at)
+    return spark.readStream.schema(rows.drop("comes").schema).option("maxFilesPerTrigger", FILES).parquet(at)
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_distinct(spark, sf_dir):
+    """Events of which a third of the last two days of each week is delivered twice, each once."""
     at = folder(spark)
-    e = event_stream(spark, sf_dir)
-    rows = e.select(F.col("user_id").alias("client"), (micros("ts") * 1000 + F.col("event_id") % 1000).alias("seq"), (F.col("event_type") == "error").alias("failed"), (F.col("value") / 20).alias("latency"))
-    return jobs.pace(rows, f"{at}/out", f"{at}/checkpoint")()
+    rows = deliveries(spark, sf_dir, f"{at}/in", again=(F.col("event_id") % 3 == 0) & (F.col("behind") < 172800))
+    return jobs.distinct_stream(rows, f"{at}/out", f"{at}/checkpoint", ["event_id"], late="8 days")().select("event_id", "user_id", "event_type")
+
+
+@query(f"""WITH e AS (SELECT *, epoch_us(ts) AS us, greatest(0, least((epoch_us(ts) // 1000000 - {WEEKS[0]} + 604800) // 604800, 3)) AS week FROM events),
+    d AS (SELECT *, ({WEEKS[0]} + week * 604800) * 1000000 - us AS behind FROM e),
+    w AS (SELECT us // 3600000000 - unnest(range(0, 6)) AS h FROM d WHERE event_type = 'purchase' AND NOT (week < 2 AND event_id % 10 = 1 AND behind BETWEEN 172800000000 AND 345600000000))
+    SELECT h * 3600 AS start, count(*) AS n, count(*) / 360.0::DOUBLE AS per_minute FROM w
+    WHERE (h + 6) * 3600000 <= (SELECT max(us) // 1000 FROM d WHERE event_type = 'purchase') - 21600000 GROUP BY 1""")
+def stream_throughput(spark, sf_dir):
+    """The sliding windows on a stream, in append mode: events that come three hours late still count, those that come a week late no longer, and
+    the last windows stay open."""
+    at, i, behind = folder(spark), F.col("event_id") % 10, F.col("behind")
+    rows = deliveries(spark, sf_dir, f"{at}/in", late=(i == 0) & (behind < 10800), lost=(i == 1) & behind.between(172800, 345600))
+    rows = rows.where("event_type = 'purchase'").withColumn("ts", F.col("ts").cast("timestamp"))
+    read = jobs.throughput_stream(rows, f"{at}/out", f"{at}/checkpoint", window="360 minutes", slide="60 minutes", late="6 hours")
+    return read().select((F.unix_micros("start") / 1000000).cast("long").alias("start"), "n", "per_minute")

@@ -15,6 +15,7 @@ TABLES = {
     "match_bans": "match_uid STRING, round_idx INT, battle_side INT, hero_id INT, is_pick INT",
     "match_players": "match_uid STRING, player_uid BIGINT, camp INT, cur_hero_id INT, k INT, d INT, a INT, total_hero_damage DOUBLE, total_hero_heal DOUBLE, total_damage_taken DOUBLE, is_win INT, add_score DOUBLE, new_score DOUBLE, level INT, new_level INT, session_hit_rate DOUBLE",
     "match_player_heroes": "match_uid STRING, player_uid BIGINT, hero_id INT, k INT, d INT, a INT, play_time DOUBLE",
+    "hero_coverage": "hero_id INT, covered BIGINT",
 }
 KEYS = {
     "players": ["uid"],
@@ -23,7 +24,10 @@ KEYS = {
     "match_bans": ["match_uid", "round_idx", "battle_side", "hero_id"],
     "match_players": ["match_uid", "player_uid"],
     "match_player_heroes": ["match_uid", "player_uid", "hero_id"],
+    "hero_coverage": ["hero_id"],
 }
+#: The column by whose hash a table is cut into parts: what belongs to one match lies in one part of each table.
+PARTED = {name: key[0] for name, key in KEYS.items()}
 #: Columns whose first value stays; all others take the latest, null included.
 FIRST_WINS = {"players": ["discovery_hero_id", "created_at"], "heroes": ["first_seen_at"]}
 

@@ -53,8 +53,9 @@ def newest(rows, *keys):
 
 
 def status(rows):
-    """The HTTP status of responses; those that came without one were successes."""
-    return F.col("http_status") if "http_status" in rows.columns else F.lit(200)
+    """The HTTP status of responses; those that came with a body but without a status were successes."""
+    given = F.when(F.col("raw").isNotNull(), 200)
+    return F.coalesce("http_status", given) if "http_status" in rows.columns else given
 
 
 def once(raw, parsed, name):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 
 from ..operators import folds
 from ..operators.ingest import ingest
@@ -28,36 +30,148 @@ def throughput(finished, window="10 minutes", slide="1 minute", late="10 minutes
     return counts.select(F.col("window.start").alias("start"), "n", (F.col("n") / F.lit(minutes)).alias("per_minute"))
 
 
-def pace(responses, sink, checkpoint):
-    """Keep (client, delay, streak, n) of a stream of (client, seq, failed, latency) in the folder `sink`.
+#: The state store that stateful operators need; what a pace's state holds.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SETTLED, PENDING = "delay DOUBLE, streak INT, n BIGINT", "seq BIGINT, at BIGINT, failed BOOLEAN, slow BOOLEAN"
 
-    The state of a client, three numbers, is in versions there: each micro-batch folds its responses,
-    in the order of seq, from the version before it into a new one, so a batch that is run again
-    changes nothing twice. Spark can't sort a stream before a state function; within a micro-batch it
-    can, and no task holds a client's responses. Returns a function that reads the result.
+
+class PaceProcessor(StatefulProcessor):
+    """The pace of one client from one micro-batch to the next.
+
+    A value holds what is settled, a list the responses that the watermark has not passed, among which a late one may
+    still have to be put in its place by seq. Each micro-batch emits the pace as it is with all responses so far. A
+    timer settles the rest of a client that falls silent, and forgets one that has been idle for `idle` milliseconds (0: never).
+    """
+
+    def __init__(self, idle=0):
+        self.idle = idle
+
+    def init(self, handle):
+        self.handle = handle
+        self.settled, self.pending = handle.getValueState("settled", SETTLED), handle.getListState("pending", PENDING)
+
+    def before(self):
+        return tuple(self.settled.get()) if self.settled.exists() else (folds.START, 0, 0)
+
+    def fold(self, state, rows):
+        delay, streak, n = state
+        for _, _, failed, slow in rows:
+            delay, streak = folds.delay_step((delay, streak), failed, slow)
+        return delay, streak, n + len(rows)
+
+    def settle(self, rows, watermark):
+        """Fold the responses that nothing can come before any more; returns the state and the others."""
+        cut = next((i for i, r in enumerate(rows) if r[1] >= watermark), len(rows))
+        state = self.fold(self.before(), rows[:cut])
+        self.settled.update(state)
+        if cut < len(rows):
+            self.pending.put(rows[cut:])
+        elif self.pending.exists():
+            self.pending.clear()
+        return state, rows[cut:]
+
+    def handleInputRows(self, key, rows, timerValues):
+        found = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
+        for batch in rows:
+            found += zip(batch["seq"].tolist(), batch["at"].tolist(), batch["failed"].tolist(), batch["slow"].tolist())
+        found.sort(key=lambda r: (r[0], r[2], r[3]))
+        state, rest = self.settle(found, timerValues.getCurrentWatermarkInMs())
+        last = max(r[1] for r in found)
+        for at in self.handle.listTimers():
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(last + 1)
+        yield pd.DataFrame([(*key, *self.fold(state, rest))], columns=["client", "delay", "streak", "n"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        if self.pending.exists():
+            self.settle(sorted((tuple(r) for r in self.pending.get()), key=lambda r: (r[0], r[2], r[3])), now)
+            if self.idle:
+                self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.idle)
+        elif self.idle:
+            self.settled.clear()
+        return iter(())
+
+
+def pace(responses, sink, checkpoint, ts="ts", late="10 minutes", idle=0):
+    """Keep (client, delay, streak, n) of a stream of (client, seq, ts, failed, latency) in the folder `sink`.
+
+    seq orders a client's responses and grows with their time. The state of each client is in Spark's state store; a
+    micro-batch writes the clients that it touched, as one version there, so that a batch that is run again writes the same
+    once more. A response that comes later than `late` after newer ones is dropped, if it is older than the watermark by then; one
+    that comes before that is put in its place. A task holds the responses of one client that are not settled. Returns a function that reads the result.
     """
     spark = responses.sparkSession
-    state = {"delay": "double", "streak": "int", "n": "long"}
     kind = responses.schema["client"].dataType.simpleString()
-    schema = f"client {kind}, " + ", ".join(f"{c} {k}" for c, k in state.items())
-
-    def step(now, failed, slow, *before):
-        if before[0] is not None:
-            return before
-        return *folds.delay_step(now[:2], failed, slow), now[2] + 1
+    out = f"client {kind}, delay double, streak int, n long"
+    rows = responses.withColumn("ts", F.col(ts).cast("timestamp")).withWatermark("ts", late)
+    failed, slow = folds.troubles()
+    rows = rows.select("client", F.col("seq").cast("long").alias("seq"), "ts", F.unix_millis("ts").alias("at"), failed, slow)
+    states = rows.groupBy("client").transformWithStateInPandas(PaceProcessor(idle), outputStructType=out, outputMode="Update", timeMode="EventTime")
 
     def batch(df, n):
-        rows = df.select("client", F.lit(1).alias("turn"), "seq", "failed", "latency")
-        if n:
-            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{sink}/v{n - 1}").withColumn("turn", F.lit(0)), allowMissingColumns=True)
-        else:
-            rows = rows.withColumns({c: F.lit(None).cast(k) for c, k in state.items()})
-        folds.folded(rows, ["turn", "seq", "failed", "latency"], [*folds.troubles(), *state], (folds.START, 0, 0), step, state).write.mode("overwrite").parquet(f"{sink}/v{n}")
-
-    query = responses.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        df.write.mode("overwrite").parquet(f"{sink}/v{n}")
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        query = states.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return lambda: latest_versions(spark, sink, out, ["client"])
+
+
+def latest_versions(spark, sink, schema, key):
+    """Of each key the row of the newest version in a folder that has it; empty before the first."""
+    versions = whole_versions(spark, sink)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(*(f"{sink}/v{n}" for n in versions))
+    version = F.regexp_extract(F.col("_metadata.file_path"), r"/v([0-9]+)/[^/]*$", 1).cast("long")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in key)), version).alias("_row")).select(*key, "_row.*")
+
+
+def distinct_stream(events, sink, checkpoint, key, ts="ts", late="1 day"):
+    """Append each event of a stream once to the folder `sink`, however often it is delivered within `late`: the state
+    holds a key only until the watermark has passed it. The sink commits each micro-batch once. Returns a function that reads the result."""
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
+    query = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return lambda: rows.sparkSession.read.schema(rows.schema).parquet(sink)
+
+
+def throughput_stream(finished, sink, checkpoint, **windows):
+    """Append the windows of throughput() to the folder `sink` as the watermark closes them. An event counts in the windows
+    that are still open when it comes. Returns a function that reads the result."""
+    counts = throughput(finished, **windows)
+    query = counts.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return lambda: counts.sparkSession.read.schema(counts.schema).parquet(sink)
+
+
+class Progress(StreamingQueryListener):
+    """Says a line for each micro-batch of the session's streams that had rows, and one when a stream ends."""
 
-    return lambda: newest(spark, sink, schema)
+    def __init__(self, say=print):
+        self.say = say
+
+    def onQueryStarted(self, event):
+        self.say(f"stream {event.name or event.id} started")
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        seen = {k: r.asDict() for k, r in (p.observedMetrics or {}).items()}
+        if p.numInputRows or seen:
+            told = "".join(f" {name}: " + " ".join(f"{k}={v}" for k, v in sorted(values.items())) for name, values in sorted(seen.items()))
+            self.say(f"batch {p.batchId}: {p.numInputRows} rows, {p.processedRowsPerSecond or 0:.0f}/s{told}")
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.say(f"stream {event.id} " + ("failed: " + event.exception.splitlines()[0] if event.exception else "ended"))
 
 
 def latest_stream(events, sink, checkpoint, key, order):
@@ -76,12 +190,17 @@ def latest_stream(events, sink, checkpoint, key, order):
     return lambda: newest(spark, sink, events.schema)
 
 
-def newest(spark, sink, schema):
-    """The newest whole version in a folder of versions, whichever run wrote it; empty before the first."""
+def whole_versions(spark, sink):
+    """Numbers of the whole versions in a folder of versions."""
     found = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/v*/_SUCCESS")
     found = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found) or []
-    last = max((int(f.getPath().getParent().getName()[1:]) for f in found), default=None)
-    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{sink}/v{last}")
+    return sorted(int(f.getPath().getParent().getName()[1:]) for f in found)
+
+
+def newest(spark, sink, schema):
+    """The newest whole version in a folder of versions, whichever run wrote it; empty before the first."""
+    versions = whole_versions(spark, sink)
+    return spark.read.schema(schema).parquet(f"{sink}/v{versions[-1]}") if versions else spark.createDataFrame([], schema)
 
 
 def run_until(query, stop, poll=1.0):

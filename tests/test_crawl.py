@@ -89,6 +89,26 @@ def test_flat_array_oddities():
     assert unflatten(json.dumps(deep[:1] + [{"p": 2}] + deep[2:900] + ["end"])).endswith(']')
 
 
+def test_flat_arrays_resolve_natively(spark):
+    """The recursive query gives what the resolver in Python gives: shared and cyclic references, wrappers, oddities."""
+    import random
+
+    from tarnwater.functions.devalue_native import resolved
+
+    rnd, docs = random.Random(8), []
+    for _ in range(150):
+        n = rnd.randint(2, 9)
+        ref = lambda: rnd.choice([rnd.randint(1, n), rnd.randint(1, n), rnd.randint(1, n), -1, n + 5, "s", None, True])  # noqa: B023, E731
+        slot = lambda: rnd.choice([[ref() for _ in range(rnd.randint(0, 3))], {k: ref() for k in rnd.sample("abcé", rnd.randint(0, 3))}, [rnd.choice(sorted(["Reactive", "Ref", "Date", "other"])), ref()], 'q"\\\n', "v", 7, -3, False, None])  # noqa: B023, E731
+        docs.append(json.dumps([{"data": ref()} | rnd.choice([{}, {"x": 1}])] + [slot() for _ in range(n)], ensure_ascii=False))
+    docs += ["", "{}", "[]", "[1]", "null", "[{}]", None, "[1", '[{"data":{"a":1}},5]', '[{"data":1},["Ref",2],["Ref",1]]', '[{"data":1},{"a":2},[2,3,3],"y"]']
+    rows = spark.createDataFrame(list(enumerate(docs)), "id int, raw string")
+    got = {r.id: r.resolved for r in resolved(rows).collect()}
+    want = {i: None if d is None else unflatten(d) for i, d in enumerate(docs)}
+    wrong = [(docs[i], got[i], want[i]) for i in want if got[i] != want[i]]
+    assert not wrong, wrong[:3]
+
+
 def test_boards_and_profiles(spark):
     board = flat({"players": [{"name": "a", "uid": "7", "rank": {"rank_game_id": 19}}, {"name": "b", "uid": "x", "rank": {"rank_game_id": 19}}]})
     rows = spark.createDataFrame([(board,)], "raw string")
@@ -251,9 +271,69 @@ def test_folds_gather_no_log(spark):
         assert "collect_list" not in df._jdf.queryExecution().toString()
 
 
+def paced(steps, state=(1.0, 0)):
+    for kind in steps:
+        state = folds.delay_step(state, kind == folds.FAILED, kind == folds.TARDY)
+    return state
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([folds.FAST, folds.FAST, folds.TARDY, folds.FAILED]), st.integers(1, 90)), max_size=12), st.integers(1, 4), st.floats(0.2, 8.0), st.integers(0, 5))
+def test_maps_of_stretches(runs, cut, delay, streak):
+    """Put together, the maps of the stretches of a log do what its steps do, bit for bit, to any state."""
+    steps, maps, whole = [k for k, n in runs for _ in range(n)], [], folds.Pace()
+    for a in range(0, len(runs), cut):
+        m = folds.Pace()
+        for run in runs[a : a + cut]:
+            m.add(*run)
+        maps.append(m.state())
+        whole.then(m)
+    state = delay, streak
+    for m in maps:
+        state = folds.applied(state, *m)
+    assert state == paced(steps, (delay, streak)) == folds.applied((delay, streak), *whole.state())
+    assert not whole.met or not whole.runs
+
+
+def test_a_large_client_is_spread_over_tasks(spark):
+    log = spark.range(40000).selectExpr("1L AS client", "id AS seq", "double(id) AS at", "xxhash64(id) % 5 = 0 AS failed", "double(abs(xxhash64(id, 1L)) % 30) / 10 AS latency")
+    size = log.sparkSession.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    log.sparkSession.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        maps, rows = folds.pace_maps(log), folds.circuit_log(log)
+        found = maps.collect()
+        assert len({r.part for r in found}) == 4 and len(found) == 4 and all(r.met and not r.kinds for r in found)  # one constant each
+        counts = [r["count"] for r in rows.groupBy("part").count().collect()]
+        assert len(counts) == 4 and max(counts) < 2 * min(counts) and sum(counts) < 20000
+        state = (1.0, 0)
+        for r in log.orderBy("seq").collect():
+            state = folds.delay_step(state, r.failed, r.latency > 2)
+        assert tuple(folds.adaptive_delay(log).first())[1:] == state
+    finally:
+        log.sparkSession.conf.set("spark.sql.adaptive.coalescePartitions.enabled", size)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.sampled_from([None, 0.0, 1.0, 2.0, 5.0, 9.0, float("nan")]), st.booleans() | st.none(), st.booleans()), max_size=40))
+def test_circuit_is_a_replay(spark, responses):
+    state = {}
+    for client, at, failed, bad in responses:
+        failures, unreadable, openings, until = state.get(client, (0, 0, 0, None))
+        if not (at is not None and until is not None and at < until):
+            failures = failures + 1 if failed else 0
+            unreadable = unreadable if failed else unreadable + 1 if bad else 0
+            if failures >= 2 and failed or bad and not failed and unreadable >= 2:
+                openings, until = openings + 1, None if at is None or at != at else at + 3
+        state[client] = failures, unreadable, openings, until
+    log = spark.createDataFrame([(c, i, *r) for i, (c, *r) in enumerate(responses)], "client int, seq int, at double, failed boolean, bad_json boolean")
+    got = {r.client: (r.failures, r.unreadable, r.openings, r.open_until) for r in folds.circuit(log, threshold=2, cooldown=3).collect()}
+    assert got == state
+
+
 def test_pace_from_batch_to_batch(spark, tmp_path):
     """The state goes on from one micro-batch and start to the next; null and NaN count as in the batch form."""
     log = spark.createDataFrame([(i % 3, i, i % 5 == 0 if i % 7 else None, [0.1, None, float("nan"), 2.5][i * 7 % 4 if i % 3 else 0]) for i in range(240)], "client long, seq long, failed boolean, latency double")
+    log = log.withColumn("ts", F.timestamp_seconds(F.col("seq") + 1000))
     out, check, landed = (str(tmp_path / x) for x in ("out", "check", "landed"))
     (tmp_path / "landed").mkdir()
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(landed)
@@ -299,6 +379,47 @@ def test_store_versions(spark, tmp_path):
         Store.readonly(spark, path).commit({})
 
 
+def parts_of(store):
+    return {name: dict(at) for name, at in store.manifest()["tables"].items()}
+
+
+def test_a_batch_writes_the_parts_it_touches(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), parts=8)
+    ingest.ingest(store, raw(spark, [match(f"m{i}", players=1) | {"match_players": [{"player_uid": i, "cur_hero_id": 5.0, "player_heroes": [{"hero_id": 5.0}]}]} for i in range(60)]), 19, 50)
+    before = parts_of(store)
+    assert all(len(before[n]) == 8 for n in ("matches", "match_players", "match_player_heroes", "players"))
+    ingest.ingest(store, raw(spark, [match("m7", players=1) | {"match_players": [{"player_uid": 7, "k": 3.0, "cur_hero_id": 5.0, "player_heroes": [{"hero_id": 5.0}, {"hero_id": 6.0}]}]}]), 19, 60)
+    after = parts_of(store)
+    for name in ("matches", "match_bans", "match_players", "match_player_heroes", "players", "heroes"):
+        assert sum(after[name][p] != before[name].get(p) for p in after[name]) == (1 if name != "heroes" else len({p for p in after[name] if after[name][p] != before[name].get(p)})), name
+    assert store.read("matches").count() == 60 and store.read("match_players").where("k = 3").count() == 1
+    assert {tuple(r) for r in store.read("hero_coverage").collect()} == {(5, 60), (6, 1)}
+    assert Store(spark, str(tmp_path / "store"), parts=99).parts == 8  # a store keeps its number of parts
+
+
+def test_old_versions_go(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), parts=2)
+    for i in range(5):
+        store.commit({"heroes": spark.createDataFrame([(h, i) for h in range(20)], "hero_id int, first_seen_at long")})
+    files = lambda: sorted(str(p.relative_to(tmp_path)) for p in (tmp_path / "store" / "heroes").glob("*/part=*"))
+    assert len(files()) == 10 and store.vacuum() == 0  # all are young
+    assert store.vacuum(now=10**10) == 8 and len(files()) == 2 and store.read("heroes").where("first_seen_at = 4").count() == 20
+    assert store.vacuum(now=10**10) == 0 and store.version() == 4
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2), st.integers(0, 2)), max_size=5), min_size=1, max_size=3))
+def test_kept_coverage_is_the_full_count(spark, batches):
+    import tempfile
+
+    store = Store(spark, tempfile.mkdtemp(), parts=2)
+    for batch in batches:
+        docs = [match(f"m{m}", players=0) | {"match_players": [{"player_uid": p, "player_heroes": [{"hero_id": float(h)}, {"hero_id": float(h)}]}]} for m, p, h in batch]
+        ingest.ingest(store, raw(spark, docs), 19, 5)
+    full = frontier.coverage(store.read("match_player_heroes"), "hero_id")
+    assert sorted(map(tuple, store.read("hero_coverage").collect())) == sorted(map(tuple, full.collect()))
+
+
 def test_ingest_is_idempotent_and_keeps_first_tags(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     seeded = spark.createDataFrame([(500, None, "done", 3), (501, 77, "pending", 3)], "uid long, discovery_hero_id int, crawl_status string, created_at long")
@@ -314,6 +435,70 @@ def test_ingest_is_idempotent_and_keeps_first_tags(spark, tmp_path):
     assert people[500].latest_known_score == 4000.0 and store.read("match_players").count() == 13
 
 
+def land(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+
+
+def test_pace_puts_late_responses_in_their_place(spark, tmp_path):
+    """A response that comes a batch late is folded where it belongs; a restart goes on; untouched clients aren't written again."""
+    schema = "client long, seq long, ts timestamp, failed boolean, latency double"
+    at = lambda s: __import__("datetime").datetime.fromtimestamp(10**6 + s)
+    every = [(c, i, at(i), (i * c) % 4 == 1, 0.1) for c in (1, 2) for i in range(40)]
+    late = [r for r in every if r[0] == 1 and r[1] in (12, 17)]
+    first = [r for r in every if r[1] < 20 and r not in late]
+    second = late + [r for r in every if r[0] == 1 and r[1] >= 20]
+    paths = {x: str(tmp_path / x) for x in ("in", "out", "check")}
+    for k, rows_ in enumerate((first, second)):
+        land(spark, paths["in"], rows_, schema)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(paths["in"])
+        read = jobs.pace(stream, paths["out"], paths["check"], late="15 seconds")
+    want = {(c, *paced([folds.FAILED if f else folds.FAST for x, i, _, f, _ in every if x == c and (c == 1 or i < 20)]), 40 if c == 1 else 20) for c in (1, 2)}
+    assert {tuple(r) for r in read().collect()} == want
+    written = [sorted({r.client for r in spark.read.schema("client long").parquet(f"{paths['out']}/v{n}").collect()}) for n in jobs.whole_versions(spark, paths["out"])]
+    assert [w for w in written if w] == [[1, 2], [1]]
+
+
+def test_idle_clients_are_forgotten(spark, tmp_path):
+    schema = "client long, seq long, ts timestamp, failed boolean, latency double"
+    at = lambda s: __import__("datetime").datetime.fromtimestamp(10**6 + s)
+    for rows_ in ([(1, 0, at(0), True, 0.1), (2, 0, at(0), True, 0.1)], [(2, 1, at(500), True, 0.1)], [(2, 2, at(9000), True, 0.1)], [(1, 9, at(9001), True, 0.1)]):
+        land(spark, tmp_path / "in", rows_, schema)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        read = jobs.pace(stream, str(tmp_path / "out"), str(tmp_path / "check"), late="1 second", idle=1000000)
+    assert {tuple(r)[0]: tuple(r)[1:] for r in read().collect()}[1] == (2.0, 0, 1)  # begun anew
+
+
+def test_run_until_stops_between_batches(spark, tmp_path):
+    for i in range(3):
+        land(spark, tmp_path / "in", [(i,)], "i int")
+    seen = []
+    start = lambda: spark.readStream.schema("i int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).writeStream.foreachBatch(lambda df, n: seen.append(df.count())).option("checkpointLocation", str(tmp_path / "check"))
+    query = start().start()
+    assert not jobs.run_until(query, lambda: len(seen) >= 1, poll=0.05) and not query.isActive
+    before = len(seen)
+    assert jobs.run_until(start().trigger(availableNow=True).start(), lambda: False, poll=0.05)
+    assert before >= 1 and sum(seen) == 3  # what was stopped goes on where it was
+
+
+def test_streams_say_what_they_do(spark, tmp_path):
+    import time
+
+    said = []
+    listener = jobs.Progress(said.append)
+    spark.streams.addListener(listener)
+    try:
+        land(spark, tmp_path / "in", [(1,), (2,)], "i int")
+        query = spark.readStream.schema("i int").parquet(str(tmp_path / "in")).observe("seen", F.max("i").alias("top")).writeStream.format("noop").queryName("numbers").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        for _ in range(100):
+            if said and said[-1].endswith("ended"):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert said[0] == "stream numbers started" and said[1].startswith("batch 0: 2 rows, ") and said[1].endswith(" seen: top=2") and said[-1].endswith(" ended")
+
+
 def test_streams(spark, tmp_path):
     for i, docs in enumerate(([match()], [match("m2"), match("m3", players=2)])):
         raw(spark, docs).withColumn("seq", F.col("seq") + 10 * i).coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
