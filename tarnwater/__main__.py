@@ -12,20 +12,28 @@ from .operators import crawl, metrics
 from .operators.store import Store
 from .sources.payloads import Landed, current_season
 
+#: The names of the options.
+STORE, STATUS, LANDED, WORKERS, BATCH, RESEED = "--store", "--status", "--landed", "--workers", "--batch", "--reseed-interval-hours"
+
+
+def positive(text):
+    n = int(text)
+    if n <= 0:
+        raise argparse.ArgumentTypeError(f"{n} is not above 0")
+    return n
+
 
 def main(argv=None):
     parser = argparse.ArgumentParser(prog="tarnwater")
-    parser.add_argument("--store", required=True, help="folder of the tables")
-    parser.add_argument("--status", action="store_true", help="print the progress line and end; the store is only read")
-    parser.add_argument("--landed", help="folder of landed responses")
-    parser.add_argument("--workers", type=int, default=1)
-    parser.add_argument("--batch", type=int, default=1000, help="players that a worker takes in a round")
-    parser.add_argument("--reseed-interval-hours", type=float, default=24.0)
+    parser.add_argument(STORE, required=True, help="folder of the tables")
+    parser.add_argument(STATUS, action="store_true", help="only say where the crawl stands")
+    parser.add_argument(LANDED, help="folder of landed responses, to crawl from")
+    parser.add_argument(WORKERS, type=positive, default=1)
+    parser.add_argument(BATCH, type=positive, default=1000, help="players of a round, for each worker")
+    parser.add_argument(RESEED, type=float, default=24.0)
     args = parser.parse_args(argv)
-    if args.workers < 1:
-        parser.error("--workers must be at least 1")
-    if not args.status and not args.landed:
-        parser.error("--landed is needed, or --status")
+    if not (args.status or args.landed):
+        parser.error(f"one of {STATUS} and {LANDED} is needed")
     spark = SparkSession.builder.appName("tarnwater").getOrCreate()
     if args.status:
         print(metrics.progress(Store.readonly(spark, args.store), int(time.time())))
@@ -34,7 +42,7 @@ def main(argv=None):
     before = {s: signal.signal(s, lambda *_: stopped.append(True)) for s in (signal.SIGINT, signal.SIGTERM)}
     try:
         source, store = Landed(spark, args.landed), Store(spark, args.store)
-        season = current_season(source.read("global_board"))
+        season = current_season(source.boards()[1])
         crawl.run(store, source, season, lambda: bool(stopped), None, args.reseed_interval_hours * 3600, args.workers, args.batch)
         print(metrics.progress(store, int(time.time())))
     finally:

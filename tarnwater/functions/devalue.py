@@ -10,6 +10,9 @@ from pyspark.sql.types import StringType
 
 #: Tags of two-element arrays that stand for the value referred to.
 WRAPPERS = frozenset(["Reactive", "ShallowReactive", "Ref", "ShallowRef", "EmptyRef", "EmptyShallowRef"])
+#: Places of the output that are filled at most: shared entries are written at each of their places, and a few
+#: nested ones would make a short text endless.
+MOST = 1 << 20
 
 
 def unflatten(text):
@@ -17,7 +20,8 @@ def unflatten(text):
 
     Works through the slots with a stack, so depth is no limit. A reference back into a container
     that is still open is null in the output, as JSON has no cycles; so are negative references,
-    which stand for absent values. None if the text is no such array.
+    which stand for absent values. None if the text is no such array, or if its output would have more
+    than MOST places.
     """
     try:
         slots = json.loads(text)
@@ -45,13 +49,16 @@ def unflatten(text):
                 return value, x
         return x, None
 
-    holder = [None]
+    holder, filled = [None], 0
     work, open_ = [("fill", root, holder, 0)], set()
     while work:
         what, ref, target, place = work.pop()
         if what == "close":
             open_.discard(ref)
             continue
+        filled += 1
+        if filled + len(work) > MOST:
+            return None
         value, slot = follow(ref)
         if isinstance(value, (list, dict)) and slot is not None:
             if slot in open_:

@@ -67,7 +67,7 @@ def eta(pending, per_minute):
 
 
 def eta_text(unit, amount):
-    """The one formatted value, on the driver."""
+    """The one formatted value, on the driver; its formats are fixed."""
     return {"empty": "queue empty", "unknown": "unknown (no recent throughput)"}.get(unit) or {"minutes": f"~{amount:.0f}m", "hours": f"~{amount:.1f}h", "days": f"~{amount:.1f}d"}[unit]
 
 

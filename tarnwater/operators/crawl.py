@@ -53,9 +53,10 @@ def to_fetch(seen, claimed, pages, known, full=payloads.PAGE_SIZE):
 
 def complete(seen, troubles):
     """The ends of visits (uid, outcome, skip, pos): one that is done as far as its profile goes is an error, or
-    limited, where its history or a wanted match has no final answer; where is the place of the first such."""
+    limited, where its history or a wanted match has no final answer (waiting, where it is only not there yet); where is the place
+    of the first such."""
     rows = seen.join(troubles.withColumnRenamed("kind", "trouble"), "uid", "left")
-    outcome = F.when((F.col("outcome") != "done") | F.col("trouble").isNull(), F.col("outcome")).when(F.col("trouble") == "limited", "limited").otherwise("error")
+    outcome = F.when((F.col("outcome") != "done") | F.col("trouble").isNull(), F.col("outcome")).when(F.col("trouble") == "limited", "limited").when(F.col("trouble") == "waiting", "waiting").otherwise("error")
     return rows.select("uid", outcome.alias("outcome"), "skip", "pos")
 
 
@@ -63,7 +64,7 @@ def complete(seen, troubles):
 Round = namedtuple("Round", "rejected finished released")
 
 
-def visit(store, profiles, pages, details, season, now, full=payloads.PAGE_SIZE):
+def visit(store, profiles, pages, details, season, now, full=payloads.PAGE_SIZE, waits=False):
     """Finish the visits of all claimed players, or put them back; returns a Round.
 
     Every match that was landed for one of the visits is merged, in one commit; profiles and statuses come in
@@ -72,24 +73,33 @@ def visit(store, profiles, pages, details, season, now, full=payloads.PAGE_SIZE)
     it ends as an error (a page or match has failed or was never landed), or the player is put back (limited).
     As matches of such a visit may be stored by then, a next visit that stopped at the first known one would never
     come to the rest: the stamp of the last visit goes, so that the next one reads the whole history.
+
+    waits: responses come in bit by bit. Only players whose profile has landed since they were claimed are visited, and a
+    visit to which a page or match is not there yet stays claimed (until it is put back as an orphan).
     """
     claimed = store.read("players").where("crawl_status = 'claimed'")
+    if waits:
+        seen_at = payloads.newest(profiles, "uid").select("uid", F.col("landed_at").alias("_at"))
+        claimed = claimed.join(seen_at, "uid").where("_at >= claimed_at * 1000000").drop("_at")
     told, counts = Observation("visits"), F.col("status").isNotNull()
     with store.staged(visits(claimed, profiles, season)) as seen, store.staged(payloads.answers(details)) as answers:
         reached, found = read_histories(seen, claimed, pages, store.read("matches"), full)
         with store.staged(found.drop("page_size")) as found:
             wanted = history.work_list(found.where(history.FETCHED).drop("is_known", "revisit", "met"))
-            first = history.troubles(found, reached, seen.where("outcome = 'done'"), answers, full)
+            first = history.troubles(found, reached, seen.where("outcome = 'done'"), answers, full, "waiting" if waits else "failed")
             ends = complete(seen, first).join(seen.select("uid", F.col("outcome").alias("at_first")), "uid")
+            waiting = F.col("outcome") == "waiting"
             ended = F.when(F.col("outcome") == "error", "fetch_failed").when(F.col("outcome") == "limited", "limited").otherwise("finished")
             status, released, _ = states.route("ended")
-            ends = ends.withColumn("ended", ended).select("uid", F.when(status == "done", F.col("outcome")).otherwise(status).alias("status"), released.alias("released"), (F.col("at_first") == "done").alias("read"))
+            status = F.when(waiting, None).when(status == "done", F.col("outcome")).otherwise(status)
+            ends = ends.withColumn("ended", ended).select("uid", status.alias("status"), released.alias("released"), waiting.alias("waiting"), (F.col("at_first") == "done").alias("read"))
             with store.staged(ends.observe(told, F.count_if(counts).alias("finished"), F.count_if("released").alias("released"))) as ends:
                 merged = history.with_details(wanted.select("match_uid", "map_id"), answers.where("kind IN ('ok', 'malformed')").select("match_uid", "raw")).where("raw IS NOT NULL")
                 rejected = ingest(store, merged.select("raw", F.lit(now).cast("long").alias("seq"), "map_id"), season, now)
                 players = upsert(store.read("players"), seen.where("profiled").select("uid", *PROFILE).withColumn("seq", F.lit(now)), "players")
                 players = states.finish(players, ends.select("uid", F.col("status").alias("outcome")), now)
-                store.commit({"players": states.put_back(players, ends.where("released").select("uid", "read"))})
+                players = states.put_back(players, ends.where("released").select("uid", "read"))
+                store.commit({"players": states.reopened(players, ends.where("waiting"))})
     return Round(rejected, told.get["finished"], told.get["released"])
 
 
@@ -154,6 +164,8 @@ def run(store, source, season, stop=lambda: False, clock=None, interval=86400, w
         rounds += 1
         say(f"round {rounds}: {done.finished} visits finished, {done.released} put back; {metrics.progress(store, clock())}")
         idle = 0 if done.finished else idle + 1
-        if done.released and not stop():
-            sleep(rest)
+        waited = 0
+        while done.released and waited < rest and not stop():
+            sleep(min(1, rest - waited))
+            waited += 1
     return rounds

@@ -17,14 +17,14 @@ def chain(pages, full=20):
     return rows.withColumn("_ended", F.coalesce(before, F.lit(False))).where("_here AND NOT _ended").drop("_here", "_ended")
 
 
-def page_troubles(reached, wanted, full=20):
+def page_troubles(reached, wanted, full=20, absent="failed"):
     """(uid, skip, pos, kind) of the histories of `wanted` (uid) whose chain of pages isn't whole: where it breaks,
-    and whether the page has failed (or was never landed) or was limited. pos is -1, as a page comes before its entries."""
+    and whether the page has failed, was limited or was never landed (`absent`). pos is -1, as a page comes before its entries."""
     last = reached.groupBy("uid").agg(F.max("skip").alias("skip"), F.max_by("kind", "skip").alias("kind"), F.max_by("page_size", "skip").alias("n"))
     rows = wanted.select("uid").distinct().join(last, "uid", "left")
     at = F.when(F.col("kind") == "ok", F.col("skip") + full).otherwise(F.coalesce("skip", F.lit(0)))
     broken = F.col("kind").isNull() | (F.col("kind") != "ok") | (F.col("n") >= full)
-    return rows.where(broken).select("uid", at.cast("int").alias("skip"), F.lit(-1).alias("pos"), F.when(F.col("kind") == "limited", "limited").otherwise("failed").alias("kind"))
+    return rows.where(broken).select("uid", at.cast("int").alias("skip"), F.lit(-1).alias("pos"), F.when(F.col("kind") == "limited", "limited").when(F.col("kind").isNull() | (F.col("kind") == "ok"), absent).otherwise("failed").alias("kind"))
 
 
 def unknown(entries, known, key="match_uid"):
@@ -53,15 +53,15 @@ def scan(entries, known, visited):
     return marked(entries, known, visited).where(FETCHED).drop("is_known", "revisit", "met")
 
 
-def troubles(found, reached, wanted, answers, full=20):
+def troubles(found, reached, wanted, answers, full=20, absent="failed"):
     """(uid, skip, pos, kind): what keeps a visit from being whole, the first in the order of its reading: a page
-    that is missing, has failed or was limited, or an entry to fetch whose detail has no final answer.
+    that has failed, was limited or was never landed (`absent`), or an entry to fetch whose detail has no final answer.
     found: marked entries; answers: (match_uid, kind). A revisit reads no page behind a known entry."""
     stops = found.where("revisit AND is_known").groupBy("uid").agg(F.min(F.struct("skip", "pos")).alias("stop"))
-    pages = page_troubles(reached, wanted, full).join(stops, "uid", "left")
+    pages = page_troubles(reached, wanted, full, absent).join(stops, "uid", "left")
     pages = pages.where(F.col("stop").isNull() | (F.struct("skip", "pos") < F.col("stop"))).drop("stop")
-    kind = F.coalesce("kind", F.lit("failed"))
-    details = found.where(FETCHED).select("uid", "skip", "pos", "match_uid").join(answers.select("match_uid", "kind"), "match_uid", "left").where(kind.isin("failed", "limited"))
+    kind = F.coalesce("kind", F.lit(absent))
+    details = found.where(FETCHED).select("uid", "skip", "pos", "match_uid").join(answers.select("match_uid", "kind"), "match_uid", "left").where(kind.isin("failed", "limited", absent))
     every = pages.unionByName(details.select("uid", "skip", "pos", kind.alias("kind")))
     first = every.groupBy("uid").agg(F.min(F.struct(F.col("skip").cast("long").alias("skip"), F.col("pos").cast("long").alias("pos"), "kind")).alias("t"))
     return first.select("uid", "t.*")

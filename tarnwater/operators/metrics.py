@@ -42,7 +42,7 @@ def progress(store, now, window=600):
 
 
 def progress_line(players, matches, segments, now, window=600, counts=None):
-    """The one line that operators read. counts: (hero_id, covered), where it is kept already."""
+    """The one line that operators read; its format is fixed. counts: (hero_id, covered), where it is kept already."""
     statuses = sorted((r[0], r[1]) for r in status_counts(players).collect())
     low, median, high = spread(coverage(segments, "hero_id") if counts is None else counts).first()
     row = recent(players, now, window).crossJoin(players.agg(F.count_if(F.col("crawl_status") == "pending").alias("pending")))  # one row each

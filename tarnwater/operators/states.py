@@ -45,6 +45,12 @@ def put_back(rows, visits):
     return _put(marked, held, "pending", last=last, claimed=nothing()).drop("_read").select(rows.columns)
 
 
+def reopened(rows, visits):
+    """Claimed entries whose visits (uid) go on lose the stamp of the last one, so that they read the whole history."""
+    marked = rows.join(visits.select("uid").distinct().withColumn("_open", F.lit(True)), "uid", "left")
+    return _put(marked, F.coalesce("_open", F.lit(False)) & (F.col("crawl_status") == "claimed"), "claimed", last=nothing()).drop("_open").select(rows.columns)
+
+
 def finish(rows, outcomes, now, order=None):
     """outcomes (uid, outcome): the terminal status of each, stamped with now. Of several outcomes of
     one uid the last in `order` (a column) counts, without it the greatest by name."""

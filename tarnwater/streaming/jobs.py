@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 
-from ..operators import folds
+from ..operators import crawl, folds
 from ..operators.ingest import ingest
+from ..sources import payloads
 
 
 def ingest_stream(landed, store, season, now, checkpoint, **options):
@@ -22,6 +23,24 @@ def ingest_stream(landed, store, season, now, checkpoint, **options):
     return landed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True, **options).start()
 
 
+def crawl_stream(source, store, season, checkpoint, clock=None, full=payloads.PAGE_SIZE, say=print, options=None, **trigger):
+    """Start the crawl as a stream: whatever lands (profiles, pages or details) is a micro-batch, and each one goes on with the
+    visits of claimed players whose profiles have landed since. source: a Landed. A visit ends when all that it wants has an answer.
+    Claiming and requeueing are left to `claim` and `tick`, which may run beside it in between. A micro-batch that is run again
+    finds the visits that it had ended no longer claimed. Returns the query; `run_until` stops it between micro-batches."""
+    from time import time
+
+    clock = clock or (lambda: int(time()))
+    kinds = ("profiles", "pages", "details")
+    parts = [source.stream(k, **(options or {})).select("landed_at") for k in kinds]
+
+    def batch(df, n):
+        done = crawl.visit(store, *(source.read(k) for k in kinds), season, clock(), full, waits=True)
+        say(f"batch {n}: {done.finished} visits finished, {done.released} put back")
+
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def throughput(finished, window="10 minutes", slide="1 minute", late="10 minutes", ts="ts"):
     """(start, n, per_minute) over sliding windows of event time; works on streams and tables."""
     minutes = float(window.split()[0])

@@ -85,6 +85,9 @@ def test_flat_array_oddities():
     assert tell({"p": 2}, ["EmptyRef", 2]) == "null"
     assert tell({"a": 2, "b": 2}, "v") == '{"a":"v","b":"v"}'
     assert [unflatten(t) for t in ("", "{}", "[]", "[1]", "null", "[{}]")] == [None] * 6
+    doubled = [{"data": 1}, {"p": 2}] + [[k, k] for k in range(3, 60)] + ["x"]
+    assert unflatten(json.dumps(doubled)) is None  # 2**57 places
+    assert unflatten(json.dumps(doubled[:1] + [{"p": 2}] + [[k, k] for k in range(3, 12)] + ["x"])).count("x") == 2**9
     deep = [{"data": 1}] + [[i + 1] for i in range(1, 20000)] + ["end"]
     assert unflatten(json.dumps(deep[:1] + [{"p": 2}] + deep[2:900] + ["end"])).endswith(']')
 

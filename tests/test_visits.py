@@ -8,6 +8,7 @@ import pytest
 from tarnwater.operators import crawl
 from tarnwater.operators.store import Store
 from tarnwater.sources import landed, payloads
+from tarnwater.streaming import jobs
 
 RANK = json.dumps({"rank_game": {"level": 22.0, "rank_score": 5000.25}})
 
@@ -51,37 +52,44 @@ def visit(store, source, now=1000, full=3):
     return done, people, sorted(r.match_uid for r in store.read("matches").collect())
 
 
-@pytest.mark.parametrize("status,raw,want,stamp", [(503, None, "error", 1000), (429, None, "pending", None), (403, None, "pending", None), (200, "<html>", "error", 1000), (None, None, "error", 1000), (404, None, "done", 1000), (200, '{"match_uid": null}', "done", 1000)])
-def test_a_match_without_a_final_answer_keeps_its_visit_open(spark, tmp_path, status, raw, want, stamp):
-    """The newer match is stored; the failed one comes with the next visit, which reads the whole history again."""
-    store = store_of(spark, tmp_path / "store", 1, last=7)
-    pages = [(1, 0, 200, page("new", "lost"))]
-    answers = [("new", 200, detail("new"))] + ([("lost", status, raw)] if status else [])
-    done, people, matches = visit(store, Source(spark, [(1, 200, profile())], pages, answers))
-    assert people[1] == (want, stamp) and matches == ["new"]
-    assert (done.finished, done.released) == ((0, 1) if want == "pending" else (1, 0))
-    if want == "done":
-        return
-    source = Source(spark, [(1, 200, profile())], pages, answers + [("lost", 200, detail("lost"))])
-    crawl.tick(store, source.boards, 10**6, lambda x: None)
-    assert crawl.claim(store, 1, 10, 10**6) == 1
-    assert visit(store, source, 10**6 + 1)[1:] == ({1: ("done", 10**6 + 1)}, ["lost", "new"])
-
-
-@pytest.mark.parametrize("pages,want,matches", [
+ANSWERS = [(503, None, "error", 1000), (429, None, "pending", None), (403, None, "pending", None), (200, "<html>", "error", 1000), (None, None, "error", 1000), (404, None, "done", 1000), (200, '{"match_uid": null}', "done", 1000)]
+
+
+def test_a_match_without_a_final_answer_keeps_its_visit_open(spark, tmp_path):
+    """The newer match is stored; the failed one comes with the next visit, which reads the whole history again. One player a case."""
+    store = store_of(spark, tmp_path / "store", *range(len(ANSWERS)), last=7)
+    profiles = [(k, 200, profile()) for k in range(len(ANSWERS))]
+    pages = [(k, 0, 200, page(f"new{k}", f"lost{k}")) for k in range(len(ANSWERS))]
+    answers = [(f"new{k}", 200, detail(f"new{k}")) for k in range(len(ANSWERS))] + [(f"lost{k}", status, raw) for k, (status, raw, *_) in enumerate(ANSWERS) if status]
+    done, people, matches = visit(store, Source(spark, profiles, pages, answers))
+    assert people == {k: (want, stamp) for k, (*_, want, stamp) in enumerate(ANSWERS)} and matches == [f"new{k}" for k in range(len(ANSWERS))]
+    assert (done.finished, done.released) == (5, 2)
+    open_ = [k for k, (*_, want, _) in enumerate(ANSWERS) if want != "done"]
+    source = Source(spark, profiles, pages, answers + [(f"lost{k}", 200, detail(f"lost{k}")) for k in open_])
+    crawl.tick(store, source.boards, 10000, lambda x: None)
+    assert crawl.claim(store, 1, 10, 10000) == len(open_)
+    _, people, matches = visit(store, source, 10001)
+    assert all(people[k] == ("done", 10001 if k in open_ else 1000) for k in people) and matches == sorted([f"new{k}" for k in range(len(ANSWERS))] + [f"lost{k}" for k in open_])
+
+
+HISTORIES = [
     ([(0, 200, "<html>")], "error", []), ([], "error", []), ([(0, 200, "[]")], "done", []),
-    ([(0, 200, page("a", "b", "c")), (6, 200, page("g"))], "error", ["a", "b", "c"]),  # page 3 never landed: 6 isn't reached
-    ([(0, 200, page("a", "b", "c")), (3, 503, None), (6, 200, page("g"))], "error", ["a", "b", "c"]),
-    ([(0, 200, page("a", "b", "c")), (3, 429, None)], "pending", ["a", "b", "c"]),
-    ([(0, 200, page("a", "b", "c")), (3, 200, page("d"))], "done", ["a", "b", "c", "d"]),
-    ([(0, 200, page("a", "b", "c")), (3, 503, None), (3, 200, page("d"))], "done", ["a", "b", "c", "d"]),  # the later landing counts
-    ([(3, 200, page("d"))], "error", []),
-])
-def test_pages_are_whole_or_the_visit_is_not_done(spark, tmp_path, pages, want, matches):
-    store = store_of(spark, tmp_path / "store", 1)
-    details = [(m, 200, detail(m)) for m in "abcdg"]
-    _, people, found = visit(store, Source(spark, [(1, 200, profile())], [(1, *p) for p in pages], details))
-    assert (people[1][0], found) == (want, matches)
+    ([(0, 200, "abc"), (6, 200, "g")], "error", ["a", "b", "c"]),  # page 3 never landed: 6 isn't reached
+    ([(0, 200, "abc"), (3, 503, None), (6, 200, "g")], "error", ["a", "b", "c"]),
+    ([(0, 200, "abc"), (3, 429, None)], "pending", ["a", "b", "c"]),
+    ([(0, 200, "abc"), (3, 200, "d")], "done", ["a", "b", "c", "d"]),
+    ([(0, 200, "abc"), (3, 503, None), (3, 200, "d")], "done", ["a", "b", "c", "d"]),  # the later landing counts
+    ([(3, 200, "d")], "error", []),
+]
+
+
+def test_pages_are_whole_or_the_visit_is_not_done(spark, tmp_path):
+    store = store_of(spark, tmp_path / "store", *range(len(HISTORIES)))
+    made = lambda k, raw: page(*(f"{m}{k}" for m in raw)) if raw and raw.isalpha() else raw
+    pages = [(k, skip, status, made(k, raw)) for k, (landed_, *_) in enumerate(HISTORIES) for skip, status, raw in landed_]
+    details = [(f"{m}{k}", 200, detail(f"{m}{k}")) for m in "abcdg" for k in range(len(HISTORIES))]
+    _, people, found = visit(store, Source(spark, [(k, 200, profile()) for k in range(len(HISTORIES))], pages, details))
+    assert {k: (people[k][0], [m[0] for m in found if m[1:] == str(k)]) for k in people} == {k: (want, matches) for k, (_, want, matches) in enumerate(HISTORIES)}
 
 
 def test_a_revisit_needs_no_page_behind_a_known_match(spark, tmp_path):
@@ -92,16 +100,18 @@ def test_a_revisit_needs_no_page_behind_a_known_match(spark, tmp_path):
     assert (people[1], found) == (("done", 1000), ["a", "b"])
 
 
-@pytest.mark.parametrize("profiles,want", [
+PROFILES = [
     ([(503, None), (200, profile())], ("done", 22)), ([(200, profile()), (503, None)], ("error", None)), ([(200, profile(20.0)), (200, profile(25.0)), (200, profile(14.0))], ("done", 14)),
     ([(200, profile(20.0)), (200, profile(9.0))], ("skipped_floor", 9)), ([(200, profile()), (429, None)], ("pending", None)), ([(403, "")], ("pending", None)), ([(418, profile())], ("done", 22)), ([(500, profile())], ("error", None)),
-])
-def test_the_newest_profile_counts(spark, tmp_path, profiles, want):
-    store = store_of(spark, tmp_path / "store", 1, last=3)
-    visit(store, Source(spark, [(1, *p) for p in profiles], [(1, 0, 200, "[]")]))
-    row = store.read("players").first()
-    assert (row.crawl_status, row.latest_known_level) == want
-    assert row.last_crawled_at == (3 if want[0] == "pending" else 1000)  # put back before its history was read: the stamp stays
+]
+
+
+def test_the_newest_profile_counts(spark, tmp_path):
+    store = store_of(spark, tmp_path / "store", *range(len(PROFILES)), last=3)
+    visit(store, Source(spark, [(k, *p) for k, (landed_, _) in enumerate(PROFILES) for p in landed_], [(k, 0, 200, "[]") for k in range(len(PROFILES))]))
+    rows = {r.uid: r for r in store.read("players").collect()}
+    assert {k: (r.crawl_status, r.latest_known_level) for k, r in rows.items()} == {k: want for k, (_, want) in enumerate(PROFILES)}
+    assert all(r.last_crawled_at == (3 if r.crawl_status == "pending" else 1000) for r in rows.values())  # put back before its history was read: the stamp stays
 
 
 def test_the_run_rests_and_gives_up(spark, tmp_path):
@@ -111,7 +121,7 @@ def test_the_run_rests_and_gives_up(spark, tmp_path):
     said, rests = [], []
     source = Source(spark, [(1, 429, None), (2, 200, profile(5.0))])
     assert crawl.run(store, source, 19, clock=lambda: 50, batch=1, say=said.append, sleep=rests.append, rest=9, patience=2) == 2
-    assert rests == [9, 9] and {r.uid: r.crawl_status for r in store.read("players").collect()} == {1: "pending", 2: "pending"}
+    assert sum(rests) == 18 and {r.uid: r.crawl_status for r in store.read("players").collect()} == {1: "pending", 2: "pending"}
     assert crawl.run(store, source, 19, clock=lambda: 51, batch=5, say=said.append, sleep=rests.append, patience=2) == 3  # one finishes, then two in vain
     assert {r.uid: r.crawl_status for r in store.read("players").collect()} == {1: "pending", 2: "skipped_floor"}
     assert "round 1: 1 visits finished, 1 put back; matches=0 pending=1 skipped_floor=1 " in said[-3]
@@ -183,3 +193,33 @@ def test_stream_goes_on_at_its_offset(spark, tmp_path):
         assert sorted(r.uid for r in spark.read.schema("uid long").parquet(out).collect()) == [0, 1, 2] + [10, 11] * (k > 0)  # each file once
     write(folder, "late.json", LINES[50:51])
     assert landed.StreamReader({"path": str(folder), "kind": "profiles", "settle": "3600"}).latestOffset()["file"].endswith("8.json")  # too young
+
+
+def test_the_crawl_as_a_stream(spark, tmp_path):
+    """Profile, page and match land one after the other; the visit goes on with each and ends with the last, a restart between them all."""
+    source = payloads.Landed(spark, str(tmp_path / "landed"))
+    store = store_of(spark, tmp_path / "store", 1, 2, last=7)
+    now = 1000
+    lands = [
+        ("profiles", [{"uid": 1, "http_status": 200, "raw": profile()}, {"uid": 2, "http_status": 200, "raw": profile(), "landed_at": 1}]), ("pages", [{"uid": 1, "skip": 0, "http_status": 200, "raw": page("a", "b", "c")}]),
+        ("details", [{"match_uid": m, "http_status": 200, "raw": detail(m)} for m in "ab"]), ("pages", [{"uid": 1, "skip": 3, "http_status": 200, "raw": "[]"}]), ("details", [{"match_uid": "c", "http_status": 404}]),
+    ]
+    told, said = [], []
+    for k in ("profiles", "pages", "details"):
+        (tmp_path / "landed" / k).mkdir(parents=True)
+    for n, (kind, lines) in enumerate(lands):
+        write(tmp_path / "landed" / kind, f"{n}.json", lines, at=100 + n)
+        jobs.crawl_stream(source, store, 19, str(tmp_path / "check"), clock=lambda: now, full=3, say=said.append, options={"settle": 0}).awaitTermination()
+        people = {r.uid: (r.crawl_status, r.last_crawled_at) for r in store.read("players").collect()}
+        told.append((people[1], sorted(r.match_uid for r in store.read("matches").collect())))
+        assert people[2] == ("claimed", 7)  # its profile is older than its claim
+    assert told == [(("claimed", None), []), (("claimed", None), []), (("claimed", None), ["a", "b"]), (("claimed", None), ["a", "b"]), (("done", 1000), ["a", "b"])]
+    assert said == [f"batch {n}: {int(n == 4)} visits finished, 0 put back" for n in range(5)]
+
+
+def test_text_source(spark, tmp_path):
+    (tmp_path / "p-7.json").write_text("one\ntwo")
+    (tmp_path / "p-x.json").write_text("three")
+    got = payloads.landed(spark, str(tmp_path), keys={"uid": ("p-([^.]*)", "long")})
+    assert sorted((r.raw, r.uid) for r in got.where("uid = 7").collect()) == [("one", 7), ("two", 7)] and got.where("uid IS NULL").count() == 1
+    assert sorted(r.raw for r in payloads.landed(spark, str(tmp_path), whole=True).collect()) == ["one\ntwo", "three"]
