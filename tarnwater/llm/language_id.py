@@ -117,7 +117,8 @@ def predict(docs, model, id_col="doc_id", text_col="text"):
 
     `und` with score 0 for a null text or one without a letter, and for all texts if there is no
     model. score is the posterior, with the evidence of longer texts scaled down to EVIDENCE
-    n-grams. Repeated rows each get their own row; an empty table gives an empty result.
+    n-grams. Repeated rows each get their own row; an empty table gives an empty result;
+    other columns are not read. A text of any length is scored whole, at some tens of bytes a character.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -146,9 +147,11 @@ def identify(docs):
 
 
 def keep_identified(docs, least=0.5):
-    """docs without the rows whose language is undetermined or less likely than `least`; columns stay.
+    """docs (with doc_id, text and lang, which the model learns from) without the rows whose language is
+    undetermined or less likely than `least`; all columns stay, whatever else there is.
 
-    The prediction is made beside each row, so nothing is joined and repeated rows stay repeated.
+    Null and empty texts, and those without letters, are undetermined. The prediction is made beside each row,
+    so nothing is joined and repeated rows stay repeated. A text of any length is scored whole.
     """
     model = train(docs.where(~held_out()))
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -2,9 +2,9 @@
 
 A run is a sequence of consecutive non-blank lines. From every line the shortest window of at least
 `least` characters is taken, forwards and backwards; the least line hash of a window is its
-fingerprint, so two documents that share a run of that size are sure to share a fingerprint. The
-positions of a fingerprint are joined, and what occurs at one position only goes. At those that are
-left the match is extended both ways, to the whole window: a window whose lines are those of one
+fingerprint, so two documents that share a run of that size are sure to share a fingerprint. Windows
+whose fingerprint occurs at one position only go. Those that are left are compared whole, by two hashes
+over all of their lines, instead of position by position: a window whose lines are those of one
 at an earlier place (by id, then position) is deleted. Windows overlap from line to line, so
 together they are the later repeated runs, whole.
 """

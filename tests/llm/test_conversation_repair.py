@@ -99,8 +99,22 @@ def some_rows(seed=4):
     return rows
 
 
-@pytest.mark.parametrize("chunk", [512, 3])
-def test_rows_match_brute_force(spark, chunk):
+@pytest.mark.parametrize("chunk,spread", [(512, False), (3, False), (512, True), (7, True)])
+def test_rows_match_brute_force(spark, chunk, spread):
+    """Whole conversations, such as are cut into chunks, and a large one that several tasks share."""
+    if spread:
+        name = "spark.sql.adaptive.coalescePartitions.enabled"
+        before = spark.conf.get(name)
+        spark.conf.set(name, "false")
+        try:
+            compare(spark, chunk)
+        finally:
+            spark.conf.set(name, before)
+    else:
+        compare(spark, chunk)
+
+
+def compare(spark, chunk):
     rows = some_rows()
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, part int, codes string")
     df = df.withColumn("away", (F.col("role") == "gone") & (F.col("text") == "gone"))
