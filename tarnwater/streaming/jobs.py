@@ -51,7 +51,7 @@ def throughput(finished, window="10 minutes", slide="1 minute", late="10 minutes
 
 #: The state store that stateful operators need; what a pace's state holds.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-SETTLED, PENDING = "delay DOUBLE, streak INT, n BIGINT", "seq BIGINT, at BIGINT, failed BOOLEAN, slow BOOLEAN"
+SETTLED, PENDING = "delay DOUBLE, streak INT, n BIGINT, timer BIGINT", "seq BIGINT, at BIGINT, failed BOOLEAN, slow BOOLEAN"
 
 
 class PaceProcessor(StatefulProcessor):
@@ -69,44 +69,47 @@ class PaceProcessor(StatefulProcessor):
         self.handle = handle
         self.settled, self.pending = handle.getValueState("settled", SETTLED), handle.getListState("pending", PENDING)
 
-    def before(self):
-        return tuple(self.settled.get()) if self.settled.exists() else (folds.START, 0, 0)
-
     def fold(self, state, rows):
         delay, streak, n = state
         for _, _, failed, slow in rows:
             delay, streak = folds.delay_step((delay, streak), failed, slow)
         return delay, streak, n + len(rows)
 
-    def settle(self, rows, watermark):
-        """Fold the responses that nothing can come before any more; returns the state and the others."""
+    def settle(self, state, rows, watermark, timer, held):
+        """Fold the responses that nothing can come before any more; returns the state and the others. held: whether the list
+        has any by now. Each call of the state store is a message to it, so there are as few as can be."""
         cut = next((i for i, r in enumerate(rows) if r[1] >= watermark), len(rows))
-        state = self.fold(self.before(), rows[:cut])
-        self.settled.update(state)
+        state = self.fold(state, rows[:cut])
+        self.settled.update((*state, timer))
         if cut < len(rows):
             self.pending.put(rows[cut:])
-        elif self.pending.exists():
+        elif held:
             self.pending.clear()
         return state, rows[cut:]
 
     def handleInputRows(self, key, rows, timerValues):
-        found = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
+        *state, timer = self.settled.get() or (folds.START, 0, 0, None)
+        held = [tuple(r) for r in self.pending.get()]
+        found = list(held)
         for batch in rows:
             found += zip(batch["seq"].tolist(), batch["at"].tolist(), batch["failed"].tolist(), batch["slow"].tolist())
         found.sort(key=lambda r: (r[0], r[2], r[3]))
-        state, rest = self.settle(found, timerValues.getCurrentWatermarkInMs())
-        last = max(r[1] for r in found)
-        for at in self.handle.listTimers():
-            self.handle.deleteTimer(at)
-        self.handle.registerTimer(last + 1)
+        wake = max(r[1] for r in found) + 1
+        state, rest = self.settle(state, found, timerValues.getCurrentWatermarkInMs(), wake, bool(held))
+        if timer != wake:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(wake)
         yield pd.DataFrame([(*key, *self.fold(state, rest))], columns=["client", "delay", "streak", "n"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = timerValues.getCurrentWatermarkInMs()
-        if self.pending.exists():
-            self.settle(sorted((tuple(r) for r in self.pending.get()), key=lambda r: (r[0], r[2], r[3])), now)
-            if self.idle:
-                self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.idle)
+        *state, timer = self.settled.get() or (folds.START, 0, 0, None)
+        held = sorted((tuple(r) for r in self.pending.get()), key=lambda r: (r[0], r[2], r[3]))
+        forget = expiredTimerInfo.getExpiryTimeInMs() + self.idle if self.idle else None
+        if held:
+            self.settle(state, held, timerValues.getCurrentWatermarkInMs(), forget, True)
+            if forget:
+                self.handle.registerTimer(forget)
         elif self.idle:
             self.settled.clear()
         return iter(())
