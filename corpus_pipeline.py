@@ -27,7 +27,8 @@ def measured(docs):
 
 
 def language(spark, docs, sf_dir):
-    """Documents whose language the classifier tells; the others go."""
+    """Documents whose language the classifier tells; the others go, null and empty texts among them. Repeated
+    rows come or go together; texts are scored whole, whatever their length; columns stay."""
     return keep_identified(docs)
 
 
@@ -58,7 +59,8 @@ def near_duplicates(spark, docs, sf_dir):
 
 
 def secrets(spark, docs, sf_dir):
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark, in whole texts of any length. Null and empty texts, repeated rows and
+    all columns stay; n_chars is counted anew."""
     return measured(redact(docs, train(docs)))
 
 
