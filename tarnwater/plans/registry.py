@@ -771,7 +771,8 @@ def stream_pace(spark, sf_dir):
     at = folder(spark)
     rows = deliveries(spark, sf_dir, f"{at}/in", late=(F.col("event_id") % 10 == 0) & (F.col("behind") < 10800))
     rows = rows.select(F.col("user_id").alias("client"), (micros("ts") * 1000 + F.col("event_id") % 1000).alias("seq"), "ts", (F.col("event_type") == "error").alias("failed"), (F.col("value") / 20).alias("latency"))
-    return jobs.pace(rows, f"{at}/out", f"{at}/checkpoint", late="6 hours")()
+    splits = table(spark, sf_dir, "events").rdd.getNumPartitions()  # the state grows with the table
+    return jobs.pace(rows, f"{at}/out", f"{at}/checkpoint", late="6 hours", partitions=max(8, splits))()
 
 
 #: The ends of the weeks in which events are delivered, in seconds; files of a week.

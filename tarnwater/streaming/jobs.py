@@ -115,13 +115,14 @@ class PaceProcessor(StatefulProcessor):
         return iter(())
 
 
-def pace(responses, sink, checkpoint, ts="ts", late="10 minutes", idle=0):
+def pace(responses, sink, checkpoint, ts="ts", late="10 minutes", idle=0, partitions=None):
     """Keep (client, delay, streak, n) of a stream of (client, seq, ts, failed, latency) in the folder `sink`.
 
     seq orders a client's responses and grows with their time. The state of each client is in Spark's state store; a
     micro-batch writes the clients that it touched, as one version there, so that a batch that is run again writes the same
     once more. A response that comes later than `late` after newer ones is dropped, if it is older than the watermark by then; one
-    that comes before that is put in its place. A task holds the responses of one client that are not settled. Returns a function that reads the result.
+    that comes before that is put in its place. A task holds the responses of one client that are not settled. partitions: into how many the state is cut, for good
+    (the session's shuffle partitions by default). Returns a function that reads the result.
     """
     spark = responses.sparkSession
     kind = responses.schema["client"].dataType.simpleString()
@@ -134,14 +135,16 @@ def pace(responses, sink, checkpoint, ts="ts", late="10 minutes", idle=0):
     def batch(df, n):
         df.write.mode("overwrite").parquet(f"{sink}/v{n}")
 
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKSDB)
+    provider, shuffle = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
+    before = {name: spark.conf.get(name) for name in (provider, shuffle)}
+    spark.conf.set(provider, ROCKSDB)
+    spark.conf.set(shuffle, str(partitions or before[shuffle]))
     try:
         query = states.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return lambda: latest_versions(spark, sink, out, ["client"])
 
 
