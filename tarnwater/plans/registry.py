@@ -7,16 +7,13 @@ bans of matches, events as state changes and as a log of responses.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.devalue import resolve
 from ..functions.devalue_native import resolved
 from ..functions.expressions import eta, rank_blob, response_class
 from ..operators import analytics, changelog, crawl, folds, frontier, history, ingest, metrics, quality, seeding, shred, states
-from ..operators.store import Store
+from ..operators.store import Store, folder
 from ..sources import payloads
 from ..streaming import jobs
 
@@ -737,14 +734,6 @@ def maintained_coverage(spark, sf_dir):
 
 
 # -- streams --------------------------------------------------------------------------------------
-def folder(spark):
-    """A new folder in the one that driver and executors share; only in local mode a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base or tempfile.mkdtemp(prefix='tarnwater-')}/{uuid.uuid4().hex}"
-
-
 def event_stream(spark, sf_dir):
     """The events as a stream of files."""
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*")

@@ -112,6 +112,20 @@ def test_flat_arrays_resolve_natively(spark):
     assert not wrong, wrong[:3]
 
 
+def test_flat_arrays_resolve_natively_beyond_the_row_limit(spark):
+    """The walk takes as many rows as there are places, whatever the session allows a recursion."""
+    from tarnwater.functions.devalue_native import resolved
+
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "10")
+    try:
+        rows = spark.range(20).selectExpr("id", """concat('[{"data":1},{"a":2},[3,3],', id, ']') AS raw""")
+        assert sorted(map(tuple, resolved(rows).collect())) == [(i, f"[{i},{i}]") for i in range(20)]
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_boards_and_profiles(spark):
     board = flat({"players": [{"name": "a", "uid": "7", "rank": {"rank_game_id": 19}}, {"name": "b", "uid": "x", "rank": {"rank_game_id": 19}}]})
     rows = spark.createDataFrame([(board,)], "raw string")
