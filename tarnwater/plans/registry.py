@@ -485,19 +485,24 @@ def progress_line(spark, sf_dir):
 # -- shredding ------------------------------------------------------------------------------------
 def landed_matches(spark, sf_dir):
     """Raw match documents made of orders and line items: every 17th lacks a player's id, every 19th is cut off."""
-    li = table(spark, sf_dir, "lineitem")
-    hero = F.struct((F.col("l_suppkey") % 50).cast("double").alias("hero_id"), F.col("l_quantity").alias("k"), F.lit(1.0).alias("d"), F.lit(2.0).alias("a"), F.col("l_tax").alias("play_time"))
-    fields = F.struct(F.col("l_discount").alias("add_score"), F.lit(22.0).alias("level"), F.lit(22.0).alias("new_level"), F.col("l_extendedprice").alias("new_score"))
-    person = F.struct(
-        F.when((F.col("l_orderkey") % 17 != 0) | (F.col("l_linenumber") != 1), F.col("l_partkey")).alias("player_uid"), F.concat(F.lit("p"), F.col("l_partkey")).alias("nick_name"), (F.col("l_suppkey") % 2).cast("double").alias("camp"),
-        (F.col("l_suppkey") % 50).cast("double").alias("cur_hero_id"), (F.col("l_linestatus") == "F").cast("double").alias("is_win"), F.col("l_quantity").alias("k"), fields.alias("dynamic_fields"), F.array(hero).alias("player_heroes"),
-    )
-    ban = F.when(F.col("l_returnflag") == "R", F.struct(F.col("l_linenumber").cast("double").alias("round_idx"), F.lit(1.0).alias("battle_side"), (F.col("l_partkey") % 50).cast("double").alias("hero_id"), F.lit(0.0).alias("is_pick")))
-    order = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    docs = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), person.alias("p"), ban.alias("b")))).alias("x"))
+    of = ("l_linenumber", "l_partkey", "l_suppkey", "is_win", "l_quantity", "l_discount", "l_extendedprice", "l_tax", "is_ban")  # what moves, in the order of players
+    li = table(spark, sf_dir, "lineitem").withColumns({"is_win": F.col("l_linestatus") == "F", "is_ban": F.col("l_returnflag") == "R"})
+    docs = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*of))).alias("x"))
+
+    def person(e):
+        hero = F.struct((e["l_suppkey"] % 50).cast("double").alias("hero_id"), e["l_quantity"].alias("k"), F.lit(1.0).alias("d"), F.lit(2.0).alias("a"), e["l_tax"].alias("play_time"))
+        fields = F.struct(e["l_discount"].alias("add_score"), F.lit(22.0).alias("level"), F.lit(22.0).alias("new_level"), e["l_extendedprice"].alias("new_score"))
+        return F.struct(
+            F.when((F.col("l_orderkey") % 17 != 0) | (e["l_linenumber"] != 1), e["l_partkey"]).alias("player_uid"), F.concat(F.lit("p"), e["l_partkey"]).alias("nick_name"), (e["l_suppkey"] % 2).cast("double").alias("camp"),
+            (e["l_suppkey"] % 50).cast("double").alias("cur_hero_id"), e["is_win"].cast("double").alias("is_win"), e["l_quantity"].alias("k"), fields.alias("dynamic_fields"), F.array(hero).alias("player_heroes"),
+        )
+
+    def ban(e):
+        return F.struct(e["l_linenumber"].cast("double").alias("round_idx"), F.lit(1.0).alias("battle_side"), (e["l_partkey"] % 50).cast("double").alias("hero_id"), F.lit(0.0).alias("is_pick"))
+
     doc = F.struct(
         F.col("l_orderkey").cast("string").alias("match_uid"), F.col("l_orderkey").alias("match_time_stamp"), F.concat(F.lit("9"), F.col("l_orderkey")).alias("replay_id"),
-        F.struct(F.array_compact(F.transform("x", lambda e: e["b"])).alias("ban_pick_info")).alias("dynamic_fields"), F.transform("x", lambda e: e["p"]).alias("match_players"),
+        F.struct(F.transform(F.filter("x", lambda e: e["is_ban"]), ban).alias("ban_pick_info")).alias("dynamic_fields"), F.transform("x", person).alias("match_players"),
     )
     raw = F.to_json(doc)
     return docs.select(F.when(F.col("l_orderkey") % 19 == 0, F.substring(raw, 1, 40)).otherwise(raw).alias("raw"), F.col("l_orderkey").alias("seq"))
@@ -513,8 +518,7 @@ def admitted_matches(spark, sf_dir):
 @query(f"SELECT count(DISTINCT l_orderkey) FILTER ({_OK}) AS admitted, count(DISTINCT l_orderkey) FILTER (NOT ({_OK})) AS rejected FROM lineitem")
 def admit_quarantine(spark, sf_dir):
     """Matches that enter whole and those that do not at all."""
-    good, bad = admitted_matches(spark, sf_dir)
-    return good.agg(F.count("*").alias("admitted")).crossJoin(bad.agg(F.count("*").alias("rejected")))  # one row each
+    return shred.admission_counts(payloads.matches(landed_matches(spark, sf_dir)))
 
 
 @query(f"SELECT CAST(l_orderkey AS VARCHAR) AS match_uid, l_partkey AS player_uid, CAST(l_suppkey % 2 AS INT) AS camp, CAST(l_quantity AS INT) AS k, l_discount AS add_score, l_extendedprice AS new_score, 22 AS new_level FROM lineitem WHERE {_OK}")

@@ -126,6 +126,19 @@ def test_flat_arrays_resolve_natively_beyond_the_row_limit(spark):
         spark.conf.set(limit, before)
 
 
+def test_matches_are_parsed_once_to_be_counted(spark, tmp_path):
+    """Those that enter and those that don't are told apart in one pass."""
+    from tarnwater.plans import registry
+
+    docs = ['{"match_uid":"1","match_players":[{"player_uid":5}]}', '{"match_uid":"2","match_players":[{}]}', '{"match_uid":', "{}", None]
+    got = shred.admission_counts(payloads.matches(spark.createDataFrame([(d,) for d in docs], "raw string")))
+    assert tuple(got.first()) == (1, 4)
+    items = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame([(k, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, "R", "F") for k in (1, 17, 19)], items).write.parquet(str(tmp_path / "lineitem.parquet"))
+    counted = registry.admit_quarantine(spark, str(tmp_path))
+    assert tuple(counted.first()) == (1, 2) and counted._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
 def test_boards_and_profiles(spark):
     board = flat({"players": [{"name": "a", "uid": "7", "rank": {"rank_game_id": 19}}, {"name": "b", "uid": "x", "rank": {"rank_game_id": 19}}]})
     rows = spark.createDataFrame([(board,)], "raw string")
