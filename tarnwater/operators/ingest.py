@@ -6,25 +6,38 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..sources.payloads import matches as parse
-from .changelog import fold
 from .frontier import coverage, stored_coverage
-from .shred import admitted, shred
+from .shred import admissible, shred
 
+#: Cuts of a part, by which rows are dealt to tasks while they are merged.
+CUTS = 8
 
-def upsert(current, rows, name):
+
+def upsert(current, rows, name, part=None):
     """current with rows merged in by key: rows write the columns they have, whole rows at a time,
-    the latest by (seq, doc, pos) last. Of rows that agree in these, one and the same counts for all columns."""
-    key = schemas.KEYS[name]
-    firsts = [c for c in schemas.FIRST_WINS.get(name, []) if c in schemas.schema(name).fieldNames()]
-    other = [f.name for f in schemas.schema(name) if f.name not in key]
+    the latest by (seq, doc, pos) last. Of rows that agree in these, one and the same counts for all columns.
+    part: the part of the table in which a row lies, as a column; rows are then dealt by it once, to be merged and written as
+    they lie, and the result has it as `part`. Without it rows of a key are combined before the shuffle."""
+    key, fields = schemas.KEYS[name], schemas.schema(name)
+    other = [f.name for f in fields if f.name not in key]
     have = [c for c in rows.columns if c in other]
-    types = {f.name: f.dataType for f in schemas.schema(name)}
-    at = lambda *parts: F.struct(*(x.cast("long").alias(c) for x, c in zip(parts, ("seq", "doc", "pos", "tie")))).alias("seq")
-    zero = F.lit(0).cast("long")
-    old = current.select(*key, *other, F.array(*map(F.lit, other)).cast("array<string>").alias("set_cols"), at(F.lit(-1), zero, zero, zero))
-    place = at(*(F.col(c) if c in rows.columns else zero for c in ("seq", "doc", "pos")), F.xxhash64(*key, *have))
-    new = rows.select(*(F.col(c).cast(types[c]).alias(c) for c in key), *((F.col(c) if c in have else F.lit(None)).cast(types[c]).alias(c) for c in other), F.array(*map(F.lit, have)).cast("array<string>").alias("set_cols"), place)
-    return fold(old.unionByName(new), key, [c for c in other if c not in firsts], firsts).select(*(f.name for f in schemas.schema(name)))
+    last = [c for c in have if c not in schemas.FIRST_WINS.get(name, [])]
+    first, kept = [c for c in have if c not in last], [c for c in other if c not in have]
+    types = {f.name: f.dataType for f in fields}
+    place = ("seq", "doc", "pos")
+    at = lambda *values: [x.cast("long").alias(f"_{c}") for x, c in zip(values, place)]
+    zero = F.lit(0)
+    old = current.select(*key, *other, F.lit(False).alias("_new"), *at(F.lit(-1), zero, zero))
+    new = rows.select(*((F.col(c) if c in key or c in have else F.lit(None)).cast(types[c]).alias(c) for c in (*key, *other)), F.lit(True).alias("_new"), *at(*(F.col(c) if c in rows.columns else zero for c in place)))
+    every, by = old.unionByName(new), key
+    if part is not None:
+        every = every.withColumns({"part": part, "_cut": F.pmod(F.shiftright(F.xxhash64(key[0]), 32), F.lit(CUTS))}).repartition("part", "_cut")
+        by = ["part", "_cut", *key]
+    order = [f"_{c}" for c in place]
+    of = {"_last": (last, F.max(F.struct(*order, *last))), "_first": (first, F.min(F.struct(*order, *first))), "_kept": (kept, F.max(F.when(~F.col("_new"), F.struct(*kept) if kept else None)))}
+    home = {c: name for name, (columns, _) in of.items() for c in columns}
+    merged = every.groupBy(*by).agg(*(f.alias(name) for name, (columns, f) in of.items() if columns))
+    return merged.select(*(F.col(f"{home[f.name]}.{f.name}" if f.name in home else f.name) for f in fields), *(["part"] if part is not None else []))
 
 
 def discovered(parsed):
@@ -41,11 +54,11 @@ def ingest(store, raw, season, now):
     the same input changes nothing but fetch times. Documents are parsed once, into a table that goes
     when the commit is done. Only the parts of the tables that the documents' keys lie in are read and
     written again, and the coverage of heroes is adjusted by what is new."""
-    with store.staged(parse(raw)) as parsed:
-        good, bad = admitted(parsed)
-        good = good.withColumn("doc", F.xxhash64("raw"))
-        tables, parts = merged(store, good, season, now)
-        rejected = store.put("_rejected", bad.select(raw.columns))
+    parsed = parse(raw).select("*", admissible().alias("admitted"), F.xxhash64("raw").alias("doc"))
+    lean = {"raw": F.when(~F.col("admitted"), F.col("raw")), "match": F.when(F.col("admitted"), F.col("match"))}  # of each document what is read again
+    with store.staged(parsed.withColumns(lean)) as parsed:
+        tables, parts = merged(store, parsed.where("admitted"), season, now)
+        rejected = store.put("_rejected", parsed.where("NOT admitted").select(raw.columns))
         store.commit(tables, parts)
     return rejected
 
@@ -57,8 +70,9 @@ def merged(store, good, season, now):
     rows, parts, tables = shred(good, season, now, map_id), {}, {}
     rows["players"] = discovered(good).withColumn("created_at", F.lit(now).cast("long"))
     for name, new in rows.items():
-        parts[name] = of_matches if schemas.PARTED[name] == "match_uid" else store.touched(new.select(schemas.PARTED[name]), name)
-        tables[name] = upsert(store.read(name, parts[name]), new, name)
+        matched = schemas.PARTED[name] == "match_uid"  # few rows a key
+        parts[name] = of_matches if matched else store.touched(new.select(schemas.PARTED[name]), name)
+        tables[name] = upsert(store.read(name, parts[name]), new, name, store.part(name) if matched else None)
     tables["players"] = tables["players"].withColumn("crawl_status", F.coalesce("crawl_status", F.lit("pending")))
     tables["hero_coverage"] = covered(store, rows["match_player_heroes"], parts["match_player_heroes"])
     return tables, parts

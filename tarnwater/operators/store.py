@@ -21,6 +21,8 @@ from .. import schemas
 
 #: Parts of a table in a new store, seconds that a version stays readable after the next one, tables written at once.
 PARTS, GRACE, AT_ONCE = 16, 3600, 4
+#: How tables are compressed.
+CODEC = "zstd"
 
 
 def folder(spark):
@@ -87,7 +89,7 @@ class Store:
     def put(self, kind, rows):
         """rows, written beside the tables and read again."""
         at = f"{self.path}/{kind}/{uuid.uuid4().hex}"
-        rows.write.parquet(at)
+        rows.write.option("compression", CODEC).parquet(at)
         return self.spark.read.schema(rows.schema).parquet(at)
 
     @contextmanager
@@ -97,7 +99,7 @@ class Store:
             raise PermissionError("the store was opened for reading")
         at = f"{self.path}/_staged/{uuid.uuid4().hex}"
         try:
-            rows.write.parquet(at)
+            rows.write.option("compression", CODEC).parquet(at)
             yield self.spark.read.schema(rows.schema).parquet(at)
         finally:
             self._fs.delete(self._path(at), True)
@@ -105,16 +107,19 @@ class Store:
     def commit(self, tables, parts=None):
         """Write tables (name -> DataFrame) as one new version; all of them become visible at once. parts: name ->
         numbers of the parts that its rows make up; the other parts stay as they are. A table without
-        an entry there is written whole."""
+        an entry there is written whole. Rows that have their `part` are dealt by it already, and are written as they lie."""
         if not self.writable:
             raise PermissionError("the store was opened for reading")
         v, old = self.version() + 1, self.manifest().get("tables", {})
         entries = {name: dict(at) for name, at in old.items()}
 
         def write(name):
-            rows = schemas.conform(tables[name], name).withColumn("part", self.part(name))
-            order = ["part", "crawl_status"] if name == "players" else ["part"]  # readers of one status skip row groups
-            rows.repartition("part").sortWithinPartitions(*order).write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/{name}/v{v:010d}")
+            if "part" in tables[name].columns:
+                rows = tables[name].select(*schemas.schema(name).fieldNames(), "part")
+            else:
+                order = ["part", "crawl_status"] if name == "players" else ["part"]  # readers of one status skip row groups
+                rows = schemas.conform(tables[name], name).withColumn("part", self.part(name)).repartition("part").sortWithinPartitions(*order)
+            rows.write.mode("overwrite").option("compression", CODEC).partitionBy("part").parquet(f"{self.path}/{name}/v{v:010d}")
 
         with ThreadPoolExecutor(AT_ONCE) as pool:  # the tables' jobs run beside each other
             list(pool.map(write, tables))

@@ -139,6 +139,23 @@ def test_matches_are_parsed_once_to_be_counted(spark, tmp_path):
     assert tuple(counted.first()) == (1, 2) and counted._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
 
 
+def test_rows_of_matches_are_dealt_once(spark, tmp_path):
+    """What is merged into a table of matches is shuffled once, by part, and merged as it is without parts."""
+    store = Store(spark, str(tmp_path / "store"))
+    old = spark.createDataFrame([("a", 1, 0, 5, 1), ("b", 1, 0, 6, None)], schemas.schema("match_bans")).coalesce(1)
+    new = [("a", 1, 0, 5, 0, 2, 0), ("a", 1, 0, 5, None, 1, 9), ("c", 1, 0, 5, 3, 1, 1), ("c", 1, 0, 5, 4, 1, 2), ("d", 2, 1, 5, 1, None, 0)]
+    new = spark.createDataFrame(new, schemas.TABLES["match_bans"] + ", seq long, pos int")
+    dealt, plain = ingest.upsert(old, new, "match_bans", store.part("match_bans")), ingest.upsert(old, new, "match_bans")
+    want = {("a", 1, 0, 5, 0), ("b", 1, 0, 6, None), ("c", 1, 0, 5, 4), ("d", 2, 1, 5, 1)}
+    assert set(map(tuple, dealt.drop("part").collect())) == set(map(tuple, plain.collect())) == want
+    dealt.collect()
+    plan = dealt._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning(part") == plan.count("Exchange ") == 1
+    store.commit({"match_bans": dealt})
+    assert set(map(tuple, store.read("match_bans").collect())) == want
+    assert all(r.part == r.of for r in dealt.select("part", store.part("match_bans").alias("of")).collect())
+
+
 def test_boards_and_profiles(spark):
     board = flat({"players": [{"name": "a", "uid": "7", "rank": {"rank_game_id": 19}}, {"name": "b", "uid": "x", "rank": {"rank_game_id": 19}}]})
     rows = spark.createDataFrame([(board,)], "raw string")
