@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import crawl, folds
 from ..operators.ingest import ingest
@@ -49,70 +51,53 @@ def throughput(finished, window="10 minutes", slide="1 minute", late="10 minutes
     return counts.select(F.col("window.start").alias("start"), "n", (F.col("n") / F.lit(minutes)).alias("per_minute"))
 
 
-#: The state store that stateful operators need; what a pace's state holds.
+#: The state store of stateful operators; what a pace's state holds, and a response in its `pending`.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-SETTLED, PENDING = "delay DOUBLE, streak INT, n BIGINT, timer BIGINT", "seq BIGINT, at BIGINT, failed BOOLEAN, slow BOOLEAN"
+STATE = "delay double, streak int, n long, pending binary"
+PENDING = np.dtype([("seq", "<i8"), ("at", "<i8"), ("failed", "?"), ("slow", "?")])
 
 
-class PaceProcessor(StatefulProcessor):
-    """The pace of one client from one micro-batch to the next.
+def pace_of(idle):
+    """The pace of one client from one micro-batch to the next, as a function of (key, rows, state).
 
-    A value holds what is settled, a list the responses that the watermark has not passed, among which a late one may
-    still have to be put in its place by seq. Each micro-batch emits the pace as it is with all responses so far. A
-    timer settles the rest of a client that falls silent, and forgets one that has been idle for `idle` milliseconds (0: never).
+    The state holds what is settled, and the responses that the watermark has not passed, among which a late one may
+    still have to be put in its place by seq; it comes and goes beside the rows of many clients, without messages for each. Each
+    micro-batch emits the pace as it is with all responses so far. A timeout settles the rest of a client that
+    falls silent, and forgets one that has been idle for `idle` milliseconds (0: never).
     """
 
-    def __init__(self, idle=0):
-        self.idle = idle
-
-    def init(self, handle):
-        self.handle = handle
-        self.settled, self.pending = handle.getValueState("settled", SETTLED), handle.getListState("pending", PENDING)
-
-    def fold(self, state, rows):
-        delay, streak, n = state
-        for _, _, failed, slow in rows:
+    def fold(settled, rows):
+        delay, streak, n = settled
+        for failed, slow in zip(rows["failed"].tolist(), rows["slow"].tolist()):
             delay, streak = folds.delay_step((delay, streak), failed, slow)
         return delay, streak, n + len(rows)
 
-    def settle(self, state, rows, watermark, timer, held):
-        """Fold the responses that nothing can come before any more; returns the state and the others. held: whether the list
-        has any by now. Each call of the state store is a message to it, so there are as few as can be."""
-        cut = next((i for i, r in enumerate(rows) if r[1] >= watermark), len(rows))
-        state = self.fold(state, rows[:cut])
-        self.settled.update((*state, timer))
-        if cut < len(rows):
-            self.pending.put(rows[cut:])
-        elif held:
-            self.pending.clear()
-        return state, rows[cut:]
-
-    def handleInputRows(self, key, rows, timerValues):
-        *state, timer = self.settled.get() or (folds.START, 0, 0, None)
-        held = [tuple(r) for r in self.pending.get()]
-        found = list(held)
-        for batch in rows:
-            found += zip(batch["seq"].tolist(), batch["at"].tolist(), batch["failed"].tolist(), batch["slow"].tolist())
-        found.sort(key=lambda r: (r[0], r[2], r[3]))
-        wake = max(r[1] for r in found) + 1
-        state, rest = self.settle(state, found, timerValues.getCurrentWatermarkInMs(), wake, bool(held))
-        if timer != wake:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(wake)
-        yield pd.DataFrame([(*key, *self.fold(state, rest))], columns=["client", "delay", "streak", "n"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        *state, timer = self.settled.get() or (folds.START, 0, 0, None)
-        held = sorted((tuple(r) for r in self.pending.get()), key=lambda r: (r[0], r[2], r[3]))
-        forget = expiredTimerInfo.getExpiryTimeInMs() + self.idle if self.idle else None
-        if held:
-            self.settle(state, held, timerValues.getCurrentWatermarkInMs(), forget, True)
-            if forget:
-                self.handle.registerTimer(forget)
-        elif self.idle:
-            self.settled.clear()
-        return iter(())
+    def run(key, batches, state):
+        *settled, pending = state.get if state.exists else (folds.START, 0, 0, b"")
+        found, watermark = [np.frombuffer(bytes(pending), PENDING)], state.getCurrentWatermarkMs()
+        if state.hasTimedOut and not len(found[0]):
+            state.remove()
+            return
+        for batch in () if state.hasTimedOut else batches:
+            new = np.empty(len(batch), PENDING)
+            for c in PENDING.names:
+                new[c] = batch[c].to_numpy()
+            found.append(new)
+        rows = np.concatenate(found)
+        rows = rows[np.lexsort((rows["slow"], rows["failed"], rows["seq"]))]
+        late = rows["at"] >= watermark  # nothing can come before the others any more
+        cut = int(late.argmax()) if late.any() else len(rows)
+        settled, rest = fold(settled, rows[:cut]), rows[cut:]
+        state.update((*settled, rest.tobytes()))
+        wake = int(rows["at"].max()) + 1
+        if len(rest):
+            state.setTimeoutTimestamp(max(wake, watermark + 1))
+        elif idle:
+            state.setTimeoutTimestamp(max(wake + idle, watermark + 1))
+        if not state.hasTimedOut:
+            yield pd.DataFrame([(*key, *fold(settled, rest))], columns=["client", "delay", "streak", "n"])
+
+    return run
 
 
 def pace(responses, sink, checkpoint, ts="ts", late="10 minutes", idle=0, partitions=None):
@@ -130,7 +115,7 @@ def pace(responses, sink, checkpoint, ts="ts", late="10 minutes", idle=0, partit
     rows = responses.withColumn("ts", F.col(ts).cast("timestamp")).withWatermark("ts", late)
     failed, slow = folds.troubles()
     rows = rows.select("client", F.col("seq").cast("long").alias("seq"), "ts", F.unix_millis("ts").alias("at"), failed, slow)
-    states = rows.groupBy("client").transformWithStateInPandas(PaceProcessor(idle), outputStructType=out, outputMode="Update", timeMode="EventTime")
+    states = rows.groupBy("client").applyInPandasWithState(pace_of(idle), out, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
     def batch(df, n):
         df.write.mode("overwrite").parquet(f"{sink}/v{n}")

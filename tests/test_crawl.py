@@ -505,6 +505,15 @@ def test_pace_puts_late_responses_in_their_place(spark, tmp_path):
     assert [w for w in written if w] == [[1, 2], [1]]
 
 
+def test_pace_sends_no_messages_for_each_client(spark, tmp_path):
+    """The state of clients comes and goes beside their rows."""
+    land(spark, tmp_path / "in", [(c, 0, "2024-01-01 00:00:00", c % 2 == 1, 0.1) for c in range(50)], "client long, seq long, ts string, failed boolean, latency double")
+    stream = spark.readStream.schema("client long, seq long, ts string, failed boolean, latency double").parquet(str(tmp_path / "in"))
+    got = jobs.pace(stream, str(tmp_path / "out"), str(tmp_path / "check"))()
+    assert {tuple(r) for r in got.collect()} == {(c, 2.0, 0, 1) if c % 2 else (c, 1.0, 1, 1) for c in range(50)}
+    assert [r.operatorName for r in spark.read.format("state-metadata").load(str(tmp_path / "check")).collect()] == ["applyInPandasWithState"]
+
+
 def test_idle_clients_are_forgotten(spark, tmp_path):
     schema = "client long, seq long, ts timestamp, failed boolean, latency double"
     at = lambda s: __import__("datetime").datetime.fromtimestamp(10**6 + s)
