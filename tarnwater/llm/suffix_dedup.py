@@ -18,52 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import keyed, maybe_in, membership, mixed, prefix_hashes, span_hashes, steps, stored
+from .blocks import PIECE_BITS, blocks_of, byte_column
+from .common import keyed, maybe_in, membership, steps, stored
+from .passages import repeated_words
 
 LENGTH = 400
 #: Bytes of the strings that anchors are chosen from, as a share of the length.
 GRAM = 0.7
 #: Different blocks in a group that one task puts in suffix order.
 GROUP = 256
-#: A text is searched for anchors so many bytes at a time, overlapping by a window.
-PIECE_BITS = 18
-
-
-def byte_column(column):
-    """(bytes of all values, where each begins) of an Arrow string column without nulls."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return data, offsets - offsets[0]
-
-
-def blocks_of(data, offsets, length, gram):
-    """(text, start, windows, offset of the anchor, hash of the anchor, hash of the content) of each
-    block in the texts data[offsets[i]:offsets[i + 1]], less than 2**21 bytes in all."""
-    bits = PIECE_BITS + 1
-    m = len(data) - length + 1
-    if m <= 0:
-        return [np.zeros(0, np.int64)] * 6
-    prefix = prefix_hashes(data)
-    at = np.arange(len(data) - gram + 1)
-    grams = span_hashes(prefix, at, at + gram)
-    low = np.uint64((1 << bits) - 1)
-    least = (grams & ~low) | at.astype(np.uint64)  # ties go to the leftmost
-    w, size = length - gram + 1, 1
-    while size * 2 <= w:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    least = np.minimum(least[: m], least[w - size : w - size + m])
-    anchor = (least & low).astype(np.int64)
-    text = np.searchsorted(offsets, np.arange(m), "right") - 1
-    anchor[np.arange(m) + length > offsets[text + 1]] = -1  # windows that leave their text
-    first = np.flatnonzero(np.diff(anchor, prepend=-2))
-    n = np.diff(np.append(first, m))
-    some = anchor[first] >= 0
-    first, n = first[some], n[some]
-    a = anchor[first]
-    content = mixed(span_hashes(prefix, first, first + n - 1 + length) + (a - first).astype(np.uint64))
-    return text[first], first - offsets[text[first]], n, a - first, mixed(grams[a]).view(np.int64), content.view(np.int64)
 
 
 def all_blocks(rows, length, gram):
@@ -108,21 +71,25 @@ def neighbours(order, lcp, smaller=True):
     return out
 
 
-def factors(data, positions, length):
-    """(longest previous factor, longest next factor) of the windows at `positions`, cut at `length`."""
+def suffix_order(data, positions, length):
+    """(order, lcp) of the windows at `positions`, cut at `length`, as neighbours() takes them; equal ones keep their order."""
     keys = [data[p : p + length] for p in positions]
     order = sorted(range(len(keys)), key=keys.__getitem__)
-    lcp = [0] * len(order)
-    for i in range(1, len(order)):
-        a, b = keys[order[i - 1]], keys[order[i]]
-        if a == b:
-            lcp[i] = len(a)
-        else:
-            low, high = 0, min(len(a), len(b))
-            while low < high:
-                mid = (low + high + 1) // 2
-                low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
-            lcp[i] = low
+    lcp = np.zeros(len(order), np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data + bytes(length), np.uint8), length)
+    at = np.asarray(positions, np.int64)[order]
+    size = np.minimum(length, len(data) - at)
+    for i in range(1, len(order), 4096):
+        a, b = at[i - 1 : i + 4095], at[i : i + 4096]
+        differ = view[a[: len(b)]] != view[b]
+        first = np.where(differ.any(1), differ.argmax(1), length)
+        lcp[i : i + 4096] = np.minimum(first, np.minimum(size[i - 1 : i + 4095][: len(b)], size[i : i + 4096]))
+    return order, lcp.tolist()
+
+
+def factors(data, positions, length):
+    """(longest previous factor, longest next factor) of the windows at `positions`, cut at `length`."""
+    order, lcp = suffix_order(data, positions, length)
     return neighbours(order, lcp), neighbours(order, lcp, smaller=False)
 
 
@@ -136,8 +103,10 @@ def group_runs(length, keep):
         sizes = [x - 1 + length for x in n]
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         positions = np.concatenate([o + np.arange(x) for o, x in zip(offsets, n)])
-        earlier, later = factors(data, positions.tolist(), length)
-        gone = (earlier >= length) | ((later >= length) if keep == "none" else False)
+        order, lcp = suffix_order(data, positions.tolist(), length)
+        gone = neighbours(order, lcp) >= length
+        if keep == "none":  # the first of equal ones stands before the second
+            gone[np.array(order)[:-1][np.array(lcp[1:]) >= length]] = True
         out = ([], [], [])
         at = 0
         for ti, s, x, finished in zip(t, start, n, done):
@@ -187,8 +156,10 @@ def settled(rows, keep):
     return runs, left.drop("low", "high", "c")
 
 
-def remove_repeats(docs, length=LENGTH, keep="first", id_col="doc_id", text_col="text", group=GROUP, gram=None):
+def remove_repeats(docs, length=LENGTH, keep="first", id_col="doc_id", text_col="text", group=GROUP, gram=None, words=None):
     """One row per row of docs: n_bytes, n_removed, n_spans (long) and kept, the bytes that stay.
+    With words also n_repeated_words (long): the words under runs of so many words that another row
+    has too, however few bytes those have; nothing is removed for that.
 
     A byte is removed if it is covered by a string of `length` bytes (of the text in UTF-8) that
     also starts elsewhere, in any document: at an earlier place (by id, then text, then position)
@@ -203,7 +174,8 @@ def remove_repeats(docs, length=LENGTH, keep="first", id_col="doc_id", text_col=
     rows = keyed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumns({"t": F.unhex(F.md5("text")), "d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))})
     long_ = F.octet_length("text") >= length
-    different = stored(rows.where(long_).groupBy("t").agg(F.min("d").alias("first"), F.count("*").alias("copies"), F.min(F.octet_length("text")).cast("long").alias("size")))
+    enough = F.octet_length("text") >= min(length, 2 * words - 1) if words else long_
+    different = stored(rows.where(enough).groupBy("t").agg(F.min("d").alias("first"), F.count("*").alias("copies"), F.min(F.octet_length("text")).cast("long").alias("size")))
 
     blocks = stored(all_blocks(rows.where(long_).select("t", "text"), length, gram))
     place = F.xxhash64("t", "start")
@@ -244,15 +216,19 @@ def remove_repeats(docs, length=LENGTH, keep="first", id_col="doc_id", text_col=
     for more in runs[1:]:
         every = every.union(more)
     if keep == "none":
-        every = every.union(different.where("copies > 1").select("t", F.lit(0).cast("long"), F.col("size") - length))
+        every = every.union(different.where((F.col("copies") > 1) & (F.col("size") >= length)).select("t", F.lit(0).cast("long"), F.col("size") - length))
     every = every.groupBy("t").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("runs"))
     first = different.select("t", "first") if keep == "none" else different.where("copies > 1").select("t", "first")
-    every = stored(every.join(first, "t", "full" if keep == "first" else "left"))
+    every = every.join(first, "t", "full" if keep == "first" else "left")
+    if words:
+        twice = different.where("copies > 1").select("t", F.lit(True).alias("twice"))
+        every = every.join(repeated_words(rows, words), "t", "full").join(twice, "t", "full")
+    every = stored(every)
 
     def finish(batches):
         for batch in batches:
-            kept, removed, spans, size = [], [], [], []
-            for text, runs, copy in zip(batch["text"].cast(pa.binary()), batch["runs"].to_pylist(), batch["copy"].to_pylist()):
+            kept, removed, spans, size, repeated = [], [], [], [], []
+            for text, runs, copy, n, twice in zip(batch["text"].cast(pa.binary()), *(batch[c].to_pylist() for c in ("runs", "copy", "n_repeated_words", "twice"))):
                 data = memoryview(text.as_buffer())
                 parts, at, gone, count, end = [], 0, 0, 0, -1
                 whole = [{"a": 0, "b": len(data) - length}] if copy and len(data) >= length else runs or []
@@ -266,15 +242,21 @@ def remove_repeats(docs, length=LENGTH, keep="first", id_col="doc_id", text_col=
                         gone += max(0, b - end)
                     end = at = max(end, b)
                 parts.append(data[at:])
-                for column, v in zip((kept, removed, spans, size), (b"".join(parts), gone, count, len(data))):
+                if twice:
+                    n = len(bytes(data).split())
+                    n = n if n >= words else 0
+                for column, v in zip((kept, removed, spans, size, repeated), (b"".join(parts), gone, count, len(data), n or 0)):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, pa.int64()) for c in (size, removed, spans)), pa.array(kept, pa.binary()), pa.array(repeated, pa.int64())], names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_repeated_words"]
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = maybe_in(rows, "t", membership(every, "t"))
     touched = rows.where("maybe").join(every, "t", "left").withColumn("copy", F.lit(keep == "first") & F.coalesce(F.col("d") > F.col("first"), F.lit(False)))
-    touched = touched.select("doc_id", "text", "runs", "copy").mapInArrow(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     zero = F.lit(0).cast("long")
-    clean = rows.where("NOT maybe").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
-    return clean.union(touched).withColumnRenamed("doc_id", id_col)
+    if not words:
+        touched = touched.withColumns({"n_repeated_words": zero, "twice": F.lit(False)})
+    touched = touched.select("doc_id", "text", "runs", "copy", "n_repeated_words", "twice").mapInArrow(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, n_repeated_words long")
+    clean = rows.where("NOT maybe").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"), zero.alias("n_repeated_words"))
+    out = clean.union(touched).withColumnRenamed("doc_id", id_col)
+    return out if words else out.drop("n_repeated_words")

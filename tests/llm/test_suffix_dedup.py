@@ -1,9 +1,12 @@
 import random
+import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tarnwater.llm import passages as passages_module
 from tarnwater.llm.suffix_dedup import factors, remove_repeats
 
 
@@ -87,3 +90,62 @@ def test_edges(spark):
     text = "".join(random.Random(1).choices("abcdefgh", k=(1 << 20) + 5000))
     docs = spark.createDataFrame([(1, text), (2, text[(1 << 20) - 700 : (1 << 20) + 900])], schema)
     assert sorted((r.doc_id, r.n_removed, r.n_spans) for r in remove_repeats(docs, 400, "none").collect()) == [(1, 1600, 1), (2, 1600, 1)]
+
+
+def brute_words(texts, words):
+    """Words under runs of `words` words that another text of the list has, by a table of all windows."""
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+    seen = {}
+    for k, w in enumerate(split):
+        for p in range(len(w) - words + 1):
+            seen.setdefault(tuple(w[p : p + words]), set()).add(k)
+    out = []
+    for w in split:
+        under = [False] * len(w)
+        for p in range(len(w) - words + 1):
+            if len(seen[tuple(w[p : p + words])]) > 1:
+                under[p : p + words] = [True] * words
+        out.append(sum(under))
+    return out
+
+
+def test_passages_of_few_bytes_are_told(spark):
+    rng = random.Random(7)
+    text = lambda n: " ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(n))
+    passage = " ".join("".join(rng.choices("fgh", k=4)) for _ in range(51))
+    short, own = " ".join(passage.split()[:50]), " ".join("".join(rng.choices("xyz", k=5)) for _ in range(60))
+    assert len(passage) < 400
+    rows = [f"{text(30)} {passage} {text(20)}", f"{text(5)}\t{passage.replace(' ', chr(10))}  {text(9)}", f"{text(9)} {short} {text(9)}", f"{own} {text(3)} {own}", text(70), text(70)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in remove_repeats(docs, 400, "none", words=51).collect()}
+    assert [got[k].n_repeated_words for k in range(6)] == [51, 51, 0, 0, 0, 0] == brute_words(rows, 51)
+    assert [got[k].n_removed for k in range(6)] == [0] * 6
+    assert "n_repeated_words" not in remove_repeats(docs, 400, "none").columns
+
+
+@pytest.mark.parametrize("words,piece", [(12, 64), (5, 1 << 18)])
+def test_repeated_words_against_brute_force(spark, monkeypatch, words, piece):
+    rng = random.Random(words)
+    text = lambda n: "".join(rng.choice(["a", "b", "éß", "x" * rng.randint(60, 200), "c"]) + rng.choice([" ", "\n", " \t", "\u00a0 "]) for _ in range(n))
+    passages = [text(n) for n in (4, 11, 12, 13, 30, 80)]
+    rows = []
+    for _ in range(80):
+        parts = [text(rng.randint(0, 25)) for _ in range(3)]
+        for _ in range(rng.randint(0, 2)):
+            parts.insert(rng.randrange(4), rng.choice(passages)[rng.randint(0, 5) :])
+        rows.append(rng.choice(["", "\n "]) + "".join(parts))
+    base = passages[5].split()
+    rows += [" ".join([*base[:at], "#", *base[at + 1 :]]) for at in rng.sample(range(len(base)), 15)]
+    rows += [rows[0], rows[0], "a " * 30, "a " * 30, "a " * 4, "a " * 4, None, "", "  ", "q" * 3000]
+    # pieces are cut in this process here, and in workers below as they are there
+    monkeypatch.setattr(passages_module, "PIECE", piece)
+    monkeypatch.setattr(passages_module, "WORDS", 40)
+    data = "".join(r or "" for r in rows).encode()
+    offsets = np.cumsum([0, *(len((r or "").encode()) for r in rows)])
+    values, first = passages_module.word_hashes(np.frombuffer(data, np.uint8), offsets)
+    split = [w for r in rows for w in (r or "").encode().split()]
+    assert np.diff(first).tolist() == [len((r or "").encode().split()) for r in rows]
+    assert len(set(values.tolist())) == len(set(split)) == len(set(zip(values.tolist(), split)))
+    docs = spark.createDataFrame([(k % 90, t) for k, t in enumerate(rows)], "doc_id long, text string").repartition(4)
+    got = remove_repeats(docs, 400, "none", words=words).join(docs.selectExpr("doc_id", "octet_length(coalesce(text, '')) AS n_bytes", "text"), ["doc_id", "n_bytes"])
+    assert sorted((r.doc_id, r.text or "", r.n_repeated_words) for r in got.collect()) == sorted((k % 90, t or "", n) for k, (t, n) in enumerate(zip(rows, brute_words(rows, words))))
