@@ -15,7 +15,7 @@ from .blocks import blocks_of, byte_column
 from .common import maybe_in, membership, mixed, steps, stored
 
 #: Words of the strings that anchors are chosen from, as a share of the window.
-GRAM = 0.3
+GRAM = 0.2
 #: Words are hashed so many bytes at a time, windows so many words at a time.
 PIECE = 1 << 18
 WORDS = 1 << 17
@@ -150,14 +150,15 @@ def repeated_words(rows, words):
     anchors = stored(blocks.groupBy("g").agg(low, high).where("low < high").select("g"))
     shared = stored(blocks.join(anchors, "g", "left_semi"), cut=[blocks])
     each = stored(shared.groupBy("g", "c").agg(low, high))
-    several = stored(each.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g", F.lit(True).alias("several")))
-    shared = shared.join(each, ["g", "c"]).join(several, "g", "left").withColumn("done", F.col("low") < F.col("high"))
-    whole = shared.where("done").select("t", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1).alias("b"))
+    again = shared.join(each.where("low < high").select("g", "c"), ["g", "c"], "left_semi")
+    whole = again.select("t", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1).alias("b"))
 
-    left = stored(shared.where("several").where(~F.col("done") | (x == F.col("low"))).select("t", "start", "n", "low", "high", "done"))
+    several = each.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
+    left = shared.join(stored(each.join(several, "g", "left_semi")), ["g", "c"]).withColumn("done", F.col("low") < F.col("high"))
+    left = stored(left.where(~F.col("done") | (x == F.col("low"))).select("t", "start", "n", "low", "high", "done"))
     lists = left.groupBy("t").agg(F.collect_list(F.struct("start", "n", "low", "high", "done")).alias("blocks"))
     some = maybe_in(rows, "t", membership(left, "t")).where("maybe").groupBy("t").agg(F.first("text").alias("text"))
     each = stored(windows(some.join(lists, "t").select("t", "text", "blocks"), words))
     again = each.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("h")
     single = each.where("NOT done").join(again, "h", "left_semi").select("t", "a", F.col("a").alias("b"))
-    return covered(whole.union(single), words)
+    return stored(covered(whole.union(single), words))

@@ -57,18 +57,22 @@ def neighbours(order, lcp, smaller=True):
     In suffix order, the nearest smaller positions before and after a suffix share the longest
     prefix with it among all smaller ones; a stack of increasing positions finds both in one pass.
     """
-    out = np.zeros(len(order), np.int64)
-    stack = []  # (position, common prefix with the entry below it)
-    for i in range(len(order) + 1):
-        p = order[i] if i < len(order) else None
-        common = lcp[i] if i < len(order) else 0
-        while stack and (p is None or (stack[-1][0] > p) == smaller):
+    out = [0] * len(order)
+    stack, top = [], -1  # (position, common prefix with the entry below it); the last position
+    flip = 0 if smaller else -1
+    for p, common in zip(order, lcp):
+        while stack and top ^ flip > p ^ flip:
             q, below = stack.pop()
-            out[q] = max(below, common)  # before it: the entry below; after it: the one that removes it
-            common = min(common, below)
-        if p is not None:
-            stack.append((p, common if stack else 0))
-    return out
+            if below > common:  # before it: the entry below; after it: the one that removes it
+                out[q] = below
+            else:
+                out[q], common = common, below
+            top = stack[-1][0] if stack else -1
+        stack.append((p, common if stack else 0))
+        top = p
+    for q, below in stack:
+        out[q] = below
+    return np.array(out, np.int64)
 
 
 def suffix_order(data, positions, length):
@@ -76,14 +80,14 @@ def suffix_order(data, positions, length):
     keys = [data[p : p + length] for p in positions]
     order = sorted(range(len(keys)), key=keys.__getitem__)
     lcp = np.zeros(len(order), np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data + bytes(length), np.uint8), length)
-    at = np.asarray(positions, np.int64)[order]
-    size = np.minimum(length, len(data) - at)
-    for i in range(1, len(order), 4096):
-        a, b = at[i - 1 : i + 4095], at[i : i + 4096]
-        differ = view[a[: len(b)]] != view[b]
-        first = np.where(differ.any(1), differ.argmax(1), length)
-        lcp[i : i + 4096] = np.minimum(first, np.minimum(size[i - 1 : i + 4095][: len(b)], size[i : i + 4096]))
+    for i in range(1, len(order), 1024):
+        some = [keys[k] for k in order[i - 1 : i + 1024]]
+        size = np.array([len(key) for key in some])
+        rows = np.frombuffer(b"".join(some if size.min() == length else [key.ljust(length, b"\0") for key in some]), np.uint8).reshape(-1, length)
+        differ = rows[1:] != rows[:-1]
+        first = differ.argmax(1)
+        first[~differ[np.arange(len(first)), first]] = length
+        lcp[i : i + 1024] = np.minimum(first, np.minimum(size[1:], size[:-1]))
     return order, lcp.tolist()
 
 
