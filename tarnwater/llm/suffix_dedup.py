@@ -13,6 +13,8 @@ until its parts are small enough.
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -98,29 +100,34 @@ def factors(data, positions, length):
 
 
 def group_runs(length, keep):
-    """Runs of window starts to remove, from the different blocks of one group, for groupBy().applyInArrow."""
-
-    def run(found):
-        found = found.sort_by([(c, "ascending") for c in ("d", "t", "start")])
-        t, start, n, done = (found[c].to_pylist() for c in ("t", "start", "n", "done"))
-        data = b"".join(found["bytes"].to_pylist())
-        sizes = [x - 1 + length for x in n]
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        positions = np.concatenate([o + np.arange(x) for o, x in zip(offsets, n)])
-        order, lcp = suffix_order(data, positions.tolist(), length)
-        gone = neighbours(order, lcp) >= length
-        if keep == "none":  # the first of equal ones stands before the second
-            gone[np.array(order)[:-1][np.array(lcp[1:]) >= length]] = True
+    """Runs of window starts to remove, from the different blocks of groups that lie one behind the other, for mapInArrow."""
+
+    def run(batches):
+        rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("g", "t", "start", "n", "done", "bytes"))))
+        table = lambda out: pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["t", "a", "b"])
         out = ([], [], [])
-        at = 0
-        for ti, s, x, finished in zip(t, start, n, done):
-            if not finished:
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone[at : at + x].astype(np.int8), [0]])))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    for column, v in zip(out, (ti, s + a, s + b - 1)):
-                        column.append(v)
-            at += x
-        return pa.table([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["t", "a", "b"])
+        for _, found in groupby(rows, itemgetter(0)):
+            _, t, start, n, done, parts = zip(*found)
+            positions, end = [], 0
+            for x in n:
+                positions += range(end, end + x)
+                end += x - 1 + length
+            order, lcp = suffix_order(b"".join(parts), positions, length)
+            gone = neighbours(order, lcp) >= length
+            if keep == "none":  # the first of equal ones stands before the second
+                gone[np.array(order)[:-1][np.array(lcp[1:]) >= length]] = True
+            at = 0
+            for ti, s, x, finished in zip(t, start, n, done):
+                if not finished:
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone[at : at + x].astype(np.int8), [0]])))
+                    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                        for column, v in zip(out, (ti, s + a, s + b - 1)):
+                            column.append(v)
+                at += x
+            if len(out[0]) >= 1 << 13:
+                yield table(out)
+                out = ([], [], [])
+        yield table(out)
 
     return run
 
@@ -206,8 +213,8 @@ def remove_repeats(docs, length=LENGTH, keep="first", id_col="doc_id", text_col=
     left = stored(some.mapInArrow(with_bytes, "g long, d long, start long, n long, o long, done boolean, m long, t binary, bytes binary"))
     bits = (length - gram).bit_length()
     while True:
-        small = left.where(F.col("m") <= group).select("g", "d", "t", "start", "n", "done", "bytes")
-        runs.append(small.groupBy("g").applyInArrow(group_runs(length, keep), "t binary, a long, b long"))
+        small = left.where(F.col("m") <= group).select("g", "d", "t", "start", "n", "done", "bytes").repartition("g").sortWithinPartitions("g", "d", "t", "start")
+        runs.append(small.mapInArrow(group_runs(length, keep), "t binary, a long, b long"))
         large = left.where(F.col("m") > group)
         bits -= 1
         if bits < 0 or large.isEmpty():
